@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import mixing, packing, quality, simhash
+from loomery.llm import mixing, packing, pii, quality, simhash
 from loomery.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x.k == k + 1)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return rows.select("doc_id", *[count(k) for k in range(len(pii.KINDS))], F.sha2("base_list", 256).alias("base_sha256"), F.col("span_list").alias("spans"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.taken(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
