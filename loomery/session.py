@@ -16,6 +16,7 @@ def local_session(cores: int | None = None, **conf: str) -> SparkSession:
         "spark.sql.shuffle.partitions": str(cores),
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
     for k, v in (base | conf).items():
