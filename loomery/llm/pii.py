@@ -185,3 +185,11 @@ def mask(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", **ho
     )
     rows = rows.select("doc", F.when(F.isnull(F.col("doc").getField(text)), F.lit(None)).otherwise(clean).alias("clean"))
     return rows.select(*[F.col("clean").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
+def recounted(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """docs with n_chars, if it is a column, counted anew (null for a null text)."""
+    if n_chars not in docs.columns:
+        return docs
+    kind = docs.schema[n_chars].dataType
+    return docs.withColumn(n_chars, F.length(f"`{text}`").cast(kind))
