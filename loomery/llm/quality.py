@@ -84,7 +84,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     kept += ["n_lines", "n_dup_lines"]
     step = step.select(*kept, F.when(F.col("ranked").isNotNull(), _starts_of_repeats("ranked")).alias("at"))
     covered = f"{WINDOW} + aggregate(sequence(1, size(at) - 1), 0, (n, k) -> n + least({WINDOW}, at[k] - at[k - 1]))"
-    return step.select(*kept, F.expr(f"CASE WHEN at IS NULL THEN 0 ELSE {covered} END").cast("long").alias("n_repeat_words"))
+    step = step.select(*kept, F.expr(f"CASE WHEN at IS NULL THEN 0 ELSE {covered} END").cast("long").alias("n_repeat_words"))
+    # A filter on a measurement must not be moved below these projections, where each array
+    # would be written out anew for each use. It isn't moved past a row number, which is never negative.
+    numbers = F.when(F.monotonically_increasing_id() >= 0, F.struct(*MEASURES)).alias("m")
+    return step.select("doc", numbers).select("doc", *[F.col("m").getField(c).alias(c) for c in MEASURES])
 
 
 def _bits(rules: Mapping[str, str]) -> Column:
