@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import mixing, packing, pii, quality, simhash, substrings
+from loomery.llm import fingerprints, mixing, packing, pii, quality, simhash, substrings
 from loomery.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.compared(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.written_out("signature").alias("fingerprint"),
+        fingerprints.written_out("edited_signature").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
