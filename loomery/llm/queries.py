@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import fingerprints, mixing, packing, pii, quality, simhash, substrings, toxicity
+from loomery.llm import fingerprints, likelihood, mixing, packing, pii, quality, simhash, substrings, toxicity
 from loomery.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[count(k) for k in range(len(pii.KINDS))], F.sha2("base_list", 256).alias("base_sha256"), F.col("span_list").alias("spans"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return likelihood.scored(docs, likelihood.fit(docs))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.taken(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
