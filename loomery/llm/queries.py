@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import fingerprints, likelihood, mixing, packing, pii, quality, simhash, substrings, toxicity
+from loomery.llm import chat, fingerprints, likelihood, mixing, packing, pii, quality, simhash, substrings, toxicity
 from loomery.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,10 @@ WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_chat_formatting": """
+SELECT conv_id, turn, role, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_valid,
+  'plain' AS status, 0 AS level, CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS line
+FROM conversations""",
         "op8_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
 g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
