@@ -32,7 +32,7 @@ STRIDE = f"""
 WITH d AS (SELECT doc_id, lang, strlen(text) + 1 AS n, md5('{SEED}:' || doc_id) AS shuffled, {CASE_WEIGHT} AS w FROM documents WHERE lang IN {tuple(WEIGHTS)}),
 s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY shuffled, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / w AS stride FROM d)"""
 NUMBERED = "row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1"
-START = "coalesce(sum(strlen(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+START = "CAST(coalesce(sum(strlen(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)"
 PIECES = f"""
 o AS (SELECT doc_id, strlen(text) + 1 AS n, {START} AS start FROM documents),
 p AS (SELECT CAST(k AS BIGINT) AS window_id, doc_id, greatest(k * {LENGTH}, start) - k * {LENGTH} AS place, greatest(k * {LENGTH}, start) - start AS first,
