@@ -75,6 +75,15 @@ WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_substring_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+g AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+s AS (SELECT r, i FROM g JOIN (SELECT g FROM g GROUP BY g HAVING count(*) > 1) USING (g)),
+p AS (SELECT r, list(DISTINCT i + j) AS gone FROM s, generate_series(0, 34) AS o(j) GROUP BY r),
+k AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d)
+  ANTI JOIN (SELECT r, unnest(gone) AS i FROM p) AS q USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)""",
         "op6_chat_formatting": """
 SELECT conv_id, turn, role, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_valid,
   'plain' AS status, 0 AS level, CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS line
