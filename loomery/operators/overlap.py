@@ -15,14 +15,23 @@ def grams(rows: DataFrame, text: str, n: int = N) -> DataFrame:
     return rows.withColumn("_w", words(F.col(text))).withColumn("gram", F.explode(ngrams("_w", n))).drop("_w")
 
 
+def _hashes(rows: DataFrame, text: str, n: int) -> DataFrame:
+    """The columns of rows with h: a hash of each run of n words."""
+    rows = rows.withColumn("_w", words(F.col(text)))
+    hashes = f"CASE WHEN size(_w) >= {n} THEN transform(sequence(1, size(_w) - {n} + 1), i -> xxhash64(slice(_w, i, {n}))) END"
+    return rows.withColumn("h", F.explode(F.expr(hashes))).drop("_w")
+
+
 def overlapping(rows: DataFrame, key: str, benchmark: DataFrame, text: str = "text", n: int = N) -> DataFrame:
     """The keys of rows that share a run of n words with the benchmark.
 
-    Runs are compared as 64-bit hashes first, which shuffle less, and then word for word.
+    Hashes of the runs are compared first; what is left, which is little, is compared word for word.
     """
-    wanted = grams(benchmark.select(F.col("text").alias("_t")), "_t", n).select("gram", F.xxhash64("gram").alias("h")).distinct()
-    mine = grams(rows.select(key, F.col(text).alias("_t")), "_t", n).select(key, "gram", F.xxhash64("gram").alias("h"))
-    return mine.join(wanted, ["h", "gram"], "left_semi").select(key).distinct()
+    rows = rows.select(key, F.col(text).alias("_t"))
+    wanted = benchmark.select(F.col("text").alias("_t"))
+    hit = _hashes(rows, "_t", n).join(_hashes(wanted, "_t", n).select("h").distinct(), "h", "left_semi").select(key).distinct()
+    exact = grams(rows.join(hit, key, "left_semi"), "_t", n).join(grams(wanted, "_t", n).select("gram").distinct(), "gram", "left_semi")
+    return exact.select(key).distinct()
 
 
 def clean(rows: DataFrame, key: str, benchmark: DataFrame, text: str = "text", n: int = N) -> DataFrame:
