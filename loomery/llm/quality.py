@@ -21,16 +21,17 @@ from pyspark.sql import functions as F
 from loomery.llm.common import text_of, words
 
 WINDOW = 8
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_doubled")
 
 #: Name of each rule, by its bit, and the SQL condition on which a document fails.
 RULES: dict[str, str] = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
-    "symbols": "10 * n_symbols > 4 * n_words",
+    "symbols": "10 * n_symbols > 3 * n_words",
     "word_length": "word_chars < 2 * n_words OR word_chars > 25 * n_words",
     "repeated_lines": "n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines",
     "upper_case": "10 * n_upper > 4 * word_chars",
+    "doubled_words": "10 * n_doubled > 5 * n_words",
 }
 
 #: Versions of the policy: the rules that each of them enforces.
@@ -71,10 +72,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+        F.expr("CASE WHEN size(w) > 1 THEN size(filter(sequence(1, size(w) - 1), i -> w[i] = w[i - 1])) ELSE 0 END").cast("long").alias("n_doubled"),
         F.expr(r"filter(split(t, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')").alias("lines"),
         F.expr(f"CASE WHEN size(w) > {WINDOW} THEN transform(sequence(1, size(w) - {WINDOW - 1}), i -> xxhash64(slice(w, i, {WINDOW}))) END").alias("windows"),
     )
-    kept = ["doc", "n_words", "word_chars", "n_symbols", "n_upper"]
+    kept = ["doc", "n_words", "word_chars", "n_symbols", "n_upper", "n_doubled"]
     step = step.select(
         *kept,
         F.size("lines").cast("long").alias("n_lines"),

@@ -52,7 +52,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base_failed = F.col("failed").bitwiseAND(quality.mask("base")) != 0
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), (~base_failed & F.col("kept")).alias("kept"), "n_lines", "n_upper", "failed",
+        base_failed.alias("base_failed"), (~base_failed & F.col("kept")).alias("kept"), "n_lines", "n_upper", "n_doubled", "failed",
     )
 
 
@@ -97,12 +97,13 @@ m AS (
   SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words, len(l) AS n_lines,
-    length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper
+    length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper,
+    len(list_filter(generate_series(2, len(w)), lambda i: w[i] = w[i - 1])) AS n_doubled
   FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d) AS d LEFT JOIN n USING (r)),
 f AS (SELECT *, CAST({" + ".join(f"CASE WHEN {sql} THEN {1 << k} ELSE 0 END" for k, sql in enumerate(quality.RULES.values()))} AS BIGINT) AS failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, (failed & {quality.mask(quality.CURRENT)}) = 0 AS kept,
-  CAST(n_lines AS BIGINT) AS n_lines, CAST(n_upper AS BIGINT) AS n_upper, failed
+  CAST(n_lines AS BIGINT) AS n_lines, CAST(n_upper AS BIGINT) AS n_upper, CAST(n_doubled AS BIGINT) AS n_doubled, failed
 FROM f""",
     }
