@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from loomery.llm.common import text_of, words, written
 
 BLOCK, SEED, NEAR, LANDING = 2000, 20240607, 1e-9, 12
+FEW = 50_000  # sources, of about 100 bytes each
 WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2.0
 
 
@@ -111,10 +112,15 @@ def _flown(land: bool, seed: int) -> Callable[[pa.Table], pa.Table]:
     return fly
 
 
+def _small(per_source: DataFrame) -> DataFrame:
+    """One row for each source, stored; to be broadcast if they are few, so that a hot source isn't shuffled by its name."""
+    per_source = written(per_source)
+    return F.broadcast(per_source) if per_source.count() <= FEW else per_source
+
+
 def decided(sizes: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """From (doc_id, source, size, t, n): the same with source_size, target and copies."""
-    # Spark broadcasts the sources only where their measured size allows, and splits a hot source otherwise.
-    per = targets(sizes, weights, share, cap).withColumnRenamed("source", "of")
+    per = _small(targets(sizes, weights, share, cap).withColumnRenamed("source", "of"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = sizes.join(per, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("rate", rate)
     part = F.col("rate") - F.floor("rate")
@@ -125,7 +131,7 @@ def decided(sizes: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: floa
     while True:
         done.append(open_.where(~undecided))
         open_ = open_.where(undecided)
-        counts = open_.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count("*") / block).alias("blocks"))
+        counts = _small(open_.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count("*") / block).alias("blocks")))
         land = (counts.agg(F.max("blocks")).first()[0] or 1) == 1
         open_ = open_.join(counts, F.col("source").eqNullSafe(F.col("of"))).withColumn("order", F.xxhash64("doc_id", "t", F.lit(seed + level)))
         open_ = open_.withColumn("block", F.pmod(F.col("order"), F.col("blocks"))).drop("of", "blocks")
