@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm.common import text_of, written
 
-WINDOW, GRAM, BLOCK, HOT, MAP_BITS = 35, 16, 20_000, 2_000, 27
+WINDOW, GRAM, BLOCK, HOT, MAP_BITS = 35, 16, 4_000, 2_000, 27
 _CHUNK_BITS = 16
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
 _INVERSE = pow(_BASE, -1, 1 << 64)
