@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.session import stored
+
 #: The marks of a turn, and the roles of older texts.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 ROLES = ("system", "user", "assistant")
@@ -81,7 +83,8 @@ def best_threads(nodes: DataFrame, deepest: int = 64) -> DataFrame:
     for depth in range(1, deepest):
         turn = "assistant" if depth % 2 else "user"
         front = front.join(edges.where(F.col("role") == turn).select(F.col("parent_id").alias("message_id"), F.col("message_id").alias("next")), "message_id")
-        front = front.select("root", F.lit(depth).alias("depth"), F.col("next").alias("message_id"), F.lit(turn).alias("role")).checkpoint()
+        front = front.select("root", F.lit(depth).alias("depth"), F.col("next").alias("message_id"), F.lit(turn).alias("role"))
+        front = stored(front)
         if not front.limit(1).count():
             break
         thread = thread.unionByName(front)

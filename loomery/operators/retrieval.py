@@ -1,4 +1,4 @@
-"""Retrieval by TF-IDF and by dense vectors."""
+"""Retrieval by TF-IDF."""
 
 from __future__ import annotations
 
@@ -28,16 +28,3 @@ def top_k(index: DataFrame, idf: DataFrame, queries: DataFrame, k: int, key: str
     hits = q.join(index, "term").groupBy(query, key).agg(F.round(F.sum(F.col("q") * F.col("w")), 9).alias("similarity"))
     best = Window.partitionBy(query).orderBy(F.desc("similarity"), key)
     return hits.where("similarity > 0").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-
-
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """For each query vector (query_id, q), which must be few, the k vectors (vec_id, embedding) of the largest cosine.
-
-    The queries are broadcast; each partition keeps its own best k of each query before the shuffle.
-    """
-    dot = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x)"
-    pairs = vectors.crossJoin(F.broadcast(queries))
-    cosine = F.expr(f"{dot('q', 'embedding')} / sqrt({dot('q', 'q')} * {dot('embedding', 'embedding')})")
-    pairs = pairs.select("query_id", "vec_id", F.round(cosine, 6).alias("cosine"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)

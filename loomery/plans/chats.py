@@ -89,10 +89,6 @@ t AS (SELECT message_id AS root, 0 AS depth, message_id, role FROM n WHERE paren
 UNION ALL SELECT t.root, t.depth + 1, e.message_id, e.role FROM t JOIN e ON e.parent_id = t.message_id AND e.role <> t.role)
 SELECT root, depth, message_id, role FROM (SELECT *, max(depth) OVER (PARTITION BY root) AS m FROM t) WHERE m >= 1 AND (depth < m OR role = 'assistant')""")
 def best_thread(spark: SparkSession, d: str) -> DataFrame:
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomery-"))
     return chats.best_threads(_tree(spark, d))
 
 
@@ -209,12 +205,3 @@ def winogrande_split(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT doc_id, regexp_replace(CASE WHEN i > 0 THEN left(text, i - 1) ELSE text END, '^\s+|\s+$', '', 'g') AS reply FROM (SELECT doc_id, text, least(nullif(instr(text, '. '), 0), nullif(instr(text, ', '), 0)) AS i FROM documents)""")
 def marker_cut(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.strip(tx.cut_at(F.col("text"), [". ", ", "])).alias("reply"))
-
-
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
-p AS (SELECT query_id, vec_id, round(CAST(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS DOUBLE), 6) AS cosine FROM q, embeddings)
-SELECT query_id, vec_id, cosine, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM p) WHERE place <= 5""")
-def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings")
-    queries = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return retrieval.dense_top_k(vectors, queries, 5)

@@ -1,10 +1,12 @@
-"""The Spark session for local work and tests."""
+"""The Spark session for local work and tests, and the folder that all executors share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, **conf: str) -> SparkSession:
@@ -22,3 +24,23 @@ def local_session(cores: int | None = None, **conf: str) -> SparkSession:
     for k, v in (base | conf).items():
         build = build.config(k, v)
     return build.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for shared files; one of our own only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="loomery-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df, written once as Parquet to the shared folder and read from there.
+
+    What follows reads files, so a lost executor costs no recomputation of df.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/loomery-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

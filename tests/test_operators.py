@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.functions import text as tx
-from loomery.operators import chats, filters, mix, overlap, schedule, scores, shards, telemetry
+from loomery.operators import chats, filters, guard, mix, overlap, records, sampling, schedule, scores, shards, telemetry
 from loomery.sources import sinks, tables
 
 
@@ -85,7 +85,6 @@ def test_conversations(spark):
 
 def test_threads(spark):
     nodes = [(1, None, "user", None, 0), (2, 1, "assistant", 2.0, 1), (3, 1, "assistant", 1.0, 2), (4, 3, "user", None, 3), (5, 3, "assistant", 0.0, 4), (6, None, "user", 0.0, 5), (7, None, "assistant", 0.0, 6)]
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir("/tmp/loomery-test")
     got = chats.best_threads(spark.createDataFrame(nodes, "message_id long, parent_id long, role string, rank double, seq long")).collect()
     assert sorted((r.root, r.depth, r.message_id) for r in got) == [(1, 0, 1), (1, 1, 3)]
 
@@ -170,9 +169,41 @@ def test_sources_and_sinks(spark, tmp_path, small):
     assert sinks.manifest(docs, 65_536).agg(F.sum("tokens")).first()[0] == docs.agg(F.sum(F.octet_length("text") + 1)).first()[0]
 
 
-def test_records(spark):
+def test_download_records(spark):
     schema = "source string, revision string, source_tokens double, files array<string>"
     old = spark.createDataFrame([("a", "1", 5.0, ["x"]), ("b", "1", 5.0, ["x", "y"]), ("c", "1", None, ["x"]), ("d", "1", 1.0, ["x"])], schema)
     new = spark.createDataFrame([("a", "1", 9.0, ["x", "y"]), ("b", "2", 1.0, ["z"]), ("c", "1", 3.0, ["x"])], schema)
     got = {r.source: (r.revision, r.source_tokens, r.files) for r in sinks.merged_records(old, new).collect()}
     assert got == {"a": ("1", 9.0, ["x", "y"]), "b": ("2", 1.0, ["z"]), "c": ("1", None, ["x"]), "d": ("1", 1.0, ["x"])}
+
+
+def test_guard_states():
+    g = guard.Guard(samples=1, grace=100.0, trips_an_hour=2)
+    see = lambda now, hot=50.0, loaded=1, idle=30.0, slowed=False, cpu=None: g.see(now, hot, idle, loaded, slowed, cpu)
+    assert see(0) is None and see(10, hot=95) == "trip: device" and g.state == "pausing"
+    assert see(20) is None and see(30, loaded=0) == "cooling" and see(40, loaded=0, hot=70) is None
+    assert see(50, loaded=0) == "resumed" and see(60, slowed=True) == "trip: slowdown"
+    assert see(170) == "cooling" and see(180, loaded=0) == "stopped" and see(190, hot=99) is None
+    g = guard.Guard(samples=1)
+    assert g.see(0, 50, 30, 1, False, None) is None and g.see(1, 50, 38, 1, False, 99) == "trip: room"
+
+
+def test_sampling_filters(spark):
+    logits = spark.createDataFrame([(1, t, x) for t, x in enumerate([3.0, 2.0, 2.0, 0.0, -1.0])], "context int, token int, logit double")
+    assert sorted(r.token for r in sampling.top_k(logits, 2).collect()) == [0, 1, 2]
+    assert sorted(r.token for r in sampling.nucleus(logits, 0.5).collect()) == [0]
+    assert sorted(r.token for r in sampling.nucleus(logits, 0.6).collect()) == [0, 1]
+    got = {r.token: r.logit for r in sampling.penalised(logits, logits.where("token IN (0, 4)"), 2.0).collect()}
+    assert got == {0: 1.5, 1: 2.0, 2: 2.0, 3: 0.0, 4: -2.0}
+
+
+def test_records(spark):
+    rows = spark.createDataFrame([(["A", "B"], "B"), (["A"], "C")], "labels array<string>, key string")
+    assert [r.i for r in rows.select(records.answer_index("labels", "key").alias("i")).collect()] == [1, None]
+    pairs = spark.createDataFrame([("p", "c", "r"), ("", "c", "r"), ("p", None, "r")], "p string, c string, r string")
+    assert pairs.where(records.has_pair("p", "c", "r")).count() == 1
+    tokens = spark.createDataFrame([(i, 10 + i, i % 2 == 0) for i in range(11)], "at long, token int, learnt boolean")
+    got = records.masked_windows(tokens, 2, 2).orderBy("at").collect()
+    assert [(r.window_id, r.x, r.y) for r in got[:3]] == [(0, 10, -100), (0, 11, 12), (1, 12, -100)] and len(got) == 8
+    arrays = spark.createDataFrame([([1, 2, 3],), ([],)], "a array<int>")
+    assert [r.a for r in records.padded(arrays, "a", 2, 0).collect()] == [[1, 2], [0, 0]]

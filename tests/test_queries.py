@@ -4,11 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from loomery.plans import chats, corpus, evaluation
+from loomery.plans import chats, corpus, evaluation, further
 
-TABLES = "documents labels benchmark conversations pages embeddings events".split()
-QUERIES = corpus.QUERIES | chats.QUERIES | evaluation.QUERIES
-ORACLE = corpus.ORACLE | chats.ORACLE | evaluation.ORACLE
+TABLES = "documents labels benchmark conversations pages events".split()
+QUERIES = corpus.QUERIES | chats.QUERIES | evaluation.QUERIES | further.QUERIES
+ORACLE = corpus.ORACLE | chats.ORACLE | evaluation.ORACLE | further.ORACLE
 
 
 @pytest.fixture(scope="module")

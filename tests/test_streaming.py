@@ -1,6 +1,7 @@
 """The live log: what a stream says over several batches is what the batch operator says."""
 
 import json
+import os
 
 from loomery.operators import telemetry
 from loomery.streaming import live
@@ -13,7 +14,9 @@ def test_watch_over_batches(spark, tmp_path):
     rows = [{"run": r, "step": i, "grad_norm": v, "loss": 2.0} for r in ("a", "b") for i, v in enumerate(values)]
     rows.sort(key=lambda x: x["step"])
     for k in range(5):
-        (folder / f"{k}.json").write_text("\n".join(map(json.dumps, rows[k * 41 : (k + 1) * 41])) + "\nbroken {\n")
+        path = folder / f"{k}.json"
+        path.write_text("\n".join(map(json.dumps, rows[k * 41 : (k + 1) * 41])) + "\nbroken {\n")
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))  # files are read by their times
     how = {"alert": (10.0, 5), "halt": (100.0, 9), "least": 50}
     stream = live.watched(live.train_rows(live.metrics(spark, str(folder), files_at_once=1)), **how)
     query = stream.writeStream.format("memory").queryName("said").outputMode("append").start()
