@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.session import stored as written
+
+__all__ = ["BLANKS", "shuffles", "table", "text_of", "words", "written"]
+
 #: Words are separated by the six ASCII white-space characters only.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -22,26 +23,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANKS), "")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="loomery-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, stored once as Parquet in the shared folder and read from there.
-
-    What follows reads files, so a lost executor costs no recomputation of df.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/loomery-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -109,7 +109,7 @@ def compared(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text",
     """
     k = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), text_of(f"`{text}`").alias("t"), k.alias("k"))
-    buckets = buckets or 2 * shuffles(docs.sparkSession)
+    buckets = buckets or 8 * shuffles(docs.sparkSession)
     rows = _bucketed(rows, buckets)
     # The first row of each bucket also ends the bucket above it. There are as many as buckets.
     tops = rows.groupBy("b").agg(F.max("k").alias("top"))
