@@ -28,6 +28,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm.common import text_of
+from loomery.llm.common import shuffles, text_of, written
 
 SAMPLE, SAMPLE_CHARS = 4_000, 40_000_000
 CUT, FOLDS, HELD_OUT = 0.3, 4, 2
@@ -73,19 +74,30 @@ def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The two dictionaries, as raw content, from the texts of each class."""
-    sets = {1: [set(windows(t)) for t in dict.fromkeys(toxic)], 0: [set(windows(t)) for t in dict.fromkeys(ordinary)]}
-    n = {c: len(s) for c, s in sets.items()}
-    count = {c: Counter(w for s in found for w in s) for c, found in sets.items()}
+    """The two dictionaries, as raw content, from the texts of each class.
+
+    Words are counted text by text, and read again for the samples, so that no more than the counts is held.
+    """
+    texts = {1: list(dict.fromkeys(toxic)), 0: list(dict.fromkeys(ordinary))}
+    n = {c: len(t) for c, t in texts.items()}
+    count = {1: Counter(), 0: Counter()}
+    for c, found in texts.items():
+        for t in found:
+            count[c].update(set(windows(t)))
 
     def marks(c: int) -> set[bytes]:
         other = 1 - c
         return {w for w, k in count[c].items() if k >= SHARE * n[c] and k / n[c] > TIMES[c] * (count[other][w] + 1) / n[other]}
 
     own = {c: marks(c) for c in (0, 1)}
-    words = lambda c, keep: [b" " + w + b" " for s in sets[c] for w in sorted(s) if keep(w)]
-    base = _trained(words(0, lambda w: w not in own[1] and count[0][w] >= max(3, COMMON * n[0]))[:1_000_000], BASE_SIZE, 24)
-    return tuple(_trained(words(c, own[c].__contains__), OWN_SIZE, 12) + base + FRAME for c in (1, 0))
+    common = {w for w, k in count[0].items() if w not in own[1] and k >= max(3, COMMON * n[0])}
+
+    def samples(c: int, keep: set[bytes], most: int = 1_000_000) -> list[bytes]:
+        found = (b" " + w + b" " for t in texts[c] for w in sorted(set(windows(t)) & keep))
+        return list(islice(found, most))
+
+    base = _trained(samples(0, common), BASE_SIZE, 24)
+    return tuple(_trained(samples(c, own[c]), OWN_SIZE, 12) + base + FRAME for c in (1, 0))
 
 
 class Gains:
@@ -140,8 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_char
     chosen = order(1).union(order(0))  # 2 * sample rows at most
     texts = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     before = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    texts = texts.withColumn("chars", before).where(F.col("chars") <= sample_chars // 2).select("doc_id", "text", "toxic").toPandas()
-    of = {c: texts["text"][texts["toxic"] == c].tolist() for c in (0, 1)}
+    texts = written(texts.withColumn("chars", before).where(F.col("chars") <= sample_chars // 2).select("doc_id", "text", "toxic"))
+    of = {c: [t for (t,) in texts.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text").toLocalIterator()] for c in (0, 1)}
     if not of[0] or not of[1]:
         return Model(constant=1.0 if of[1] else 0.0)
     pair = Model(*dictionaries(of[1], of[0]))
@@ -151,8 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_char
         for part in parts:
             yield pd.DataFrame({"toxic": part["toxic"], "f": [features(t, gains) for t in part["text"]]})
 
-    spark = docs.sparkSession
-    rows = spark.createDataFrame(texts[["text", "toxic"]]).repartition(8).mapInPandas(measured, "toxic int, f array<double>").toPandas()
+    rows = texts.select("text", "toxic").repartition(shuffles(docs.sparkSession)).mapInPandas(measured, "toxic int, f array<double>").toPandas()
     rows = rows.assign(key=rows["f"].map(tuple)).sort_values(["key", "toxic"])  # in one order, whichever task ended first
     centre, scale, weights = logistic(np.array(rows["f"].tolist()), rows["toxic"].to_numpy(float))
     return Model(pair.toxic, pair.ordinary, tuple(centre), tuple(scale), tuple(weights))
