@@ -40,6 +40,7 @@ from loomery.llm.common import text_of, written
 
 WINDOW, GRAM, BLOCK, HOT, MAP_BITS = 35, 16, 4_000, 2_000, 27
 _CHUNK_BITS = 16
+HELD = 500_000  # windows that a task holds before it hands them on
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -112,10 +113,16 @@ def _bit_map(twice: DataFrame) -> bytes:
 def _candidates(bit_map) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()), ("segment", pa.int64()), ("windows", pa.list_(pa.int64()))])
 
+    def packed(batch: pa.RecordBatch, rows: dict[str, list]) -> pa.RecordBatch:
+        cat = {k: np.concatenate(v) for k, v in rows.items()}
+        windows = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cat["n"])].astype(np.int32)), pa.array(cat["windows"].view(np.int64)))
+        row = pa.array(cat["row"])
+        return pa.record_batch([batch["id"].take(row), batch["h"].take(row), pa.array(cat["start"].astype(np.int32)), pa.array(cat["anchor"].view(np.int64)), pa.array(cat["segment"].view(np.int64)), windows], schema=schema)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bit_map.value, np.uint8)
         for batch in batches:
-            rows = {"row": [], "start": [], "anchor": [], "segment": [], "windows": [], "n": []}
+            rows, held = defaultdict(list), 0
             for row, text in enumerate(batch["text"]):
                 words = text.as_py().encode().split()
                 if len(words) < WINDOW:
@@ -128,17 +135,15 @@ def _candidates(bit_map) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 first, n, anchor = first[here], n[here], anchor[here]
                 ends = np.cumsum(n)
                 each = np.arange(ends[-1]) + np.repeat(first - ends + n, n)
-                rows["row"].append(np.full(len(n), row))
-                rows["start"].append(first)
-                rows["anchor"].append(anchor)
-                rows["segment"].append(hashes.runs(first, n + WINDOW - 1))
-                rows["windows"].append(hashes.runs(each, WINDOW))
-                rows["n"].append(n)
-            if rows["row"]:
-                cat = {k: np.concatenate(v) for k, v in rows.items()}
-                windows = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cat["n"])].astype(np.int32)), pa.array(cat["windows"].view(np.int64)))
-                row = pa.array(cat["row"])
-                yield pa.record_batch([batch["id"].take(row), batch["h"].take(row), pa.array(cat["start"].astype(np.int32)), pa.array(cat["anchor"].view(np.int64)), pa.array(cat["segment"].view(np.int64)), windows], schema=schema)
+                made = {"row": np.full(len(n), row), "start": first, "anchor": anchor, "segment": hashes.runs(first, n + WINDOW - 1), "windows": hashes.runs(each, WINDOW), "n": n}
+                for k, v in made.items():
+                    rows[k].append(v)
+                held += int(ends[-1])
+                if held >= HELD:
+                    yield packed(batch, rows)
+                    rows, held = defaultdict(list), 0
+            if held:
+                yield packed(batch, rows)
 
     return emit
 
