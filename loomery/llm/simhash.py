@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from loomery.llm.common import shuffles, text_of, written
 from loomery.llm.components import components
 
-BITS, DISTANCE, BLOCKS, SHINGLE, SEED, CHUNK = 64, 4, 6, 4, 42, 1500
+BITS, DISTANCE, BLOCKS, SHINGLE, SEED, CHUNK, SALTS = 64, 4, 6, 4, 42, 1500, 16
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -157,9 +157,13 @@ def class_components(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """From rows (doc_id, fp), which are read twice: fp and component_id for each distinct fingerprint."""
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp"), distance=distance))
-    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(lowest, "root").select("fp", "component_id")
+    linked = F.isnotnull("root").alias("linked")
+    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", linked, F.coalesce("root", "fp").alias("root"))
+    # A component may hold a third of all classes. Its smallest id is found by partial minima and joined under SALTS keys.
+    lowest = placed.where("linked").groupBy("root").agg(F.min("least").alias("lowest"))
+    lowest = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    return placed.join(lowest, ["root", "salt"], "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
