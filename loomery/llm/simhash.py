@@ -154,7 +154,10 @@ def links(prints: DataFrame, *, distance: int = DISTANCE, blocks: int = BLOCKS,
 
 
 def class_components(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """From rows (doc_id, fp), which are read twice: fp and component_id for each distinct fingerprint."""
+    """From rows (doc_id, fp), which are read twice: fp, root and component_id for each distinct fingerprint.
+
+    Components are told apart by root; where an id is repeated, or all are null, several have one component_id.
+    """
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp"), distance=distance))
     linked = F.isnotnull("root").alias("linked")
@@ -163,7 +166,7 @@ def class_components(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
     lowest = placed.where("linked").groupBy("root").agg(F.min("least").alias("lowest"))
     lowest = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     placed = placed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-    return placed.join(lowest, ["root", "salt"], "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
+    return placed.join(lowest, ["root", "salt"], "left").select("fp", "root", F.coalesce("lowest", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -184,8 +187,7 @@ def deduplicate(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text
     key = [F.isnull(doc_id).alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(text_of(F.col("doc").getField(text))).alias("t")]
     slim = written(rows.select(*key, doc_id.alias("doc_id"), fingerprint(text_of(F.col("doc").getField(text))).alias("fp")))
     first = slim.join(class_components(slim.select("doc_id", "fp"), distance), "fp")
-    # A component has a smallest id unless all its ids are null; then its class stands for it.
-    first = first.groupBy("component_id", F.when(F.isnull("component_id"), F.col("fp")).alias("c")).agg(F.min(F.struct("no_id", "id", "t")).alias("k"))
+    first = first.groupBy("root").agg(F.min(F.struct("no_id", "id", "t")).alias("k"))
     kept = rows.select("doc", *key).join(first.select("k.*").distinct(), ["no_id", "id", "t"], "left_semi")
     once = kept.groupBy("no_id", "id", "t").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
     return once.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from loomery.llm import simhash
-from tests.llm.conftest import odd_rows
+from tests.llm.conftest import odd_rows, prose
 
 
 def plain(text):
@@ -72,3 +72,12 @@ def test_deduplicate(odd, none):
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
     assert ids == sorted([1, 4, 7, 8, None, 9, -5, 10, 2**62], key=str)
     assert simhash.deduplicate(none).count() == 0
+
+
+def test_deduplicate_by_component(spark):
+    """Repeated ids join no components, and near copies without ids are one component."""
+    one, two, three = prose(20, 300), prose(21, 300), prose(22, 300)
+    rows = [(1, one), (1, two), (2, two + " tail"), (None, three), (None, three + " tail"), (3, one)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept if r.doc_id) == sorted([(1, one), (1, two)])
+    assert [r.text in (three, three + " tail") for r in kept if r.doc_id is None] == [True]
