@@ -5,6 +5,8 @@ A conversation is rendered from its turns, which are few; these are the only gro
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,15 +74,16 @@ def first_children(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_id IS NOT NULL").groupBy("parent_id", "role").agg(best.alias("b")).select("parent_id", "role", F.col("b.message_id").alias("message_id"))
 
 
-def best_threads(nodes: DataFrame, deepest: int = 64) -> DataFrame:
+def best_threads(nodes: DataFrame) -> DataFrame:
     """root, depth, message_id of the best-ranked thread from each user root; roles take turns and an unanswered prompt at the end goes.
 
     Each step joins all threads to their next message at once; there are as many steps as the longest thread has messages.
+    A thread that comes back to a message of its own raises an error.
     """
     nodes = nodes.select("message_id", "parent_id", "role", "rank", "seq")
-    edges = first_children(nodes)
+    edges = stored(first_children(nodes))
     thread = front = nodes.where("parent_id IS NULL AND role = 'user'").select(F.col("message_id").alias("root"), F.lit(0).alias("depth"), "message_id", "role")
-    for depth in range(1, deepest):
+    for depth in count(1):
         turn = "assistant" if depth % 2 else "user"
         front = front.join(edges.where(F.col("role") == turn).select(F.col("parent_id").alias("message_id"), F.col("message_id").alias("next")), "message_id")
         front = front.select("root", F.lit(depth).alias("depth"), F.col("next").alias("message_id"), F.lit(turn).alias("role"))
@@ -88,6 +91,8 @@ def best_threads(nodes: DataFrame, deepest: int = 64) -> DataFrame:
         if not front.limit(1).count():
             break
         thread = thread.unionByName(front)
+        if depth >= 4 and depth & (depth - 1) == 0 and thread.groupBy("root", "message_id", "role").count().where("count > 1").limit(1).count():
+            raise RuntimeError(f"a thread of messages is a cycle, seen at depth {depth}")
     last = thread.groupBy("root").agg(F.max("depth").alias("deepest"))
     kept = thread.join(last, "root").where((F.col("depth") < F.col("deepest")) | (F.col("role") == "assistant"))
     return kept.where("deepest >= 1").select("root", "depth", "message_id", "role")

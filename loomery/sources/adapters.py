@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions.text import strip
-from loomery.operators.chats import ASSISTANT, USER, best_threads
+from loomery.operators.chats import ASSISTANT, USER, best_threads, valid
 
 #: Fixed value: what stands between two documents of a joined text.
 SEPARATOR = "\n\n###\n\n"
@@ -44,11 +44,16 @@ def human_assistant(rows: DataFrame, column: str = "chosen") -> DataFrame:
 
 
 def threads(rows: DataFrame, language: str = "en") -> DataFrame:
-    """Trees of messages: the best-ranked thread of each root; deleted messages and those without an id are left out."""
+    """Trees of messages: the best-ranked thread of each root; deleted messages and those without an id are left out.
+
+    A thread that isn't valid, as with a blank message, is left out as a whole.
+    """
     nodes = rows.where((F.col("lang") == language) & ~F.coalesce("deleted", F.lit(False)) & (F.col("message_id") != ""))
     nodes = nodes.withColumn("role", F.when(F.col("role") == "prompter", "user").otherwise(F.col("role"))).withColumn("seq", F.col("message_id"))
     said = best_threads(nodes).join(nodes.select("message_id", "text"), "message_id")
-    line = F.concat(F.when(F.col("role") == "user", USER).otherwise(ASSISTANT), F.coalesce("text", F.lit("")))
+    good = valid(said.select(F.col("root").alias("conv_id"), F.col("depth").alias("turn"), "role", "text")).where("valid")
+    said = said.join(good.select(F.col("conv_id").alias("root")), "root", "left_semi")
+    line = F.concat(F.when(F.col("role") == "user", USER).otherwise(ASSISTANT), "text")
     parts = said.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("depth", line.alias("line")))).alias("parts"))
     return parts.select(F.array_join(F.transform("parts", lambda p: p.line), "\n").alias("text"))
 

@@ -27,6 +27,13 @@ def test_threads(spark):
     assert texts(adapters.threads(rows)) == ["USER: q\nASSISTANT: good"]
 
 
+def test_blank_threads(spark):
+    """A thread with a blank message is left out, whatever else it holds."""
+    nodes = [(f"{k}{i}", f"{k}{i - 1}" if i else None, "assistant" if i % 2 else "prompter", text, "en", None, False) for k, said in (("x", ["q", "a", " \n", "b"]), ("y", ["q", None]), ("z", ["q", "a"])) for i, text in enumerate(said)]
+    rows = spark.createDataFrame(nodes, "message_id string, parent_id string, role string, text string, lang string, rank double, deleted boolean")
+    assert texts(adapters.threads(rows)) == ["USER: q\nASSISTANT: a"]
+
+
 def test_head_and_join(spark):
     rows = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9)], "task string, seq int")
     assert sorted((r.task, r.seq) for r in adapters.head(rows, 2, ["task"], "seq").collect()) == [("a", 0), ("a", 1), ("b", 9)]

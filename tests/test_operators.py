@@ -89,6 +89,16 @@ def test_threads(spark):
     assert sorted((r.root, r.depth, r.message_id) for r in got) == [(1, 0, 1), (1, 1, 3)]
 
 
+def test_long_and_circular_threads(spark):
+    schema = "message_id long, parent_id long, role string, rank double, seq long"
+    nodes = [(i, i - 1 if i else None, "assistant" if i % 2 else "user", None, i) for i in range(70)]
+    got = chats.best_threads(spark.createDataFrame(nodes, schema)).collect()
+    assert sorted((r.depth, r.message_id) for r in got) == [(i, i) for i in range(70)]
+    circle = [(0, None, "user", None, 0), (1, 0, "assistant", None, 1), (2, 1, "user", None, 2), (1, 2, "assistant", None, 3)]
+    with pytest.raises(RuntimeError):
+        chats.best_threads(spark.createDataFrame(circle, schema))
+
+
 def test_reward_margin(spark):
     rows = spark.createDataFrame([("2", "1"), ("1", "2"), (None, "1"), ("x", "1"), ("1", "1")], "c string, r string")
     assert [r.k for r in rows.select(filters.margin_ok("c", "r", 0.0).alias("k")).collect()] == [True, False, True, True, True]
