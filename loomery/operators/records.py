@@ -60,6 +60,18 @@ def padded(arrays: DataFrame, column: str, length: int, pad: int) -> DataFrame:
     return arrays.withColumn(column, F.slice(filled, 1, length))
 
 
+def padded_to_longest(arrays: DataFrame, column: str, pad: int, batch: str | None = None, least: int = 0) -> DataFrame:
+    """arrays with their column filled up with pad to the longest of its batch, or of all rows, and to `least` at least."""
+    keys = [batch] if batch else []
+    sizes = arrays.groupBy(*keys).agg(F.greatest(F.max(F.size(column)), F.lit(least)).alias("_longest"))
+    if batch:
+        sizes = sizes.withColumnRenamed(batch, "_batch")
+        rows = arrays.join(sizes, F.col(batch).eqNullSafe(F.col("_batch"))).drop("_batch")
+    else:
+        rows = arrays.crossJoin(F.broadcast(sizes))
+    return rows.withColumn(column, F.concat(F.col(column), F.array_repeat(F.lit(pad), F.col("_longest") - F.size(column)))).drop("_longest")
+
+
 def reward_statistics(pairs: DataFrame, beta: float, groups: Sequence[str] = ()) -> DataFrame:
     """From log-probabilities of chosen and rejected answers under a model and a reference: loss, accuracy, margin."""
     margin = beta * ((F.col("chosen") - F.col("ref_chosen")) - (F.col("rejected") - F.col("ref_rejected")))

@@ -113,7 +113,7 @@ def masked_windows(spark: SparkSession, d: str) -> DataFrame:
 SELECT conv_id, array_to_string(list_transform(generate_series(1, 8), lambda i: CAST(coalesce(ids[i], -1) AS VARCHAR)), ' ') AS ids FROM a""")
 def padded_batch(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.col("turn").cast("int"))).alias("ids"))
-    return records.padded(rows, "ids", 8, -1).select("conv_id", F.array_join("ids", " ").alias("ids"))
+    return records.padded_to_longest(rows, "ids", -1, least=8).select("conv_id", F.array_join("ids", " ").alias("ids"))
 
 
 @query("""WITH m AS (SELECT event_type, 0.1 * ((-value + 50) - (-(event_id % 97) + 40)) AS m FROM events)

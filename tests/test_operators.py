@@ -217,3 +217,10 @@ def test_records(spark):
     assert [(r.window_id, r.x, r.y) for r in got[:3]] == [(0, 10, -100), (0, 11, 12), (1, 12, -100)] and len(got) == 8
     arrays = spark.createDataFrame([([1, 2, 3],), ([],)], "a array<int>")
     assert [r.a for r in records.padded(arrays, "a", 2, 0).collect()] == [[1, 2], [0, 0]]
+
+
+def test_padded_to_longest(spark):
+    rows = spark.createDataFrame([(1, 0, list(range(12))), (2, 0, [5]), (3, 1, [7]), (4, 1, [])], "id int, batch int, a array<int>")
+    got = {r.id: r.a for r in records.padded_to_longest(rows, "a", -1, "batch").collect()}
+    assert got == {1: list(range(12)), 2: [5] + [-1] * 11, 3: [7], 4: [-1]}
+    assert {len(r.a) for r in records.padded_to_longest(rows, "a", -1, least=8).collect()} == {12}
