@@ -11,10 +11,15 @@ Flights run in blocks of about BLOCK documents of one source; each block leaves
 undecided documents or so, which form the blocks of the next level. No task or driver
 holds more than a block, however large a source is.
 
+Rows that agree in id, source and text are one unit with a number of rows n: n * m copies
+are due to them together, of which the whole part is dealt evenly and the fraction is one
+copy to be decided like any other. So a source of repeated rows meets its target as well.
+
 Defined results: a null or empty text has size 0; a null source is a source of its own,
-ordered last; rows that agree in id, source and text share one decision, so repeated rows
-are all taken as often; other columns are kept by `mix` whatever their names; an empty
-table gives none. Choices depend on the data and SEED only, so reruns agree.
+ordered last; of n repeated rows, some are taken once more than the others; other columns
+are kept by `mix` whatever their names; an empty table gives none. Choices depend on the
+data and SEED only, so reruns agree (which of some repeated rows with unlike other columns
+are taken once more isn't fixed).
 """
 
 from __future__ import annotations
@@ -24,10 +29,10 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm.common import text_of, words, written
+from loomery.llm.common import repeated, text_of, words, written
 
 BLOCK, SEED, NEAR, LANDING = 2000, 20240607, 1e-9, 12
 FEW = 50_000  # sources, of about 100 bytes each
@@ -105,8 +110,7 @@ def _flown(land: bool, seed: int) -> Callable[[pa.Table], pa.Table]:
         block = block.sort_by([(c, "ascending") for c in ("order", "doc_id", "size", "t")])
         name = f"{seed}:{block['source'][0].as_py()!r}:{block['block'][0].as_py()}"
         rng = np.random.default_rng(xxhash.xxh64_intdigest(name.encode()))
-        n = block["n"].to_numpy().astype(float)
-        p = flight(block["p"].to_numpy(), block["size"].to_numpy() * n, n, rng, land)
+        p = flight(block["p"].to_numpy(), block["size"].to_numpy(), np.ones(len(block)), rng, land)
         return block.set_column(block.column_names.index("p"), "p", pa.array(p))
 
     return fly
@@ -119,13 +123,14 @@ def _small(per_source: DataFrame) -> DataFrame:
 
 
 def decided(sizes: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """From (doc_id, source, size, t, n): the same with source_size, target and copies."""
+    """From (doc_id, source, size, t, n): the same with source_size, target and copies, of all n rows together."""
     per = _small(targets(sizes, weights, share, cap).withColumnRenamed("source", "of"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = sizes.join(per, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("rate", rate)
-    part = F.col("rate") - F.floor("rate")
-    part = F.when(part < NEAR, 0.0).when(part > 1 - NEAR, 1.0).otherwise(part)
-    units = units.select(*sizes.columns, "source_size", "target", F.floor("rate").alias("base"), part.alias("p"))
+    due = F.col("n") * F.col("rate")
+    part = due - F.floor(due)
+    part = F.when(part < NEAR, 0.0).otherwise(part)
+    units = units.select(*sizes.columns, "source_size", "target", (F.floor(due) + (part > 1 - NEAR).cast("long")).alias("base"), F.when(part > 1 - NEAR, 0.0).otherwise(part).alias("p"))
     done, level, open_ = [], 0, units
     undecided = (F.col("p") > 0) & (F.col("p") < 1)
     while True:
@@ -144,7 +149,7 @@ def decided(sizes: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: floa
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more)
-    return rows.select(*sizes.columns, "source_size", "target", (F.col("base") + F.round("p")).cast("int").alias("copies"))
+    return rows.select(*sizes.columns, "source_size", "target", (F.col("base") + F.round("p")).cast("long").alias("copies"))
 
 
 def sizes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -154,19 +159,34 @@ def sizes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", sou
     return written(rows.groupBy("doc_id", "source", "size", "t").agg(F.count("*").alias("n")))
 
 
+def _share(place: str) -> Column:
+    """The copies of one of n rows, which is at that place (from 0) among them."""
+    return F.expr(f"int(copies div n + int({place} < copies % n))")
+
+
 def taken(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """One row for each row of docs: doc_id, source, size, source_size, target and copies."""
-    rows = decided(sizes(docs, id_column=id_column, text=text, source=source), **how)
-    return rows.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("row", "n", "t")
+    rows = repeated(written(decided(sizes(docs, id_column=id_column, text=text, source=source), **how)), "n", "row")
+    return rows.withColumn("copies", _share("row")).drop("row", "n", "t")
 
 
 def mix(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The rows of docs, with their columns, each as often as the mix takes it."""
-    key = lambda i, s, t: [F.coalesce(i, F.lit(0)).alias("k_id"), F.isnull(i).alias("k_no_id"), F.coalesce(s, F.lit("")).alias("k_source"), F.isnull(s).alias("k_no_source"), t.alias("k_t")]
+    names = ["k_id", "k_no_id", "k_source", "k_no_source", "k_t"]
+    key = lambda i, s, t: [c.alias(k) for k, c in zip(names, (F.coalesce(i, F.lit(0)), F.isnull(i), F.coalesce(s, F.lit("")), F.isnull(s), t), strict=True)]
     chosen = decided(sizes(docs, id_column=id_column, text=text, source=source), **how).where("copies > 0")
-    chosen = chosen.select("copies", *key(F.col("doc_id"), F.col("source"), F.col("t")))
+    chosen = written(chosen.select("n", "copies", *key(F.col("doc_id"), F.col("source"), F.col("t"))))
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    rows = docs.select(doc, *key(F.col(f"`{id_column}`"), F.col(f"`{source}`"), F.xxhash64(text_of(f"`{text}`"))))
-    rows = rows.join(chosen, ["k_id", "k_no_id", "k_source", "k_no_source", "k_t"])
-    rows = rows.select(F.explode(F.array_repeat("doc", F.col("copies"))).alias("doc"))
+    keyed = docs.select(doc, *key(F.col(f"`{id_column}`"), F.col(f"`{source}`"), F.xxhash64(text_of(f"`{text}`"))))
+    rows = keyed.join(chosen.where("copies % n = 0"), names).select("doc", F.expr("int(copies div n)").alias("copies"))
+    uneven = chosen.where("copies % n <> 0")
+    if uneven.limit(1).count():
+        # Repeated rows are numbered within each file that holds them, behind those of earlier files.
+        found = written(keyed.join(uneven, names).withColumn("at", F.monotonically_increasing_id())).withColumn("file", F.shiftright("at", 33))
+        files = found.groupBy(*names, "file").agg(F.count("*").alias("held"))
+        before = F.coalesce(F.sum("held").over(Window.partitionBy(*names).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        numbered = found.withColumn("place", F.row_number().over(Window.partitionBy(*names, "file").orderBy("at")) - 1)
+        numbered = numbered.join(files.select(*names, "file", before.alias("before")), [*names, "file"])
+        rows = rows.unionByName(numbered.select("doc", _share("place + before").alias("copies")))
+    rows = rows.where("copies > 0").select(F.explode(F.array_repeat("doc", F.col("copies"))).alias("doc"))
     return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

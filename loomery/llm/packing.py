@@ -11,7 +11,7 @@ that memory is bounded and the bins of all blocks together waste hardly more tha
 global packing: a block leaves a few bins that could be fuller.
 
 Defined results: a null or empty text has one piece of 0 words without a bin; repeated
-rows are packed each; only the id and the text are read; an empty table gives none.
+rows are packed each, and dealt to blocks like any others; only the id and the text are read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import text_of, words, written
+from loomery.llm.common import repeated, text_of, words, written
 
 CAPACITIES, BLOCK = (512, 1024, 2048, 4096), 20_000
 #: A sequence of c words costs c + c * c / ATTENTION.
@@ -76,10 +76,12 @@ def pieces(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", lo
 
 def pack(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", capacities: Sequence[int] = CAPACITIES, attention: float = ATTENTION, block: int = BLOCK) -> DataFrame:
     """doc_id, start, n_words of each piece, its bin_id, the bin's capacity and the piece's place in it."""
-    cut = written(pieces(docs, id_column=id_column, text=text, longest=max(capacities)))
-    full = cut.where("n_words > 0")
+    # Pieces alike in id, start and length are counted, and numbered, so that they don't all land in one block.
+    cut = pieces(docs, id_column=id_column, text=text, longest=max(capacities)).groupBy("doc_id", "start", "n_words").agg(F.count("*").alias("n"))
+    cut = repeated(written(cut), "n", "copy").drop("n")
+    full = written(cut.where("n_words > 0"))
     blocks = -(-full.count() // block) or 1
-    dealt = full.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "n_words"), F.lit(blocks)))
+    dealt = full.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "n_words", "copy"), F.lit(blocks))).drop("copy")
     schema = "doc_id long, start int, n_words int, bin_id long, capacity int, place int"
 
     def packed(part: pa.Table) -> pa.Table:

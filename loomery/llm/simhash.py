@@ -1,9 +1,11 @@
 """SimHash near-duplicates, found by pigeonhole blocks.
 
-A fingerprint of 64 bits is cut into BLOCKS pieces. Two fingerprints that differ in
-at most DISTANCE bits agree in at least BLOCKS - DISTANCE pieces, so each pair that
-is close shares one of the keys made of that many pieces. Candidates are joined on
-these keys and verified by their Hamming distance; none is missed.
+A fingerprint of 64 bits is cut into pieces. Two fingerprints that differ in at most
+DISTANCE bits agree in all but DISTANCE pieces at least, so each pair that is close
+shares one of the keys made of that many pieces. Candidates are joined on these keys
+and verified by their Hamming distance; none is missed. There are six pieces (15 keys of
+21 bits) for up to eight million fingerprints, and up to ten (210 keys of 38 bits) for
+more, so that chance meetings under a key don't grow with the corpus.
 
 Exact copies have one fingerprint and are folded together before the join. Within a
 key, fingerprints are compared where they are and only a spanning forest of the
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from loomery.llm.common import shuffles, text_of, written
 from loomery.llm.components import components
 
-BITS, DISTANCE, BLOCKS, SHINGLE, SEED, CHUNK, SALTS = 64, 4, 6, 4, 42, 1500, 16
+BITS, DISTANCE, SHINGLE, SEED, CHUNK, SALTS = 64, 4, 4, 42, 1500, 16
+#: Numbers of pieces to choose from; more pieces give more keys of more bits. A key should be shared by CROWD prints at most, by chance.
+BLOCKS, CROWD = (6, 7, 8, 10), 4
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -67,7 +71,12 @@ def fingerprint(text: Column) -> Column:
     return of(text)
 
 
-def key_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
+def pieces_for(n: int, distance: int = DISTANCE) -> int:
+    """Into how many pieces n fingerprints are cut: as few as keep their keys apart. The links found are the same."""
+    return next((b for b in BLOCKS if b > distance and n <= CROWD << (BITS * (b - distance) // b)), max(*BLOCKS, distance + 1))
+
+
+def key_masks(blocks: int, distance: int = DISTANCE) -> list[int]:
     """The bits of each key: every choice of blocks - distance of the pieces."""
     cuts = [BITS * k // blocks for k in range(blocks + 1)]
     pieces = [(1 << cuts[k + 1]) - (1 << cuts[k]) for k in range(blocks)]
@@ -133,8 +142,9 @@ def _linked(rows: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFram
         yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
 
 
-def links(prints: DataFrame, *, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+def links(prints: DataFrame, *, distance: int = DISTANCE, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """From distinct fingerprints (fp long): a, b, links that connect what is at most distance bits apart."""
+    blocks = blocks or pieces_for(prints.count(), distance)
     masks = F.array(*[F.lit(_signed(m)) for m in key_masks(blocks, distance)])
     keyed = prints.select("fp", F.posexplode(masks).alias("k", "m")).select("fp", F.xxhash64("k", F.col("fp").bitwiseAND(F.col("m"))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -158,7 +168,7 @@ def class_components(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     Components are told apart by root; where an id is repeated, or all are null, several have one component_id.
     """
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes.select("fp"), distance=distance))
     linked = F.isnotnull("root").alias("linked")
     placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", linked, F.coalesce("root", "fp").alias("root"))

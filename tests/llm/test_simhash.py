@@ -81,3 +81,13 @@ def test_deduplicate_by_component(spark):
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept if r.doc_id) == sorted([(1, one), (1, two)])
     assert [r.text in (three, three + " tail") for r in kept if r.doc_id is None] == [True]
+
+
+def test_more_pieces_find_the_same(spark):
+    """However many pieces are chosen for a table's size, the components are the same."""
+    r = np.random.default_rng(5)
+    prints = {int(c) ^ sum(1 << int(b) for b in r.choice(64, int(r.integers(0, 5)), replace=False)) for c in r.integers(0, 1 << 63, 30) for _ in range(8)}
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    found = [{(x.node, x.root) for x in simhash.components(simhash.links(df, blocks=b)).collect()} for b in simhash.BLOCKS]
+    assert all(f == found[0] for f in found)
+    assert [simhash.pieces_for(n) for n in (10, 10**7, 10**9, 10**12)] == [6, 7, 8, 10]
