@@ -27,9 +27,11 @@ def local_session(cores: int | None = None, **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for shared files; one of our own only where none is set."""
+    """The folder that the cluster names for shared files; one of our own only in a local session without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loomery-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -38,9 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df, written once as Parquet to the shared folder and read from there.
 
-    What follows reads files, so a lost executor costs no recomputation of df.
+    What follows reads files, so a lost executor costs no recomputation of df. The files
+    stay for as long as plans may read them; the folder is the cluster's to clear.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/loomery-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
