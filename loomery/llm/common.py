@@ -31,12 +31,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def repeated(df: DataFrame, n: str, index: str, run: int = 10_000) -> DataFrame:
-    """Each row of df as often as its column `n` (1 or more) says, with `index` counting from 0.
+def repeated(df: DataFrame, n: str, index: str, most: int | None = None, run: int = 10_000) -> DataFrame:
+    """Each row of df as often as its column `n` (1 or more, `most` at most if given) says, with `index` counting from 0.
 
     Long runs are cut and dealt to all tasks before they are made, so that no task makes a whole one.
     """
     each = lambda rows, most: rows.withColumn(index, F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long") - 1)))
+    if most is not None and most <= run:
+        return each(df, F.col(n))
     short = each(df.where(F.col(n) <= run), F.col(n))
     cut = df.where(F.col(n) > run).withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1, F.lit(run).cast("long"))))
     long = each(cut.repartition(shuffles(df.sparkSession)), F.least(F.lit(run), F.col(n) - F.col("_cut")))

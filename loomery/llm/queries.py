@@ -40,7 +40,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.formatted(table(spark, sf_dir, "conversations"))
+    return chat.formatted(*chat.as_calls(table(spark, sf_dir, "conversations")))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +84,30 @@ k AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELEC
   ANTI JOIN (SELECT r, unnest(gone) AS i FROM p) AS q USING (r, i) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (r)""",
-        "op6_chat_formatting": """
-SELECT conv_id, turn, role, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_valid,
-  'plain' AS status, 0 AS level, CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS line
-FROM conversations""",
+        "op6_chat_formatting": r"""
+WITH m AS (
+  SELECT conv_id, turn, role, text, coalesce(text, '') AS t, 'u' || turn AS me, 'u' || (turn - 1) AS asked, 'u' || (turn - 2) AS needs
+  FROM conversations),
+c AS (
+  SELECT *, CASE WHEN length(t) < 100 THEN 'expand' ELSE 'reply' END AS name, len(list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+    CASE WHEN contains(t, chr(10)) THEN length(t) - length(replace(t, chr(10), '')) + 1 END AS lines
+  FROM m WHERE role = 'user'),
+chain AS (SELECT conv_id, turn, turn - 2 * (row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) - 1) AS start FROM c),
+lv AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, start ORDER BY turn) - 1 AS level FROM chain),
+calls AS (
+  SELECT c.*, lv.level, a.turn IS NOT NULL AS linked,
+    CASE WHEN name = 'expand' AND lines IS NOT NULL THEN ['unknown lines'] WHEN name = 'reply' AND lines IS NULL THEN ['missing lines'] ELSE CAST([] AS VARCHAR[]) END AS errors
+  FROM c JOIN lv USING (conv_id, turn) LEFT JOIN m AS a ON a.conv_id = c.conv_id AND a.role = 'assistant' AND a.turn = c.turn + 1)
+SELECT conv_id, turn, 'assistant' AS role, CAST(1 AS BIGINT) AS n_calls, CAST(linked AS BIGINT) AS n_linked, CAST(len(errors) = 0 AS BIGINT) AS n_valid, 'calls' AS status, CAST(level AS INTEGER) AS level,
+  '{"content":null,"role":"assistant","tool_calls":[{"arguments":{' || coalesce('"lines":' || lines || ',', '') || '"words":' || words || '},"errors":' || CAST(to_json(errors) AS VARCHAR) || ',"id":"' || me
+  || '","level":' || CASE WHEN linked THEN CAST(level AS VARCHAR) ELSE 'null' END || ',"name":"' || name || '","status":"' || CASE WHEN linked THEN 'linked' ELSE 'open' END || '"}]}' AS line
+FROM calls
+UNION ALL
+SELECT m.conv_id, m.turn, 'tool', 0, 0, 0, CASE WHEN lv.turn IS NULL THEN 'orphan' ELSE 'linked' END, CAST(coalesce(lv.level + 1, -1) AS INTEGER),
+  CAST(to_json({'content': text, 'role': 'tool', 'tool_call_id': asked}) AS VARCHAR)
+FROM m LEFT JOIN lv ON lv.conv_id = m.conv_id AND lv.turn = m.turn - 1 WHERE role = 'assistant'
+UNION ALL
+SELECT conv_id, turn, role, 0, 0, 0, 'plain', 0, CAST(to_json({'content': text, 'role': role}) AS VARCHAR) FROM m WHERE role NOT IN ('user', 'assistant')""",
         "op8_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
 g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
