@@ -34,7 +34,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.compared(table(spark, sf_dir, "documents"))
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.written_out("signature").alias("fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", fingerprints.written_out("signature").alias("fingerprint"),
         fingerprints.written_out("edited_signature").alias("edited_fingerprint"), "near_edited", "near_next",
     )
 
