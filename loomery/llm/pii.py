@@ -1,48 +1,62 @@
 """Personal data, by fixed patterns and by bootstrapped contextual extraction.
 
-Four kinds are found by pattern: email, ip, card, phone. These matches are the seeds.
-Every match, and every other token that holds a digit or an at sign, is an occurrence
-of an instance in lexical patterns: the words before it, and the words around it. In
-rounds, a pattern is scored by the share of its distinct instances that are known to
-be of a kind, and an instance by all patterns that vouch for it; those of high score
-join the known ones. At the end, tokens whose pattern and instance are both trusted
-become spans of that kind. They are added to the matches and never replace one.
-
-Only DataFrame and SQL functions are used. The texts are read once; what follows works
-on occurrences, which are few, and is reduced by aggregates, so that a context or a
-value that is very common is never collected in one place.
+Four kinds are found by pattern: email, ip, card, phone. These matches are seed entities; a
+fifth kind, secret, has seeds only: keys in the form of a digest in hexadecimal digits. Every
+match, and every other candidate, is an occurrence of an instance in lexical patterns: the
+three words before it, two words before and one after, and, for candidates of one form, two
+words before, or one on either side. Candidates are the other tokens that hold a digit or an
+at sign, up to eight of them if only blanks or brackets part them.
+
+Patterns and instances are scored in rounds: a pattern by the share of its distinct
+instances that are known to be of a kind, an instance by all trusted patterns that vouch for
+it, and those of high score become known. Known sets only grow and scores only rise, on a
+grid of six digits, so the rounds come to an end; they go on until nothing changes. Then
+the candidates whose pattern and instance are both trusted become spans. They are added to
+the matches and never replace one. So seeds of the fifth kind are spans only in a trusted context.
+
+Only DataFrame and SQL functions are used. The texts are read once; what follows works on
+occurrences, which are few, one row each, and is reduced by aggregates, so that a context or
+a value that is very common is never collected in one place. Places, overlaps and unions
+are running sums and maxima, and texts are masked in blocks, so that the work grows with
+a text's length and matches, not with their square.
 
 Defined results: a null text is empty and has no spans; repeated rows get one result
 row each; a null doc_id is kept; other columns are ignored by `find` and kept by `mask`
 whatever their names; an empty table gives none. Overlapping spans of different kinds
-all count; `mask` covers their union and names it after the span that begins first.
+all count; `mask` covers their union and names it after the span that begins first. A word of
+over CONTEXT characters ends a context, as does a match of the same kind; digits of contexts are all 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.llm.common import text_of, written
 
-KINDS = ("email", "ip", "card", "phone")
-KIND_NAMES = f"array{KINDS}"
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = KINDS[:4]
 
 # A match can't begin right after a character that it could have begun with, unless the
 # last match ended there; saying so, and giving nothing back, keeps the search linear.
 LOCAL = r"[A-Za-z0-9._%+-]"
 BREAK = r"""\s,;|"'()<>\[\]{}"""
+TOKEN = rf"(?=[^{BREAK}0-9@]*+[0-9@])[^{BREAK}]++"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     # Chains of fewer digits than a card has can't pass, at whichever digit they begin.
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "token": rf"(?<![^{BREAK}])(?=[^{BREAK}]*[0-9@])[^{BREAK}]++",
+    "token": rf"(?:\((?=[0-9]++\))|(?<![^{BREAK}])){TOKEN}(?:[\x20()]{{1,2}}{TOKEN}){{0,7}}+",
 }
 HINT = {"email": "t LIKE '%@%'", "ip": "digits", "card": "digits", "phone": "digits AND t LIKE '%+%'", "token": "digits OR t LIKE '%@%'"}
+#: Seeds of secrets, and words in whose company such digits are no secret.
+SECRET = "^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
+OPEN = "(commit|revision|checksum|digest|sha1|sha256|md5|blob|etag|uuid)"
 
-ROUNDS, SEEDS, PATTERN_SCORE, INSTANCE_SCORE, CONTEXT = 3, 3, 0.6, 0.7, 48
+SEEDS, PATTERN_SCORE, INSTANCE_SCORE, CONTEXT, CUT = 3, 0.6, 0.7, 256, 4096
+_KEY = ["no_id", "id", "h"]
 
 
 def _valid(kind: str, v: str) -> str:
@@ -59,129 +73,162 @@ def _valid(kind: str, v: str) -> str:
     return f"length({v}) > 0"
 
 
-def _sum(lengths: str, first: str, n: str) -> str:
-    return f"aggregate(slice({lengths}, {first}, {n}), 0, (a, x) -> a + x)"
-
-
-def located(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
-    """The columns `keep`, t, and for each pattern its matches: an array of structs s, e, v.
+def scanned(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of docs, read once and stored: row, doc_id, h (a hash of the text) and found.
 
-    Positions are the running sum of the lengths of matches and of what lies between
-    them, made of sums over chunks of 64 so that texts with many matches stay cheap.
+    found holds all matches of all patterns, in order for each: p (the pattern's number), i, g (the
+    characters since the last one), n (its characters), v, ok (whether it counts), and `left` and
+    `right`, the text on either side as far as the next match of the pattern, CONTEXT characters at most.
     """
-    keep_names = [f"k{i}" for i in range(len(keep))]
-    step = docs.select(*[c.alias(k) for k, c in zip(keep_names, keep, strict=True)], text.alias("t"))
+    t = text_of(f"`{text}`")
+    step = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.xxhash64(t).alias("h"), t.alias("t"))
     step = step.select("*", F.expr("t RLIKE '[0-9]'").alias("digits"))
     quoted = {k: rx.replace("\\", "\\\\").replace("'", "\\'") for k, rx in PATTERNS.items()}
     step = step.select("*", *[F.expr(f"CASE WHEN {HINT[k]} THEN regexp_extract_all(t, '{rx}', 0) END").alias(f"m_{k}") for k, rx in quoted.items()])
-    step = step.select("*", *[F.expr(f"CASE WHEN size(m_{k}) > 0 THEN transform(split(t, '{rx}', -1), x -> length(x)) END").alias(f"g_{k}") for k, rx in quoted.items()])
-    step = step.select("*", *[F.expr(f"transform(slice(g_{k}, 1, size(m_{k})), (g, i) -> g + length(m_{k}[i]))").alias(f"l_{k}") for k in quoted])
-    step = step.select("*", *[F.expr(f"CASE WHEN size(l_{k}) > 0 THEN transform(sequence(0, int((size(l_{k}) - 1) div 64)), c -> {_sum(f'l_{k}', 'c * 64 + 1', '64')}) END").alias(f"c_{k}") for k in quoted])
-    begins = {k: f"{_sum(f'c_{k}', '1', 'int(i div 64)')} + {_sum(f'l_{k}', 'int(i div 64) * 64 + 1', 'i % 64')} + g_{k}[i]" for k in quoted}
+    step = step.select("doc_id", "h", *[f"m_{k}" for k in quoted], *[F.expr(f"CASE WHEN size(m_{k}) > 0 THEN split(t, '{rx}', -1) END").alias(f"g_{k}") for k, rx in quoted.items()])
+    # A cut word at the far end of a context is dropped.
+    left = r"CASE WHEN length({g}[i]) > " + str(CONTEXT) + r" THEN regexp_replace(right({g}[i], " + str(CONTEXT) + r"), '^\\S+', '') ELSE {g}[i] END"
+    right = r"CASE WHEN length({g}[i + 1]) > " + str(CONTEXT) + r" THEN regexp_replace(left({g}[i + 1], " + str(CONTEXT) + r"), '\\S+$', '') ELSE {g}[i + 1] END"
     # A token is taken without the punctuation that ends it.
-    text_at = {k: "regexp_replace(m_token[i], '[.:!?]+$', '')" if k == "token" else f"m_{k}[i]" for k in quoted}
-    step = step.select(*keep_names, "t", *[F.expr(f"CASE WHEN size(l_{k}) > 0 THEN transform(m_{k}, (m, i) -> named_struct('s', {begins[k]}, 'v', {text_at[k]})) END").alias(f"p_{k}") for k in quoted])
-    none = "CAST(array() AS array<struct<s: int, e: int, v: string>>)"
-    spans = {k: f"coalesce(transform(filter(p_{k}, p -> {_valid(k, 'p.v')}), p -> named_struct('s', p.s, 'e', p.s + length(p.v), 'v', p.v)), {none})" for k in quoted}
-    return step.select(*[F.col(k) for k in keep_names], "t", *[F.expr(sql).alias(k) for k, sql in spans.items()])
+    value = {k: "regexp_replace(m, '[.:!?]+$', '')" if k == "token" else "m" for k in quoted}
+    none = "CAST(array() AS array<struct<p: int, i: int, g: int, n: int, v: string, ok: boolean, left: string, right: string>>)"
+    each = [
+        f"""coalesce(transform(m_{k}, (m, i) -> named_struct('p', {p}, 'i', i, 'g', length(g_{k}[i]), 'n', length(m), 'v', {value[k]}, 'ok', {_valid(k, value[k])},
+            'left', {left.format(g=f'g_{k}')}, 'right', {right.format(g=f'g_{k}')})), {none})"""
+        for p, k in enumerate(quoted)
+    ]
+    return written(step.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", F.expr(f"concat({', '.join(each)})").alias("found")))
 
 
-def scanned(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs, read once and stored: doc_id, h (a hash of the text), base and tokens.
+def occurrences(scan: DataFrame) -> DataFrame:
+    """From scanned texts, stored: row, doc_id, h, s, e, v, kind (null for candidates), patterns.
 
-    base holds the spans s, e, v, kind of the fixed patterns, by s and then kind; tokens
-    holds the other candidates; both with their contexts: `before` and `around`.
+    Places are running sums over the matches of one pattern and text. Candidates that touch a
+    match are left out: those that begin before the running maximum of ends, or end after the next start.
     """
-    t = text_of(f"`{text}`")
-    rows = located(docs, t, [F.col(f"`{id_column}`"), F.xxhash64(t)])
-    kinds = [f"transform({k}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e, 'v', x.v))" for i, k in enumerate(KINDS)]
-    rows = rows.withColumn("base", F.expr(f"array_sort(concat({', '.join(kinds)}))"))
-    # Tokens that no span touches. Spans of one text are few beside tokens, and both are in order.
-    rows = rows.withColumn("free", F.expr("CASE WHEN size(base) = 0 THEN token ELSE filter(token, x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e)) END"))
-    left = rf"slice(concat(array('', ''), split(lower(substr(t, greatest(1, x.s + 1 - {CONTEXT}), least({CONTEXT}, x.s))), '[\\x20\\x09-\\x0D]+')), -3, 3)"
-    right = rf"slice(split(lower(substr(t, x.e + 1, {CONTEXT})), '[\\x20\\x09-\\x0D]+'), 1, 2)"
-    contexts = f"array_join({left}, ' ') AS before, concat(array_join(slice({left}, -2, 2), ' '), ' _ ', array_join({right}, ' ')) AS around"
-    base = f"transform(base, x -> struct(x.s AS s, x.e AS e, x.v AS v, {KIND_NAMES}[x.k] AS kind, {contexts}))"
-    free = f"transform(free, x -> struct(x.s AS s, x.e AS e, x.v AS v, CAST(NULL AS string) AS kind, {contexts}))"
-    return written(rows.select(F.col("k0").alias("doc_id"), F.col("k1").alias("h"), F.expr(base).alias("base"), F.expr(free).alias("tokens")))
-
-
-def bootstrapped(scan: DataFrame, *, rounds: int = ROUNDS, seeds: int = SEEDS, pattern_score: float = PATTERN_SCORE, instance_score: float = INSTANCE_SCORE) -> tuple[DataFrame, DataFrame]:
-    """Trusted patterns (pattern, kind, score) and trusted instances (v, kind, score) of scanned texts.
+    rows = scan.where("size(found) > 0").select("row", "doc_id", "h", F.explode("found").alias("x")).repartition("row")
+    so_far = Window.partitionBy("row", "x.p").orderBy("x.i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("s", F.sum(F.col("x.g") + F.col("x.n")).over(so_far).cast("int") - F.col("x.n")).where("x.ok")
+    rows = rows.select("row", "doc_id", "h", "s", (F.col("s") + F.length("x.v")).alias("e"), F.col("x.v").alias("v"), F.get(F.array(*map(F.lit, BASE)), F.col("x.p")).alias("kind"), "x.left", "x.right")
+    base = F.isnotnull("kind")
+    # At one place matches come before candidates, whichever way the text is gone through.
+    rows = rows.withColumn("before", F.max(F.when(base, F.col("e"))).over(Window.partitionBy("row").orderBy("s", F.desc(base)).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("after", F.min(F.when(base, F.col("s"))).over(Window.partitionBy("row").orderBy(F.desc("s"), F.desc(base)).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where(base | ((F.coalesce("before", F.lit(0)) <= F.col("s")) & F.coalesce(F.col("after") >= F.col("e"), F.lit(True))))
+    words = lambda c: F.array_remove(F.split(F.regexp_replace(F.lower(c), "[0-9]", "0"), r"\s+"), "")
+    rows = rows.withColumn("l", F.slice(F.reverse(words(F.col("left"))), 1, 3)).withColumn("r", F.get(words(F.col("right")), 0))
+    form = F.expr(r"CASE WHEN v LIKE '%@%' THEN '@' WHEN v RLIKE '^[0-9 ().+-]*$' THEN '0' ELSE 'x' END")
+    two = F.concat_ws(" ", F.get("l", 1), F.get("l", 0))
+    patterns = F.array(
+        F.when(F.size("l") >= 3, F.concat(F.get("l", 2), F.lit(" "), two, F.lit(" _"))),
+        F.when(F.size("l") >= 2, F.concat(two, F.lit(" _ "), F.col("r"))),
+        F.when(F.size("l") >= 2, F.concat(two, F.lit(" _|"), form)),
+        F.when(F.size("l") >= 1, F.concat(F.get("l", 0), F.lit(" _ "), F.col("r"), F.lit("|"), form)),
+    )
+    patterns = F.filter(F.array_distinct(F.array_compact(patterns)), lambda p: p.rlike(r"^[^|]*\p{L}"))  # punctuation alone says nothing
+    return written(rows.select("row", "doc_id", "h", "s", "e", "v", "kind", patterns.alias("patterns")))
+
+
+def bootstrapped(seen: DataFrame, *, seeds: int = SEEDS, pattern_score: float = PATTERN_SCORE, instance_score: float = INSTANCE_SCORE) -> tuple[DataFrame, DataFrame]:
+    """Trusted patterns (pattern, kind, score) and known instances (v, kind, score) of occurrences (v, kind, patterns).
 
     A pattern needs `seeds` known instances at least, and its score is the share of
-    known ones among its distinct instances. An instance's score is the chance that
-    not all of its trusted patterns are wrong.
+    known ones, by their own scores, among its distinct instances. An instance's score is the
+    chance that not all of its trusted patterns are wrong. Seeds have the score 1 and keep their kind.
     """
-    seen = scan.select(F.explode(F.concat("base", "tokens")).alias("x")).select("x.v", "x.kind", F.explode(F.array("x.before", "x.around")).alias("pattern"))
-    seen = written(seen.where("length(trim(pattern)) > 1").groupBy("pattern", "v").agg(F.max("kind").alias("kind")))
-    sizes = seen.groupBy("pattern").agg(F.count("*").alias("n"))
-    base = seen.where("kind IS NOT NULL").select("v", "kind", F.lit(1.0).alias("score")).distinct()
-    edges = seen.select("pattern", "v")
-    known, n_known = written(base), -1
-    for _ in range(rounds):
-        support = edges.join(known, "v").groupBy("pattern", "kind").agg(F.count("*").alias("k"), F.sum("score").alias("sum"))
-        best = support.where(F.col("k") >= seeds).join(sizes, "pattern").withColumn("score", F.col("sum") / F.col("n")).where(F.col("score") >= pattern_score)
+    kind = F.coalesce("kind", F.when(F.col("v").rlike(SECRET) & F.col("v").rlike("[0-9]") & F.col("v").rlike("[a-f]"), "secret"))
+    edges = seen.select("v", kind.alias("kind"), F.explode("patterns").alias("pattern")).groupBy("pattern", "v").agg(F.min("kind").alias("kind"))
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= seeds)  # no others can ever be trusted
+    edges = written(edges.join(sizes, "pattern"))
+    base = written(edges.where("kind IS NOT NULL").groupBy("v").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)))
+    known, links = base, edges.select("pattern", "v", "n")
+    while True:
+        support = links.join(known, "v").groupBy("pattern", "kind", "n").agg(F.count("*").alias("k"), F.sum("score").alias("sum"))
+        support = support.where(~((F.col("kind") == "secret") & F.col("pattern").rlike(OPEN)))
+        best = support.where(F.col("k") >= seeds).withColumn("score", F.round(F.col("sum") / F.col("n"), 6)).where(F.col("score") >= pattern_score)
         patterns = written(best.groupBy("pattern").agg(F.max(F.struct("score", "kind")).alias("b")).select("pattern", "b.kind", "b.score"))
         doubt = F.log(1 - F.least("score", F.lit(0.99)))
-        vouched = edges.join(patterns, "pattern").groupBy("v", "kind").agg((1 - F.exp(F.sum(doubt))).alias("score")).where(F.col("score") >= instance_score)
+        vouched = links.select("pattern", "v").join(patterns, "pattern").groupBy("v", "kind").agg(F.round(1 - F.exp(F.sum(doubt)), 6).alias("score")).where(F.col("score") >= instance_score)
         vouched = vouched.groupBy("v").agg(F.max(F.struct("score", "kind")).alias("b")).select("v", "b.kind", "b.score")
-        known = written(base.unionByName(vouched.join(base.select("v").distinct(), "v", "left_anti")))
-        n = known.count()
-        if n == n_known:
-            break
-        n_known = n
-    return patterns, known
-
-
-def added(scan: DataFrame, **how) -> DataFrame:
-    """Spans that the patterns don't hold and the contexts give: doc_id, h, s, e, kind, each once."""
-    patterns, known = bootstrapped(scan, **how)
-    free = scan.select("doc_id", "h", F.explode("tokens").alias("x")).select("doc_id", "h", "x.s", "x.e", "x.v", F.explode(F.array("x.before", "x.around")).alias("pattern"))
-    found = free.join(patterns.select("pattern", "kind"), "pattern").join(known.select("v", "kind"), ["v", "kind"])
-    return found.groupBy("doc_id", "h", "s", "e").agg(F.min("kind").alias("kind"))
+        after = written(base.unionByName(vouched.join(base, "v", "left_anti")))
+        changed = after.join(known, ["v", "kind", "score"], "left_anti").limit(1).count()
+        known = after
+        if not changed:
+            return patterns, known
 
 
-def _with_added(scan: DataFrame, **how) -> DataFrame:
-    """The scan with `more`, the added spans of each row."""
-    key = [F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h"]
-    more = added(scan, **how).groupBy(*key).agg(F.collect_list(F.struct("s", "e", "kind")).alias("more"))
-    return scan.select("*", *key[:2]).join(more, ["no_id", "id", "h"], "left")
+def added(seen: DataFrame, **how) -> DataFrame:
+    """Spans that the patterns don't hold and the contexts give: row, doc_id, h, s, e, kind, each once."""
+    patterns, known = bootstrapped(seen, **how)
+    free = seen.where("kind IS NULL").select("row", "doc_id", "h", "s", "e", "v", F.explode("patterns").alias("pattern"))
+    found = free.join(patterns.select("pattern", "kind"), "pattern").join(known.select("v", "kind"), ["v", "kind"])
+    return found.groupBy("row", "doc_id", "h", "s", "e").agg(F.min("kind").alias("kind"))
 
 
 _ORDER = f"array_sort(transform({{}}, x -> struct(x.s AS s, array_position(array{KINDS}, x.kind) AS k, x.e AS e)))"
 _LIST = f"array_join(transform({{}}, x -> concat_ws(':', element_at(array{KINDS}, int(x.k)), x.s, x.e)), ',')"
 
 
+def _spans(scan: DataFrame, **how) -> DataFrame:
+    """row, doc_id, h, s, e, kind, base: all spans of scanned texts."""
+    seen = occurrences(scan)
+    columns = ["row", "doc_id", "h", "s", "e", "kind"]
+    matches = seen.where("kind IS NOT NULL").select(*columns, F.lit(True).alias("base"))
+    return matches.unionByName(added(seen, **how).select(*columns, F.lit(False).alias("base")))
+
+
 def find(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """doc_id, base (matches), spans (matches and added spans): arrays of s, e, k, in order; base_list and span_list.
 
     k numbers the kind from 1. The lists write each span as kind:start:end.
     """
-    rows = _with_added(scanned(docs, id_column=id_column, text=text), **how)
-    slim = "transform({}, x -> struct(x.s AS s, x.e AS e, x.kind AS kind))"
-    base = slim.format("base")
-    rows = rows.select("doc_id", F.expr(_ORDER.format(base)).alias("base"), F.expr(_ORDER.format(f"concat({base}, coalesce(more, array()))")).alias("spans"))
+    scan = scanned(docs, id_column=id_column, text=text)
+    span = F.struct("s", "e", "kind")
+    lists = _spans(scan, **how).groupBy("row").agg(F.collect_list(F.when(F.col("base"), span)).alias("base"), F.collect_list(span).alias("spans"))  # of one text
+    none = "CAST(array() AS array<struct<s: int, e: int, kind: string>>)"
+    rows = scan.select("row", "doc_id").join(lists, "row", "left")
+    rows = rows.select("doc_id", *[F.expr(_ORDER.format(f"coalesce({c}, {none})")).alias(c) for c in ("base", "spans")])
     return rows.select("*", F.expr(_LIST.format("base")).alias("base_list"), F.expr(_LIST.format("spans")).alias("span_list"))
 
 
+def _key(doc_id: Column, h: Column) -> list[Column]:
+    return [F.isnull(doc_id).alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), h.alias("h")]
+
+
+def _unions(spans: DataFrame) -> DataFrame:
+    """From spans (_KEY, s, e, kind): their unions, in order, named after the first of each: _KEY, s, e, kind."""
+    order = Window.partitionBy(*_KEY).orderBy("s", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), "e")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("new", F.coalesce(F.col("s") >= F.max("e").over(before), F.lit(True)))
+    spans = spans.withColumn("u", F.sum(F.col("new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy(*_KEY, "u").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max(F.when(F.col("new"), F.col("kind"))).alias("kind")).drop("u")
+
+
 def mask(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs, with their columns; in the text each span is replaced by its kind, as in <EMAIL>."""
-    spans = _with_added(scanned(docs, id_column=id_column, text=text), **how).where("size(base) > 0 OR more IS NOT NULL")
-    slim = "transform(base, x -> struct(x.s AS s, x.e AS e, x.kind AS kind))"
-    spans = spans.select("no_id", "id", "h", F.expr(_ORDER.format(f"concat({slim}, coalesce(more, array()))")).alias("spans")).dropDuplicates(["no_id", "id", "h"])
-    doc_id = F.col(f"`{id_column}`")
-    t = text_of(f"`{text}`")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.isnull(doc_id).alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(t).alias("h"), t.alias("t"))
-    rows = rows.join(spans, ["no_id", "id", "h"], "left")
-    # From left to right: what lies between the spans, and the name of each that isn't under an earlier one.
+    """The rows of docs, with their columns; in the text each span is replaced by its kind, as in <EMAIL>.
+
+    A text is gone through in blocks of CUT characters, each with what covers it.
+    """
+    spans = _spans(scanned(docs, id_column=id_column, text=text), **how)
+    spans = _unions(spans.select(*_key(F.col("doc_id"), F.col("h")), "s", "e", "kind").distinct())
+    blocks = F.explode(F.sequence(F.floor(F.col("s") / CUT), F.floor((F.col("e") - 1) / CUT))).alias("b")
+    parts = spans.select(*_KEY, "s", "e", "kind", blocks)
+    start = F.col("b") * CUT
+    part = F.struct(
+        F.greatest(F.col("s") - start, F.lit(0)).cast("int").alias("s"), F.least(F.col("e") - start, F.lit(CUT)).cast("int").alias("e"),
+        F.when(F.col("s") >= start, F.concat(F.lit("<"), F.upper("kind"), F.lit(">"))).otherwise("").alias("name"),
+    )
+    parts = parts.groupBy(*_KEY, F.col("b").cast("int").alias("b")).agg(F.sort_array(F.collect_list(part)).alias("parts"))  # CUT at most
+    parts = parts.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct("b", "parts"))).alias("by_block"))  # of one text
+    doc_id, t = F.col(f"`{id_column}`"), text_of(f"`{text}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_key(doc_id, F.xxhash64(t)), t.alias("t"))
+    rows = rows.join(parts, _KEY, "left")
+    # From left to right: what lies between the spans of a block, and their names.
+    block = """aggregate(concat(by_block[b], array(struct(length(chunk) AS s, length(chunk) AS e, '' AS name))), struct(0 AS at, '' AS out),
+          (a, x) -> struct(x.e AS at, concat(a.out, substr(chunk, a.at + 1, x.s - a.at), x.name) AS out), a -> a.out)"""
     clean = F.expr(
-        f"""CASE WHEN spans IS NULL THEN t ELSE aggregate(concat(spans, array(struct(length(t) AS s, 0L AS k, length(t) AS e))), struct(0 AS at, CAST(array() AS array<string>) AS out),
-          (a, x) -> CASE
-            WHEN x.k = 0 THEN struct(x.e AS at, concat(a.out, array(substr(t, a.at + 1, x.s - a.at))) AS out)
-            WHEN x.s < a.at THEN struct(greatest(a.at, x.e) AS at, a.out AS out)
-            ELSE struct(x.e AS at, concat(a.out, array(substr(t, a.at + 1, x.s - a.at), concat('<', upper(element_at(array{KINDS}, int(x.k))), '>'))) AS out) END,
-          a -> array_join(a.out, '')) END"""
+        f"""CASE WHEN by_block IS NULL THEN t ELSE array_join(transform(regexp_extract_all(t, '(?s).{{1,{CUT}}}', 0),
+          (chunk, b) -> CASE WHEN by_block[b] IS NULL THEN chunk ELSE {block} END), '') END"""
     )
     rows = rows.select("doc", F.when(F.isnull(F.col("doc").getField(text)), F.lit(None)).otherwise(clean).alias("clean"))
     return rows.select(*[F.col("clean").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -13,8 +13,8 @@ from loomery.llm.common import table
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.find(table(spark, sf_dir, "documents"))
-    count = lambda k: F.size(F.filter("base", lambda x: x.k == k + 1)).cast("long").alias(f"n_{pii.KINDS[k]}")
-    return rows.select("doc_id", *[count(k) for k in range(len(pii.KINDS))], F.sha2("base_list", 256).alias("base_sha256"), F.col("span_list").alias("spans"))
+    count = lambda k: F.size(F.filter("base", lambda x: x.k == k + 1)).cast("long").alias(f"n_{pii.BASE[k]}")
+    return rows.select("doc_id", *[count(k) for k in range(len(pii.BASE))], F.sha2("base_list", 256).alias("base_sha256"), F.col("span_list").alias("spans"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
