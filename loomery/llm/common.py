@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.session import stored as written
 
-__all__ = ["BLANKS", "repeated", "shuffles", "table", "text_of", "words", "written"]
+__all__ = ["BLANKS", "bit_map", "in_bit_map", "repeated", "shuffles", "table", "text_of", "words", "written"]
 
 #: Words are separated by the six ASCII white-space characters only.
 BLANKS = r"[\x20\x09-\x0D]+"
+MAP_BITS, _CHUNK_BITS = 27, 16
 
 
 def text_of(column: str | Column) -> Column:
@@ -43,3 +46,29 @@ def repeated(df: DataFrame, n: str, index: str, most: int | None = None, run: in
     cut = df.where(F.col(n) > run).withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1, F.lit(run).cast("long"))))
     long = each(cut.repartition(shuffles(df.sparkSession)), F.least(F.lit(run), F.col(n) - F.col("_cut")))
     return short.unionByName(long.withColumn(index, F.col("_cut") + F.col(index)).drop("_cut"))
+
+
+def bit_map(keys: DataFrame, column: str) -> bytes:
+    """Bits at the hashes of a column of longs, modulo 2 ** MAP_BITS: 16 MB at the default, whatever the input.
+
+    To leave out, before a shuffle, what can't match: it lets through too much, the more the fuller it is, and never too little.
+    """
+    low = F.col(column).bitwiseAND((1 << MAP_BITS) - 1)
+    chunks = keys.select(F.shiftright(low, _CHUNK_BITS).alias("chunk"), low.bitwiseAND((1 << _CHUNK_BITS) - 1).cast("int").alias("bit")).distinct()
+
+    def packed(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << _CHUNK_BITS, bool)
+        bits[rows["bit"].to_numpy()] = True
+        return pa.table({"chunk": rows["chunk"][:1], "bits": [np.packbits(bits).tobytes()]})
+
+    size = 1 << (_CHUNK_BITS - 3)
+    out = bytearray(1 << (MAP_BITS - 3))
+    for row in chunks.groupBy("chunk").applyInArrow(packed, "chunk long, bits binary").toLocalIterator():
+        out[row.chunk * size : (row.chunk + 1) * size] = row.bits
+    return bytes(out)
+
+
+def in_bit_map(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash (unsigned) is set in a bit map, given as bytes."""
+    low = hashes & np.uint64((1 << MAP_BITS) - 1)
+    return (bits[low >> np.uint64(3)] >> (7 - (low & np.uint64(7)).astype(np.uint8))) & 1 == 1

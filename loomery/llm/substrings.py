@@ -36,10 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import text_of, written
+from loomery.llm.common import bit_map, in_bit_map, text_of, written
 
-WINDOW, GRAM, BLOCK, HOT, MAP_BITS = 35, 16, 4_000, 2_000, 27
-_CHUNK_BITS = 16
+WINDOW, GRAM, BLOCK, HOT = 35, 16, 4_000, 2_000
 HELD = 500_000  # windows that a task holds before it hands them on
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -93,24 +92,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"anchor": np.concatenate(found).view(np.int64)})
 
 
-def _bit_map(twice: DataFrame) -> bytes:
-    """Bits at the anchors of `twice`, modulo 2 ** MAP_BITS: 16 MB at the default, whatever the input."""
-    low = F.col("anchor").bitwiseAND((1 << MAP_BITS) - 1)
-    chunks = twice.select(F.shiftright(low, _CHUNK_BITS).alias("chunk"), low.bitwiseAND((1 << _CHUNK_BITS) - 1).cast("int").alias("bit")).distinct()
-
-    def packed(rows: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << _CHUNK_BITS, bool)
-        bits[rows["bit"].to_numpy()] = True
-        return pa.table({"chunk": rows["chunk"][:1], "bits": [np.packbits(bits).tobytes()]})
-
-    size = 1 << (_CHUNK_BITS - 3)
-    out = bytearray(1 << (MAP_BITS - 3))
-    for row in chunks.groupBy("chunk").applyInArrow(packed, "chunk long, bits binary").toLocalIterator():
-        out[row.chunk * size : (row.chunk + 1) * size] = row.bits
-    return bytes(out)
-
-
-def _candidates(bit_map) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _candidates(marked) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()), ("segment", pa.int64()), ("windows", pa.list_(pa.int64()))])
 
     def packed(batch: pa.RecordBatch, rows: dict[str, list]) -> pa.RecordBatch:
@@ -120,7 +102,7 @@ def _candidates(bit_map) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         return pa.record_batch([batch["id"].take(row), batch["h"].take(row), pa.array(cat["start"].astype(np.int32)), pa.array(cat["anchor"].view(np.int64)), pa.array(cat["segment"].view(np.int64)), windows], schema=schema)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bit_map.value, np.uint8)
+        bits = np.frombuffer(marked.value, np.uint8)
         for batch in batches:
             rows, held = defaultdict(list), 0
             for row, text in enumerate(batch["text"]):
@@ -128,8 +110,7 @@ def _candidates(bit_map) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 if len(words) < WINDOW:
                     continue
                 hashes, first, n, anchor = segments(words)
-                low = anchor & np.uint64((1 << MAP_BITS) - 1)
-                here = (bits[low >> np.uint64(3)] >> (7 - (low & np.uint64(7)).astype(np.uint8))) & 1 == 1
+                here = in_bit_map(anchor, bits)
                 if not here.any():
                     continue
                 first, n, anchor = first[here], n[here], anchor[here]
@@ -195,9 +176,9 @@ def duplicate_spans(docs: DataFrame, *, id_column: str = "doc_id", text: str = "
     t = text_of(f"`{text}`")
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.xxhash64(t).alias("h"), t.alias("text"))
     twice = texts.select("text").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    bit_map = spark.sparkContext.broadcast(_bit_map(twice))
-    found = written(texts.mapInArrow(_candidates(bit_map), "id long, h long, start int, anchor long, segment long, windows array<long>"))
-    bit_map.unpersist()
+    marked = spark.sparkContext.broadcast(bit_map(twice, "anchor"))
+    found = written(texts.mapInArrow(_candidates(marked), "id long, h long, start int, anchor long, segment long, windows array<long>"))
+    marked.unpersist()
 
     key = ["anchor", "segment"]
     copies = found.groupBy(*key).agg(F.count("*").alias("m"), F.first("windows").alias("windows"))

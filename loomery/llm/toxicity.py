@@ -12,8 +12,14 @@ continued by one base, trained on the ordinary rest, in which common words are f
 A window is compressed behind a fixed frame that ends both dictionaries, since zstandard
 doesn't shorten inputs of a few bytes.
 
-The model is fitted on at most SAMPLE labelled documents of each class (taken by hash, and
-at most SAMPLE_CHARS characters in all); scoring covers every window of every text.
+The labelled documents are in four folds. Dictionaries are trained on two of them. The
+thresholds, the gains that only a given share of ordinary windows reaches, and the curve are
+calibrated on a third, which the dictionaries haven't seen; the fourth is held out.
+
+The model is fitted on at most SAMPLE labelled documents of each class, taken by hash, and
+at most SAMPLE_CHARS characters in all: documents of over LONG characters come last, and those that
+would pass the bound are left out, but the first of a class never is. A document id
+stands for one text (that of least hash) here. Scoring covers every window of every text.
 
 Defined results: a null text is empty and is scored like any; a null id isn't held out;
 labels without an id or a mark are left out, and a document that has several labels is
@@ -28,7 +34,6 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -39,12 +44,13 @@ from pyspark.sql import functions as F
 
 from loomery.llm.common import shuffles, text_of, written
 
-SAMPLE, SAMPLE_CHARS = 4_000, 40_000_000
-CUT, FOLDS, HELD_OUT = 0.3, 4, 2
+SAMPLE, SAMPLE_CHARS, LONG = 4_000, 40_000_000, 1_000_000
+CUT, FOLDS, HELD_OUT, CALIBRATED = 0.3, 4, 2, 3
 #: Of a class's documents, the share that must hold a word; how many times the other class's share that must be, at least.
 SHARE, TIMES, COMMON = 0.02, {1: 4.0, 0: 2.0}, 0.001
 OWN_SIZE, BASE_SIZE, LEVEL, CACHED = 2_048, 32_768, 16, 400_000
-THRESHOLDS = (1, 2, 4, 6)
+#: The thresholds are the least gains that these shares of ordinary windows reach, at most.
+RARITY, MOST = (0.1, 0.01, 0.001, 0.0001), 24  # gains beyond MOST bytes either way count as MOST
 FRAME = b"\x01the frame of every window, 0123456789\x02"
 _EDGES = string.punctuation.encode()
 
@@ -58,6 +64,7 @@ class Model:
     centre: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
+    thresholds: tuple[int, ...] = ()
     constant: float | None = None
 
 
@@ -92,9 +99,8 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     own = {c: marks(c) for c in (0, 1)}
     common = {w for w, k in count[0].items() if w not in own[1] and k >= max(3, COMMON * n[0])}
 
-    def samples(c: int, keep: set[bytes], most: int = 1_000_000) -> list[bytes]:
-        found = (b" " + w + b" " for t in texts[c] for w in sorted(set(windows(t)) & keep))
-        return list(islice(found, most))
+    def samples(c: int, keep: set[bytes]) -> list[bytes]:
+        return [b" " + w + b" " for t in texts[c] for w in sorted(set(windows(t)) & keep)]
 
     base = _trained(samples(0, common), BASE_SIZE, 24)
     return tuple(_trained(samples(c, own[c]), OWN_SIZE, 12) + base + FRAME for c in (1, 0))
@@ -121,11 +127,24 @@ class Gains:
         return gain
 
 
-def features(text: str | None, gains: Gains) -> list[float]:
-    v = np.array([gains(w) for w in windows(text)])
-    top = np.sort(v)[-3:]
-    over = [int((v >= t).sum()) for t in THRESHOLDS]
-    return [float(v.max()), float(top.mean()), float(v.mean()), *map(math.log1p, over), *[k / len(v) for k in over], math.log1p(int((v <= -3).sum())), math.log1p(len(v))]
+def histogram(text: str | None, gains: Gains) -> np.ndarray:
+    """How many windows of a text have each gain, from -MOST to MOST."""
+    v = np.fromiter(map(gains, windows(text)), np.int64)
+    return np.bincount(np.clip(v, -MOST, MOST) + MOST, minlength=2 * MOST + 1)
+
+
+def calibrated(ordinary: np.ndarray) -> tuple[int, ...]:
+    """Thresholds, rising, from the summed histogram of ordinary texts."""
+    reach = np.cumsum(ordinary[::-1])[::-1][MOST + 1 :] / max(1, ordinary.sum())  # share of windows with a gain of 1 or more, 2 or more, ...
+    return tuple(int(np.argmax(np.r_[reach <= share, True])) + 1 for share in RARITY)
+
+
+def features(counts: np.ndarray, thresholds: tuple[int, ...]) -> list[float]:
+    """What the curve is given, from a text's histogram."""
+    values, n = np.arange(-MOST, MOST + 1), int(counts.sum())
+    top = np.repeat(values[::-1], np.minimum(counts[::-1], 3))[:3]
+    over = [int(counts[MOST + t :].sum()) for t in thresholds]
+    return [float(top[0]), float(top.mean()), float(values @ counts / n), *map(math.log1p, over), *[k / n for k in over], math.log1p(int(counts[: MOST - 2].sum())), math.log1p(n)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,27 +165,46 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic) outside the held-out fold."""
+    spark = docs.sparkSession
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
-    marks = marks.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    order = lambda c: marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = order(1).union(order(0))  # 2 * sample rows at most
-    texts = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    before = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    texts = written(texts.withColumn("chars", before).where(F.col("chars") <= sample_chars // 2).select("doc_id", "text", "toxic"))
-    of = {c: [t for (t,) in texts.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text").toLocalIterator()] for c in (0, 1)}
+    marks = written(marks.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")).withColumn("order", F.xxhash64("doc_id")))
+    chosen = None
+    for c, n in marks.groupBy("toxic").count().collect():
+        # First what lies below a bound of the hash, of which about two samples are expected; then the sample of these.
+        share = min(1.0, 2 * sample / n)
+        some = marks.where((F.col("toxic") == c) & (F.pmod("order", F.lit(1 << 20)) < math.ceil(share * (1 << 20)))).orderBy("order", "doc_id").limit(sample)
+        chosen = some if chosen is None else chosen.union(some)
+    if chosen is None:
+        return Model(constant=0.0)
+    texts = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * sample rows at most
+    texts = texts.groupBy("doc_id", "toxic", "order").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+    texts = written(texts.select("doc_id", "toxic", "order", F.col("t.text").alias("text"), F.length("t.text").alias("chars")))
+    turn = Window.partitionBy("toxic").orderBy((F.col("chars") > LONG).cast("int"), "order", "doc_id")
+    ranked = texts.select("doc_id", "toxic", F.sum("chars").over(turn).alias("sum"), F.row_number().over(turn).alias("place"))  # numbers only
+    kept = ranked.where((F.col("sum") <= sample_chars // 2) | (F.col("place") == 1)).select("doc_id")
+    texts = texts.join(F.broadcast(kept), "doc_id").withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS)
+    of: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
+    for toxic, fold, text in texts.orderBy("order", "doc_id").select("toxic", "fold", "text").toLocalIterator():
+        of[toxic].append((fold, text))
     if not of[0] or not of[1]:
         return Model(constant=1.0 if of[1] else 0.0)
-    pair = Model(*dictionaries(of[1], of[0]))
+    seen = {c: [t for fold, t in of[c] if fold != CALIBRATED] or [t for _, t in of[c]] for c in of}
+    pair = Model(*dictionaries(seen[1], seen[0]))
+    # Each class is calibrated on the fold that its dictionary hasn't seen, if it has one.
+    fresh = {c: any(fold == CALIBRATED for fold, _ in of[c]) for c in of}
+    wanted = (F.col("fold") == CALIBRATED) | ((F.col("toxic") == 1) & F.lit(not fresh[1])) | ((F.col("toxic") == 0) & F.lit(not fresh[0]))
 
     def measured(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gains = Gains(pair.toxic, pair.ordinary)
         for part in parts:
-            yield pd.DataFrame({"toxic": part["toxic"], "f": [features(t, gains) for t in part["text"]]})
+            yield pd.DataFrame({"toxic": part["toxic"], "f": [histogram(t, gains) for t in part["text"]]})
 
-    rows = texts.select("text", "toxic").repartition(shuffles(docs.sparkSession)).mapInPandas(measured, "toxic int, f array<double>").toPandas()
+    rows = texts.where(wanted).select("text", "toxic").repartition(shuffles(spark)).mapInPandas(measured, "toxic int, f array<long>").toPandas()
     rows = rows.assign(key=rows["f"].map(tuple)).sort_values(["key", "toxic"])  # in one order, whichever task ended first
-    centre, scale, weights = logistic(np.array(rows["f"].tolist()), rows["toxic"].to_numpy(float))
-    return Model(pair.toxic, pair.ordinary, tuple(centre), tuple(scale), tuple(weights))
+    counts, toxic = np.array(rows["f"].tolist()), rows["toxic"].to_numpy(float)
+    thresholds = calibrated(counts[toxic == 0].sum(0))
+    centre, scale, weights = logistic(np.array([features(x, thresholds) for x in counts]), toxic)
+    return Model(pair.toxic, pair.ordinary, tuple(centre), tuple(scale), tuple(weights), thresholds)
 
 
 def score(text: Column, model: Model) -> Column:
@@ -179,7 +217,7 @@ def score(text: Column, model: Model) -> Column:
         gains = Gains(model.toxic, model.ordinary)
         centre, scale, w = map(np.array, (model.centre, model.scale, model.weights))
         for texts in parts:
-            x = np.array([features(t.as_py(), gains) for t in texts]).reshape(len(texts), len(centre))
+            x = np.array([features(histogram(t.as_py(), gains), model.thresholds) for t in texts]).reshape(len(texts), len(centre))
             z = w[0] + ((x - centre) / scale) @ w[1:]
             yield pa.array(np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6))
 

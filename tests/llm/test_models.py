@@ -83,6 +83,34 @@ def test_toxicity_on_held_out_rows(spark, odd):
     assert toxicity.classified(odd, model).count() == len(odd_rows())
 
 
+def test_toxicity_of_long_labelled_texts(spark):
+    """A bound on characters leaves texts out and never makes the score a constant; a long text is the last to be taken."""
+    docs = [(i, prose(i, 25) + (" grotesque vilewretch" if i % 2 else "")) for i in range(300)]
+    long = spark.range(1).selectExpr("1000L AS doc_id", "repeat('grotesque words ', 1600000) AS text")
+    d = spark.createDataFrame(docs, "doc_id long, text string").unionByName(long)
+    m = spark.createDataFrame([(i, i % 2) for i, _ in docs] + [(1000, 1)], "doc_id long, toxic int")
+    for how in ({}, {"sample_chars": 200}, {"sample_chars": 20_000}):
+        model = toxicity.fit(d, m, **how)
+        assert model.constant is None
+        scores = {r.doc_id: r.score for r in toxicity.classified(d, model).collect()}
+        assert len(set(scores.values())) > 1 or how == {"sample_chars": 200}
+    only = toxicity.fit(long.unionByName(d.where("doc_id % 2 = 0 AND doc_id < 200")), m)
+    assert only.constant is None
+
+
+def test_thresholds_and_histograms():
+    """Thresholds are the least gains that few enough ordinary windows reach; features agree with the list of gains."""
+    counts = np.zeros(2 * toxicity.MOST + 1, np.int64)
+    counts[toxicity.MOST] = 9_900
+    counts[toxicity.MOST + 1 : toxicity.MOST + 4] = (90, 9, 1)
+    assert toxicity.calibrated(counts) == (1, 1, 2, 3)
+    gains = [0, 0, 3, -30, 5, 40, 1]
+    h = toxicity.histogram(" ".join(map(str, range(len(gains)))), lambda w: gains[int(w)])
+    v = np.clip(gains, -toxicity.MOST, toxicity.MOST)
+    f = toxicity.features(h, (1, 4))
+    assert f[:3] == [24.0, np.mean([24, 5, 3]), v.mean()] and f[5:7] == [4 / 7, 2 / 7] and np.allclose(f[3:5], np.log1p([4, 2]))
+
+
 def test_labels_of_the_fold_are_not_read(spark, small):
     docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     turned = labels.withColumn("toxic", toxicity.F.when(toxicity.held_out(toxicity.F.col("doc_id")), 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
