@@ -51,17 +51,20 @@ def paired(outcomes: DataFrame, a: str = "correct", b: str = "correct_norm") ->
 def bootstrap(outcomes: DataFrame, times: int, seed: int = 0, a: str = "correct", b: str = "correct_norm") -> DataFrame:
     """task, low, high: the 95 % interval of the mean difference over `times` resamples.
 
-    A draw's place comes from the md5 of seed, task, resample and draw, so both sides of a
-    join can name it; the draws of a resample are spread over the cluster.
+    Draws 4 k to 4 k + 3 of a resample are the four quarters of the md5 of seed, task, resample
+    and k, modulo the number of questions. The resamples are spread over the cluster, each with
+    the task's differences; a task is one evaluation set, whose size is bounded.
     """
     d = (F.col(b).cast("int") - F.col(a).cast("int")).alias("d")
     place = F.row_number().over(Window.partitionBy("task").orderBy("q")) - 1
     rows = outcomes.select("task", place.alias("place"), d)
-    sizes = rows.groupBy("task").agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "task", "b", "j")), 1, 8), 16, 10).cast("long")
-    draws = draws.select("task", "b", F.pmod(number, F.col("n")).cast("int").alias("place"))
-    means = draws.join(rows, ["task", "place"]).groupBy("task", "b").agg(F.avg(F.col("d").cast("double")).alias("mean"))
+    sets = rows.groupBy("task").agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list(F.struct("place", "d"))).alias("all"))
+    sets = sets.select("task", "n", F.transform("all", lambda x: x.d).alias("d"))
+    draws = sets.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).repartition(F.col("task"), F.col("b"))
+    digits = f"md5(concat_ws(':', {seed}, task, b, k))"
+    quarter = " + ".join(f"CASE WHEN 4 * k + {q} < n THEN d[int(conv(substr(h, {8 * q + 1}, 8), 16, 10) % n)] ELSE 0 END" for q in range(4))
+    total = f"aggregate(transform(sequence(0, int((n - 1) div 4)), k -> named_struct('k', k, 'h', {digits})), 0L, (a, x) -> a + {quarter.replace('substr(h', 'substr(x.h').replace('4 * k', '4 * x.k')})"
+    means = draws.select("task", "b", (F.expr(total).cast("double") / F.col("n")).alias("mean"))
     at = F.row_number().over(Window.partitionBy("task").orderBy("mean", "b")) - 1
     ranked = means.withColumn("at", at)
     pick = lambda f: F.max(F.when(F.col("at") == int(f * (times - 1)), F.col("mean")))

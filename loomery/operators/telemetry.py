@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, insort
 from collections import deque
-
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -84,62 +84,69 @@ def prunable(names: DataFrame, keep: int) -> DataFrame:
     return names.where(~F.col("permanent")).withColumn("_r", newest).where(F.col("_r") > keep).drop("_r")
 
 
-class Watch:
-    """Tells when a run's values stay far above their usual level.
+class Usual:
+    """What is usual in a run: the least median, so far, of its last `window` usual values.
 
-    The usual level is the least median, so far, of the last `window` values that weren't
-    high. Once `alert[1]` values in a row exceed alert[0] times that level there is an
-    alert, which can come again after a usual value; once halt[1] exceed halt[0] times it,
-    a halt. Values that are no finite numbers are passed over.
+    A value is usual if it is at most `most` times that level. The first `least` values are taken as usual.
     """
 
-    def __init__(self, alert: tuple[float, int] = (10.0, 20), halt: tuple[float, int] = (100.0, 200), window: int = 20_000, least: int = 50) -> None:
-        self.alert, self.halt, self.least = alert, halt, least
-        self.usual: deque[float] = deque(maxlen=window)
-        self.ordered: list[float] = []
-        self.level: float | None = None
-        self.high = self.extreme = 0
-        self.alerted = self.halted = False
-
-    def _remember(self, value: float) -> None:
-        if len(self.usual) == self.usual.maxlen:
-            self.ordered.pop(bisect_left(self.ordered, self.usual[0]))
-        self.usual.append(value)
-        insort(self.ordered, value)
-
-    def see(self, value: float | None) -> str | None:
+    def __init__(self, most: float, window: int, least: int) -> None:
+        self.most, self.window, self.least = most, window, least
+        self.recent: deque[float] = deque()
+        self.ranked: list[float] = []
+        self.level = math.inf
+
+    def level_for(self, value: float | None) -> float | None:
+        """The level that a value is held against; none for the first ones, and for what is no finite number."""
         if value is None or not math.isfinite(value):
             return None
-        if len(self.usual) < self.least:
-            self._remember(value)
-            return None
-        half, odd = divmod(len(self.ordered), 2)
-        median = self.ordered[half] if odd else (self.ordered[half - 1] + self.ordered[half]) / 2
-        self.level = median if self.level is None else min(self.level, median)
-        self.extreme = self.extreme + 1 if value > self.halt[0] * self.level else 0
-        if value > self.alert[0] * self.level:
-            self.high += 1
-        else:
-            self.high, self.alerted = 0, False
-            self._remember(value)
-        if self.extreme >= self.halt[1] and not self.halted:
-            self.halted = True
-            return "halt"
-        if self.high >= self.alert[1] and not self.alerted:
-            self.alerted = True
-            return "alert"
-        return None
-
-
-def watched(rows: DataFrame, run: str, order: str, value: str, **how) -> DataFrame:
-    """run, step, event: what a Watch says of each run, whose rows are read in order."""
-    def watch(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("step", "ascending")])
-        watch = Watch(**how)
-        said = [watch.see(x) for x in part["value"].to_pylist()]
-        return part.append_column("event", pa.array(said, pa.string())).filter(pa.array([s is not None for s in said])).select(["run", "step", "event"])
+        n, level = len(self.recent), None
+        if n >= self.least:
+            level = self.level = min(self.level, (self.ranked[(n - 1) // 2] + self.ranked[n // 2]) / 2)
+        if level is None or value <= self.most * level:
+            self.recent.append(value)
+            insort(self.ranked, value)
+            if n == self.window:
+                del self.ranked[bisect_left(self.ranked, self.recent.popleft())]
+        return level
 
-    slim = rows.select(F.col(run).cast("string").alias("run"), F.col(order).cast("long").alias("step"), F.col(value).cast("double").alias("value"))
-    return slim.groupBy("run").applyInArrow(watch, "run string, step long, event string")
 
+#: How many times the level, and how many values in a row: for an alert, which can come again after a usual value, and for a halt.
+ALERT, HALT, WINDOW, LEAST = (10.0, 20), (100.0, 200), 20_000, 50
 
+
+def levels(rows: DataFrame, most: float = ALERT[0], window: int = WINDOW, least: int = LEAST) -> DataFrame:
+    """From (run, step, value): the same with the level of each value, where it has one.
+
+    The runs are read in order, batch by batch, and no more than a run's last `window` values is held.
+    """
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, usual = None, Usual(most, window, least)
+        for batch in batches:
+            found = []
+            for name, value in zip(batch["run"].to_pylist(), batch["value"].to_pylist(), strict=True):
+                if name != run:
+                    run, usual = name, Usual(most, window, least)
+                found.append(usual.level_for(value))
+            yield batch.append_column("level", pa.array(found, pa.float64()))
+
+    ordered = rows.select("run", "step", "value").repartition("run").sortWithinPartitions("run", "step", "value")
+    return ordered.mapInArrow(follow, "run string, step long, value double, level double").where("level IS NOT NULL")
+
+
+def watched(rows: DataFrame, run: str, order: str, value: str, alert: tuple[float, int] = ALERT, halt: tuple[float, int] = HALT, window: int = WINDOW, least: int = LEAST) -> DataFrame:
+    """run, step, event: where a run's values stay far above their usual level.
+
+    There is an alert at the value that makes alert[1] in a row of more than alert[0] times
+    the level, and one halt, at the first that makes halt[1] of more than halt[0] times.
+    """
+    slim = rows.select(F.col(run).cast("string").alias("run"), F.col(order).cast("long").alias("step"), F.col(value).cast("double").alias("value"))
+    rows = levels(slim, alert[0], window, least)
+    by_run = Window.partitionBy("run").orderBy("step", "value")
+    for name, (times, _) in (("high", alert), ("extreme", halt)):
+        # How many values back the last one lies that isn't: the length of the streak.
+        rows = rows.withColumn("at", F.row_number().over(by_run)).withColumn(name, F.col("value") > times * F.col("level"))
+        rows = rows.withColumn(name, F.col("at") - F.coalesce(F.max(F.when(~F.col(name), F.col("at"))).over(by_run.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    halted = F.coalesce(F.max(F.col("extreme") >= halt[1]).over(by_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    event = F.when((F.col("extreme") >= halt[1]) & ~halted, "halt").when(F.col("high") == alert[1], "alert")
+    return rows.select("run", "step", event.alias("event")).where("event IS NOT NULL")

@@ -66,13 +66,13 @@ def paired_compare(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {OUTCOMES},
 p AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY q) - 1 AS place, correct_norm::INT - correct::INT AS d FROM o), z AS (SELECT task, count(*) AS n FROM p GROUP BY task),
-w AS (SELECT task, n, b, unnest(range(n)) AS j FROM z, range(100) t(b)),
-x AS (SELECT task, b, CAST('0x' || substr(md5('0:' || task || ':' || b || ':' || j), 1, 8) AS BIGINT) % n AS place FROM w),
+w AS (SELECT task, n, b, unnest(range(n)) AS j FROM z, range(2000) t(b)),
+x AS (SELECT task, b, CAST('0x' || substr(md5('0:' || task || ':' || b || ':' || (j // 4)), 8 * (j % 4) + 1, 8) AS BIGINT) % n AS place FROM w),
 m AS (SELECT task, b, avg(d) AS mean FROM x JOIN p USING (task, place) GROUP BY task, b),
 k AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY mean, b) - 1 AS at_ FROM m)
-SELECT task, round(max(mean) FILTER (at_ = 2), 9) AS low, round(max(mean) FILTER (at_ = 96), 9) AS high FROM k GROUP BY task""")
+SELECT task, round(max(mean) FILTER (at_ = 49), 9) AS low, round(max(mean) FILTER (at_ = 1949), 9) AS high FROM k GROUP BY task""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    rows = scores.bootstrap(_outcomes(spark, d), 100)
+    rows = scores.bootstrap(_outcomes(spark, d), 2000)
     return rows.select("task", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
@@ -179,6 +179,13 @@ def checkpoint_retention(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.prunable(rows, 3).select("series", "name")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS run, event_id AS step, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id, value) AS k FROM events WHERE isfinite(value)),
+w AS (SELECT DISTINCT run, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS step, CAST([] AS DOUBLE[]) AS usual, CAST('inf' AS DOUBLE) AS level, 0 AS high, 0 AS extreme, false AS halted, CAST(NULL AS VARCHAR) AS event FROM e
+UNION ALL SELECT run, k, step, CASE WHEN warm OR v <= 3 * l THEN list_append(usual, v)[greatest(1, len(usual) - 198):] ELSE usual END, l, hi, ex, halted OR ex >= 3,
+  CASE WHEN ex >= 3 AND NOT halted THEN 'halt' WHEN hi = 2 THEN 'alert' END
+  FROM (SELECT *, CASE WHEN NOT warm AND v > 3 * l THEN high + 1 ELSE 0 END AS hi, CASE WHEN NOT warm AND v > 6 * l THEN extreme + 1 ELSE 0 END AS ex
+    FROM (SELECT w.run, e.k, e.step, e.v, usual, high, extreme, halted, len(usual) < 20 AS warm, CASE WHEN len(usual) < 20 THEN level ELSE least(level, list_aggregate(usual, 'median')) END AS l
+      FROM w JOIN e ON e.run = w.run AND e.k = w.k + 1)))
+SELECT run, step, event FROM w WHERE event IS NOT NULL""")
 def gradient_watch(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.watched(table(spark, d, "events"), "user_id", "event_id", "value", alert=(3.0, 2), halt=(6.0, 3), window=200, least=20)

@@ -109,8 +109,8 @@ def masked_windows(spark: SparkSession, d: str) -> DataFrame:
     return records.masked_windows(tokens, 64, 4)
 
 
-@query("""WITH a AS (SELECT conv_id, list(turn ORDER BY turn) AS ids FROM conversations GROUP BY conv_id)
-SELECT conv_id, array_to_string(list_transform(generate_series(1, 8), lambda i: CAST(coalesce(ids[i], -1) AS VARCHAR)), ' ') AS ids FROM a""")
+@query("""WITH a AS (SELECT conv_id, list(turn ORDER BY turn) AS ids FROM conversations GROUP BY conv_id), m AS (SELECT greatest(8, max(len(ids))) AS longest FROM a)
+SELECT conv_id, array_to_string(list_transform(generate_series(1, longest), lambda i: CAST(coalesce(ids[i], -1) AS VARCHAR)), ' ') AS ids FROM a, m""")
 def padded_batch(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.col("turn").cast("int"))).alias("ids"))
     return records.padded_to_longest(rows, "ids", -1, least=8).select("conv_id", F.array_join("ids", " ").alias("ids"))
@@ -218,7 +218,19 @@ def plot_series(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.count_if(F.col("value") >= 50).alias("loaded"), F.round(F.sum("value"), 4).alias("total"), F.min_by("value", "event_id").alias("processor"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT CAST(user_id % 4 AS VARCHAR) AS box, epoch_us(ts) // 3600000000 * 60.0 AS t, value % 100 AS temp, event_type = 'view' AS busy, user_id % 3 = 0 AS idle FROM events),
+g AS (SELECT box, CAST(t AS DOUBLE) AS t, max(temp) AS hot, avg(temp) FILTER (idle) AS idle, count(*) FILTER (busy) AS loaded, row_number() OVER (PARTITION BY box ORDER BY t) AS k FROM s GROUP BY box, t),
+w AS (SELECT DISTINCT box, CAST(0 AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS ts, 'armed' AS state, CAST([] AS DOUBLE[]) AS firsts, CAST(NULL AS DOUBLE) AS base, CAST(0 AS DOUBLE) AS paused, CAST([] AS DOUBLE[]) AS trips, CAST(NULL AS VARCHAR) AS event FROM g
+UNION ALL SELECT box, k, t, CASE WHEN event LIKE 'trip%' THEN 'pausing' WHEN event = 'cooling' THEN 'cooling' WHEN event = 'stopped' THEN 'stopped' WHEN event = 'resumed' THEN 'armed' ELSE state END,
+  firsts, base, CASE WHEN event LIKE 'trip%' THEN t ELSE paused END, CASE WHEN event LIKE 'trip%' THEN list_append(trips, t) ELSE trips END, event
+  FROM (SELECT *, CASE
+      WHEN state = 'pausing' AND (loaded = 0 OR t - paused >= 300) THEN 'cooling'
+      WHEN state = 'cooling' AND loaded = 0 AND coalesce(rise <= 2, true) AND hot <= 80 THEN CASE WHEN len(list_filter(trips, lambda x: t - x < 3600)) >= 3 THEN 'stopped' ELSE 'resumed' END
+      WHEN state = 'armed' AND hot >= 99.5 THEN 'trip: device' WHEN state = 'armed' AND rise >= 8 THEN 'trip: room' END AS event
+    FROM (SELECT *, idle - base AS rise FROM (SELECT *, CASE WHEN old IS NULL AND len(firsts) >= 3 THEN list_aggregate(firsts, 'avg') ELSE old END AS base
+      FROM (SELECT w.box, g.k, g.t, g.hot, g.idle, g.loaded, w.state, w.paused, w.trips, w.base AS old, CASE WHEN w.base IS NULL AND g.idle IS NOT NULL THEN list_append(w.firsts, g.idle) ELSE w.firsts END AS firsts
+        FROM w JOIN g ON g.box = w.box AND g.k = w.k + 1)))))
+SELECT box, ts, event FROM w WHERE event IS NOT NULL""")
 def thermal_guard(spark: SparkSession, d: str) -> DataFrame:
     """What the guard would do, with devices from events: four boxes, hours as times."""
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000) * 60

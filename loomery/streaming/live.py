@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loomery.operators.telemetry import Watch
+from loomery.operators.telemetry import ALERT, HALT, LEAST, WINDOW, Usual
 
 #: The columns of a metrics line; a line has those of its event.
 METRICS = "run string, step long, event string, loss double, val_loss double, lr double, grad_norm double, tok_per_s double, ts timestamp"
@@ -29,23 +29,32 @@ def eval_rows(rows: DataFrame) -> DataFrame:
     return rows.where("event = 'eval' AND val_loss IS NOT NULL")
 
 
-def watched(rows: DataFrame, **how) -> DataFrame:
-    """run, step, event: what a Watch says of each run's gradient norms, kept between batches.
+def watched(rows: DataFrame, alert: tuple[float, int] = ALERT, halt: tuple[float, int] = HALT, window: int = WINDOW, least: int = LEAST) -> DataFrame:
+    """run, step, event: the alerts and halts of `telemetry.watched` over each run's gradient norms.
 
-    Rows of a batch are put in order of steps; a step older than the last one seen is passed over.
+    What is usual and the streaks so far are kept between batches. Rows of a batch are put in
+    order of steps; a step older than the last one seen is passed over.
     """
 
     def watch(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, last = pickle.loads(state.get[0]) if state.exists else (Watch(**how), -1)
+        usual, last, high, extreme, halted = pickle.loads(state.get[0]) if state.exists else (Usual(alert[0], window, least), -1, 0, 0, False)
         rows = pd.concat(list(parts)).sort_values("step", kind="stable")
         said = []
         for step, value in zip(rows["step"], rows["grad_norm"], strict=True):
-            if step > last:
-                last = int(step)
-                event = seen.see(None if pd.isna(value) else float(value))
-                if event:
-                    said.append((key[0], last, event))
-        state.update((pickle.dumps((seen, last)),))
+            if step <= last:
+                continue
+            last = int(step)
+            level = usual.level_for(None if pd.isna(value) else float(value))
+            if level is None:
+                continue
+            high = high + 1 if value > alert[0] * level else 0
+            extreme = extreme + 1 if value > halt[0] * level else 0
+            if extreme >= halt[1] and not halted:
+                halted = True
+                said.append((key[0], last, "halt"))
+            elif high == alert[1]:
+                said.append((key[0], last, "alert"))
+        state.update((pickle.dumps((usual, last, high, extreme, halted)),))
         yield pd.DataFrame(said, columns=["run", "step", "event"])
 
     slim = rows.where("run IS NOT NULL AND step IS NOT NULL").select("run", "step", "grad_norm")

@@ -1,6 +1,8 @@
 """Operators on small inputs whose results are known by hand."""
 
 import math
+import math
+import random
 import statistics
 
 import pytest
@@ -135,18 +137,29 @@ def test_verdict(spark):
     assert not any(r.adopt for r in scores.adopted(rows.where("seed < 2 AND NOT (arm = 'base' AND seed = 1)")).collect())
 
 
-def test_watch():
-    watch = telemetry.Watch(alert=(10.0, 5), halt=(100.0, 30), window=1000, least=50)
-    steady = [watch.see(1.0 + 0.01 * (i % 5)) for i in range(200)]
-    assert not any(steady)
-    high = [watch.see(20.0) for _ in range(12)]
-    assert high.index("alert") == 4 and high.count("alert") == 1
-    assert watch.see(1.0) is None and [watch.see(20.0) for _ in range(5)][-1] == "alert"
-    watch = telemetry.Watch(alert=(10.0, 5), halt=(100.0, 30), least=50)
-    for _ in range(100):
-        watch.see(1.0)
-    assert [watch.see(500.0) for _ in range(40)].index("halt") == 29
-    assert watch.see(float("nan")) is None
+def test_watch(spark):
+    def events(values, **how):
+        rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "run string, step long, norm double")
+        return sorted((r.step, r.event) for r in telemetry.watched(rows, "run", "step", "norm", **how).collect())
+
+    steady = [1.0 + 0.01 * (i % 5) for i in range(200)]
+    how = {"alert": (10.0, 5), "halt": (100.0, 30), "least": 50}
+    assert events(steady, **how, window=1000) == []
+    assert events([*steady, *[20.0] * 12, 1.0, float("nan"), *[20.0] * 3, None, *[20.0] * 4], **how, window=1000) == [(204, "alert"), (219, "alert")]
+    assert events([*[1.0] * 100, *[500.0] * 70, 1.0, *[500.0] * 40], **how) == [(104, "alert"), (129, "halt"), (175, "alert")]
+
+
+def test_usual_is_the_least_median_of_usual_values():
+    r = random.Random(1)
+    values = [r.choice([1, 2, 3, 50]) * r.random() for _ in range(400)]
+    usual, kept, level = telemetry.Usual(3.0, 40, 10), [], float("inf")
+    for v in values:
+        want = None
+        if len(kept) >= 10:
+            want = level = min(level, statistics.median(kept[-40:]))
+        if want is None or v <= 3 * level:
+            kept.append(v)
+        assert usual.level_for(v) == want
 
 
 def test_sample_windows_begin_with_the_first_sample(spark):
@@ -157,9 +170,11 @@ def test_sample_windows_begin_with_the_first_sample(spark):
 
 
 def test_text(spark):
-    assert tx.chunked("a" * 250) == ["a" * 250] and tx.chunked("  ") == []
-    parts = tx.chunked(("word " * 80).strip() + "\n" + ("other " * 80).strip(), 300, 40)
-    assert len(parts) > 1 and all(0 < len(p) <= 300 for p in parts)
+    texts = ["a" * 250, "  ", ("word " * 80).strip() + "\n" + ("other " * 80).strip(), None, "x\n" * 500]
+    parts = [r.p for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.chunks(F.col("t"), 300, 40).alias("p")).collect()]
+    assert parts[0] == ["a" * 250] and parts[1] == parts[3] == []
+    assert len(parts[2]) > 1 and all(0 < len(p) <= 300 for p in parts[2] + parts[4])
+    assert tx.cut_points(25, [9, 14], 10, 2) == [(0, 9), (7, 14), (12, 22), (20, 25)] and tx.cut_points(5, [], 10, 20) == [(0, 5)]
     row = spark.createDataFrame([("Café_1 x-2", "https://www.Example.gov:80/a?b", "<p>a &amp; b<script>x</script></p>", [1, 2, 1, 2, 3])], "t string, u string, h string, a array<int>")
     got = row.select(tx.words(F.col("t")), tx.host(F.col("u")), tx.trust_tier(tx.host(F.lit("https://x.nasa.gov/"))), tx.html_text(F.col("h")), tx.positions("a", [1, 2]), tx.capitalised(F.lit("hELLO"))).first()
     assert tuple(got) == (["café_1", "x", "2"], "example.gov:80", 0, "a & b", [0, 2], "Hello")
