@@ -1,6 +1,5 @@
 """Operators on small inputs whose results are known by hand."""
 
-import math
 import math
 import random
 import statistics
