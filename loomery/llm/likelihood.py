@@ -1,44 +1,164 @@
 """Document scores by masked pseudo-likelihood.
 
-A small network predicts each token from the SPAN tokens on either side of it. Tokens are
-words, hashed to SIDE * SIDE codes; a code is predicted in two steps, its first digit from
-the context and its second from the context and the first. A document's score is the sum
-of the log-probabilities of all its tokens, each given both sides.
-
-Training is data-parallel: in each round every partition trains a copy of the network, in
-numpy, on all of its documents; the copies are averaged, weighted by their tokens, in two
-levels of groups so that no task holds more than about the square root of all copies. Only
-the averaged network, of a fixed size of about half a megabyte, passes through the driver.
-
-Defined results: a null or empty text has no tokens and the score 0, and no mean; repeated
-rows get one result each; other columns are ignored; an empty table gives none. Contexts
-end at the ends of a document. The network depends on how the rows are dealt to partitions,
-so scores of differently dealt tables differ slightly.
+A small network predicts each word from the SPAN words on either side of it. All words of the
+corpus are counted first, in a table that grows with it. A word's class is its band of
+frequency and its ending; the VOCABULARY most frequent words have bands of about equal mass,
+all others share the last band. The network predicts the band from the context, and the
+ending from the context and the band; the word given its class is taken from the counts.
+A document's score is the sum of the log-probabilities of all its words, each given both sides.
+
+The network starts from the counts: without a context it gives each class its share of the
+corpus. Training is data-parallel, in ROUNDS over as many parts of the documents, so that each
+document is learnt from once. In a round a copy of the network is trained, in numpy, on about
+COPY words at a time, and the copies are averaged by their words, in two levels of groups; so the
+number of copies grows with the corpus, and no task holds more than about the square root of
+them. Documents are dealt to copies by their hash, and read in its order, so the scores
+don't depend on how the table is partitioned.
+
+Through the driver pass the most frequent words (about a megabyte), the classes' totals and the
+averaged network (under two). The counts of all other words are joined to where they occur.
+
+Defined results: a null or empty text has no words and the score 0, and no mean; repeated
+rows get one result each; other columns are ignored; an empty table gives none. Contexts end at
+the ends of a document. A word that wasn't counted counts as half a one of the last band.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.common import text_of, written
 
-SIDE, WIDTH, SPAN, BATCH, ROUNDS, RATE, SEED = 64, 16, 2, 4096, 1, 0.1, 7
-CODES = SIDE * SIDE
-SHAPES = {"left": (CODES + 1, WIDTH), "right": (CODES + 1, WIDTH), "bias": (WIDTH,), "w1": (WIDTH, SIDE), "b1": (SIDE,), "w2": (WIDTH, SIDE), "b2": (SIDE, SIDE)}
+BANDS, ENDINGS, VOCABULARY, OWN = 32, 64, 65_536, 4_096
+WIDTH, SPAN, BATCH, ROUNDS, RATE, SEED, COPY = 16, 2, 4096, 3, 0.05, 7, 1_000_000
+CLASSES = BANDS * ENDINGS
+NOWHERE = OWN + CLASSES  # the code of a place outside the document
+SHAPES = {"left": (NOWHERE + 1, WIDTH), "right": (NOWHERE + 1, WIDTH), "bias": (WIDTH,), "w1": (WIDTH, BANDS), "w2": (WIDTH, ENDINGS)}
 PIECE = 8192  # parameters to a row when copies are averaged
+SLICE = 1 << 20  # bytes of a text that are split into words at a time
 
 Net = dict[str, np.ndarray]
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """The frequent words, by rising hash, with their codes, classes and log-probabilities in the class; the classes; all counts.
+
+    A code is what a context sees: the word itself for the OWN most frequent ones, else OWN + its class.
+    """
+
+    hashes: np.ndarray
+    code: np.ndarray
+    word_class: np.ndarray
+    log_in_class: np.ndarray
+    own_class: np.ndarray  # of the codes below OWN
+    log_band: np.ndarray
+    log_ending: np.ndarray  # given the band
+    tail_total: np.ndarray  # what the counts of the last band's words are divided by, for each ending
+    counts: DataFrame | None = None
+
+    def shipped(self) -> Vocabulary:
+        """Without the table, for tasks."""
+        return Vocabulary(*[getattr(self, f) for f in list(self.__dataclass_fields__)[:-1]])
+
+    def classes(self, codes: np.ndarray) -> np.ndarray:
+        return np.where(codes < OWN, self.own_class[np.minimum(codes, OWN - 1)], np.minimum(codes - OWN, CLASSES - 1))
+
+
+def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The hash (as Spark's xxhash64, unsigned) and the ending of each word of a text: a class of its last two bytes."""
+    data = (text or "").encode()
+    hashes, endings, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while start < len(data):
+        cut = re.compile(rb"[\x20\x09-\x0d]").search(data, min(start + SLICE, len(data)))
+        end = cut.start() if cut else len(data)
+        found = data[start:end].split()
+        start = end + 1
+        if found:
+            hashes.append(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in found), np.uint64, len(found)))
+            flat = np.frombuffer(b"\0\0" + b"\0\0".join(found), np.uint8).astype(np.int64)
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 2)
+            endings.append((flat[ends - 2] * 1_000_003 + flat[ends - 1] * 8_191 >> 3) % ENDINGS)
+    return np.concatenate(hashes), np.concatenate(endings)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column(0):
+            hashes, endings = words_of(text.as_py())
+            found, first, n = np.unique(hashes, return_index=True, return_counts=True)
+            yield pa.record_batch({"h": pa.array(found.view(np.int64)), "ending": pa.array(endings[first].astype(np.int32)), "n": pa.array(n)})
+
+
+def vocabulary(docs: DataFrame, *, text: str = "text", size: int = VOCABULARY) -> Vocabulary:
+    """The counts of all words of docs, and what is made of them."""
+    found = docs.select(text_of(f"`{text}`").alias("text")).mapInArrow(_counted, "h long, ending int, n long")
+    counts = written(found.groupBy("h", "ending").agg(F.sum("n").alias("n")))
+    top = counts.orderBy(F.desc("n"), "h").limit(size).toPandas()  # bounded
+    n_all, d_all = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect():
+        n_all[r.ending], d_all[r.ending] = r.n, r.d
+    n, ending = top["n"].to_numpy(float), top["ending"].to_numpy(np.int64)
+    total = max(1.0, n_all.sum())
+    band = np.minimum((np.cumsum(n) - n) / total * (BANDS - 1), BANDS - 2).astype(np.int64)
+    word_class = band * ENDINGS + ending
+    of_class = np.bincount(word_class, n, CLASSES).astype(float)
+    last = slice((BANDS - 1) * ENDINGS, CLASSES)
+    of_class[last] = np.maximum(0, n_all - np.bincount(ending, n, ENDINGS))
+    distinct = d_all - np.bincount(ending, minlength=ENDINGS)
+    of_class += 0.5  # no class is impossible
+    of_band = of_class.reshape(BANDS, ENDINGS).sum(1)
+    code = np.where(np.arange(len(n)) < OWN, np.arange(len(n)), OWN + word_class)
+    own_class = np.zeros(OWN, np.int64)
+    own_class[: len(n)] = word_class[:OWN]
+    order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64), kind="stable")
+    return Vocabulary(
+        top["h"].to_numpy(np.int64).view(np.uint64)[order], code[order], word_class[order], np.log(n / (of_class[word_class] - 0.5))[order], own_class,
+        np.log(of_band / of_band.sum()), np.log(of_class.reshape(BANDS, ENDINGS) / of_band[:, None]), of_class[last] - 0.5 + 0.5 * (distinct + 1), counts,
+    )
+
+
+def _encoded(vocab: Vocabulary, text: str | None) -> tuple[np.ndarray, float, np.ndarray]:
+    """A text's codes; the sum of the logs of its words within their classes, but for the counts of rare words; the rare words' hashes."""
+    hashes, endings = words_of(text)
+    at = np.minimum(np.searchsorted(vocab.hashes, hashes), max(0, len(vocab.hashes) - 1))
+    known = vocab.hashes[at] == hashes if len(vocab.hashes) else np.zeros(len(hashes), bool)
+    codes = np.full(len(hashes), OWN + (BANDS - 1) * ENDINGS, np.int64) + endings
+    codes[known] = vocab.code[at[known]]
+    inside = vocab.log_in_class[at[known]].sum() - np.log(vocab.tail_total[endings[~known]]).sum()
+    return codes, float(inside), hashes[~known]
+
+
+def coded(docs: DataFrame, vocab: Vocabulary, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, h (a hash of id and text), n, codes (two bytes for each word), inside and rare of each row; written once, the texts aren't read again."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab.shipped())  # of bounded size
+
+    @F.arrow_udf("struct<n: int, codes: binary, inside: double, rare: array<long>>")
+    def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        v = shared.value
+        for texts in parts:
+            rows = [_encoded(v, t.as_py()) for t in texts]
+            ends = np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in rows)]).view(np.int64)))
+            columns = [pa.array([len(r[0]) for r in rows], pa.int32()), pa.array([r[0].astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.float64()), rare]
+            yield pa.StructArray.from_arrays(columns, ["n", "codes", "inside", "rare"])
+
+    doc_id, t = F.col(f"`{id_column}`"), text_of(f"`{text}`")
+    return written(docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, t).alias("h"), encode(t).alias("x")).select("doc_id", "h", "x.*"))
+
+
 def fresh(seed: int = SEED) -> Net:
     rng = np.random.default_rng(seed)
-    return {k: (rng.normal(0, 0.1, s) if k in ("left", "right", "w1", "w2") else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+    return {k: (rng.normal(0, 0.1, s) if k in ("left", "right") else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
 
 
 def flat(net: Net) -> np.ndarray:
@@ -50,17 +170,12 @@ def shaped(values: np.ndarray) -> Net:
     return {k: part.reshape(s).astype(np.float32) for (k, s), part in zip(SHAPES.items(), np.split(values, ends[:-1]), strict=True)}
 
 
-def codes(text: str | None) -> np.ndarray:
-    found = (text or "").encode().split()
-    return (np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)) % np.uint64(CODES)).astype(np.int64)
-
-
 def streams(texts: list[np.ndarray], batch: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents end to end, with SPAN empty places (code CODES) around each, cut into batches.
+    """Documents' codes end to end, with SPAN empty places around each, cut into batches.
 
     Gives the codes with SPAN more on either side, and for those between: their document, -1 for an empty place.
     """
-    gap, none = np.full(SPAN, CODES), np.full(SPAN, -1)
+    gap, none = np.full(SPAN, NOWHERE), np.full(SPAN, -1)
     parts, owners = [gap], [none]
     for d, x in enumerate(texts):
         parts += [x, gap]
@@ -71,21 +186,19 @@ def streams(texts: list[np.ndarray], batch: int = BATCH) -> Iterator[tuple[np.nd
         yield ids[i - SPAN : j + SPAN], owner[i:j], ids[i:j]
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+def _log_softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+    return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
-def forward(net: Net, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the codes between the ends of `around`: the hidden layer and the chances of either digit."""
-    n = len(target)
+def forward(net: Net, vocab: Vocabulary, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the codes between the ends of `around`: band, ending, the hidden layer and the log-chances of all bands and endings."""
+    n, c = len(target), vocab.classes(target)
+    band, ending = c // ENDINGS, c % ENDINGS
     left, right = net["left"][around], net["right"][around]
     x = net["bias"] + sum(left[SPAN - k : SPAN - k + n] for k in range(1, SPAN + 1)) + sum(right[SPAN + k : SPAN + k + n] for k in range(1, SPAN + 1))
     h = np.tanh(x)
-    first = np.minimum(target // SIDE, SIDE - 1)
-    return h, _softmax(h @ net["w1"] + net["b1"]), _softmax(h @ net["w2"] + net["b2"][first])
+    return band, ending, h, _log_softmax(h @ net["w1"] + vocab.log_band.astype(np.float32)), _log_softmax(h @ net["w2"] + vocab.log_ending.astype(np.float32)[band])
 
 
 def _summed_by(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,121 +208,143 @@ def _summed_by(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ids[starts], np.add.reduceat(rows[order], starts, axis=0)
 
 
-def step(net: Net, memory: Net, around: np.ndarray, owner: np.ndarray, target: np.ndarray, rate: float = RATE) -> float:
-    """One step of gradient descent, with rates by each parameter's past; the batch's mean loss."""
+def step(net: Net, memory: Net, vocab: Vocabulary, around: np.ndarray, owner: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
+    """One step of gradient descent, with rates by each parameter's past."""
     real = owner >= 0
     n = int(real.sum())
     if not n:
-        return 0.0
-    h, p1, p2 = forward(net, around, target)
-    at, first, second = np.arange(len(target)), np.minimum(target // SIDE, SIDE - 1), target % SIDE
-    loss = -float(np.log(np.maximum(p1[at, first] * p2[at, second], 1e-30))[real].sum()) / n
-    p1[at, first] -= 1
-    p2[at, second] -= 1
-    p1[~real] = 0
-    p2[~real] = 0
-    p1 /= n
-    p2 /= n
+        return
+    band, ending, h, p1, p2 = forward(net, vocab, around, target)
+    at = np.arange(len(target))
+    np.exp(p1, out=p1)
+    np.exp(p2, out=p2)
+    p1[at, band] -= 1
+    p2[at, ending] -= 1
+    for p in (p1, p2):
+        p[~real] = 0
+        p /= n
     g = (p1 @ net["w1"].T + p2 @ net["w2"].T) * (1 - h * h)
-    one = np.zeros((len(target), SIDE), np.float32)
-    one[at, first] = 1
-    grads = {"w1": h.T @ p1, "b1": p1.sum(0), "w2": h.T @ p2, "b2": one.T @ p2, "bias": g.sum(0)}
-    for k, d in grads.items():
+    for k, d in {"w1": h.T @ p1, "w2": h.T @ p2, "bias": g.sum(0)}.items():
         memory[k] += d * d
         net[k] -= rate * d / np.sqrt(memory[k] + 1e-10)
-    m = len(around)
     for k, sign in (("left", -1), ("right", 1)):
-        spread = np.zeros((m, WIDTH), np.float32)
+        spread = np.zeros((len(around), WIDTH), np.float32)
         for s in range(1, SPAN + 1):
             spread[SPAN + sign * s : SPAN + sign * s + len(target)] += g
         ids, d = _summed_by(around, spread)
         memory[k][ids] += d * d
         net[k][ids] -= rate * d / np.sqrt(memory[k][ids] + 1e-10)
-    return loss
 
 
-def pseudo_likelihoods(net: Net, texts: list[np.ndarray]) -> np.ndarray:
-    """The summed log-probability of each document's tokens."""
-    total = np.zeros(len(texts))
+def pseudo_likelihoods(net: Net, vocab: Vocabulary, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each document's codes, the summed log-probability of their classes: in context, and by the counts alone."""
+    total, plain = np.zeros(len(texts)), np.zeros(len(texts))
     for around, owner, target in streams(texts):
         real = owner >= 0
-        _, p1, p2 = forward(net, around, target)
+        band, ending, _, p1, p2 = forward(net, vocab, around, target)
         at = np.arange(len(target))
-        logs = np.log(np.maximum(p1[at, np.minimum(target // SIDE, SIDE - 1)].astype(float), 1e-30)) + np.log(np.maximum(p2[at, target % SIDE].astype(float), 1e-30))
-        total += np.bincount(owner[real], logs[real], len(texts))
-    return total
-
-
-def _by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The codes of some documents at a time, of about a million characters together."""
-    held, chars = [], 0
-    for batch in batches:
-        for text in batch.column(0):
-            held.append(codes(text.as_py()))
-            chars += len(held[-1])
-            if chars >= 200_000:
-                yield held
-                held, chars = [], 0
-    if held:
-        yield held
+        total += np.bincount(owner[real], (p1[at, band].astype(float) + p2[at, ending])[real], len(texts))
+        plain += np.bincount(owner[real], (vocab.log_band[band] + vocab.log_ending[band, ending])[real], len(texts))
+    return total, plain
+
+
+def _codes(cell: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(cell.as_py(), "<u2").astype(np.int64)
+
+
+def _trainer(start: np.ndarray, past: np.ndarray, vocab, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], bool]]:
+        """The documents of one copy, some 50,000 words at a time, and whether the copy ends with them."""
+        copy, held, n = None, [], 0
+        for batch in batches:
+            for c, cell in zip(batch["copy"].to_pylist(), batch["codes"], strict=True):
+                if c != copy and copy is not None:
+                    yield copy, held, True
+                    held, n = [], 0
+                copy = c
+                held.append(_codes(cell))
+                n += len(held[-1])
+                if n >= 50_000:
+                    yield copy, held, False
+                    held, n = [], 0
+        if copy is not None:
+            yield copy, held, True
 
-
-def _trainer(start: np.ndarray, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shaped(start)
-        memory = {k: np.zeros_like(v) for k, v in net.items()}
-        tokens = 0
-        for texts in _by_size(batches):
+        net, memory, tokens, v = shaped(start), shaped(past), 0, vocab.value
+        for copy, texts, ends in copies(batches):
             tokens += sum(map(len, texts))
             for around, owner, target in streams(texts):
-                step(net, memory, around, owner, target, rate)
-        if tokens:
-            values = flat(net)
-            pieces = [values[i : i + PIECE] for i in range(0, len(values), PIECE)]
-            yield pa.record_batch({"piece": pa.array(range(len(pieces)), pa.int32()), "tokens": pa.array([float(tokens)] * len(pieces)), "v": pa.array([p.tolist() for p in pieces], pa.list_(pa.float32()))})
+                step(net, memory, v, around, owner, target, rate)
+            if ends:
+                if tokens:
+                    values = np.concatenate([flat(net), flat(memory)])
+                    pieces = [values[i : i + PIECE] for i in range(0, len(values), PIECE)]
+                    yield pa.record_batch({"copy": pa.array([copy] * len(pieces), pa.int64()), "piece": pa.array(range(len(pieces)), pa.int32()), "tokens": pa.array([float(tokens)] * len(pieces)), "v": pa.array([p.tolist() for p in pieces], pa.list_(pa.float32()))})
+                net, memory, tokens = shaped(start), shaped(past), 0
 
     return train
 
 
 def _averaged(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("copy")
     weights = rows["tokens"].to_numpy()
     total = sum(w * np.asarray(v.values, np.float64) for w, v in zip(weights, rows["v"], strict=True))
-    out = {"piece": rows["piece"][:1], "tokens": pa.array([float(weights.sum())]), "v": pa.array([(total / weights.sum()).tolist()], pa.list_(pa.float32()))}
+    out = {"copy": rows["copy"][:1], "piece": rows["piece"][:1], "tokens": pa.array([float(weights.sum())]), "v": pa.array([(total / weights.sum()).tolist()], pa.list_(pa.float32()))}
     return pa.table(out)
 
 
-def fit(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS, rate: float = RATE, seed: int = SEED) -> Net:
-    """The network, after `rounds` passes over every token of docs."""
-    texts = docs.select(text_of(f"`{text}`").alias("text"))
-    values = flat(fresh(seed))
-    schema = "piece int, tokens double, v array<float>"
-    for _ in range(rounds):
-        copies = written(texts.mapInArrow(_trainer(values, rate), schema).withColumn("part", F.spark_partition_id()))
-        wide = int(copies.select("part").distinct().count() ** 0.5) or 1
-        part = copies.withColumn("part", F.pmod("part", F.lit(wide)))
-        some = part.groupBy("piece", "part").applyInArrow(lambda t: _averaged(t.drop_columns(["part"])), schema)
+def fit(codes: DataFrame, vocab: Vocabulary, *, rounds: int = ROUNDS, rate: float = RATE, seed: int = SEED, copy: int = COPY) -> Net:
+    """The network, after each row of coded documents was learnt from in one of the rounds."""
+    spark = codes.sparkSession
+    shared = spark.sparkContext.broadcast(vocab.shipped())
+    start, past = flat(fresh(seed)), np.zeros_like(flat(fresh(seed)))
+    schema = "copy long, piece int, tokens double, v array<float>"
+    n_words = codes.agg(F.sum("n")).first()[0] or 0
+    n_copies = max(1, math.ceil(n_words / rounds / copy))
+    for r in range(rounds):
+        part = codes.where(F.pmod("h", F.lit(rounds)) == r).where("n > 0").select("h", "codes", F.pmod(F.xxhash64("h"), F.lit(n_copies)).alias("copy"))
+        part = part.repartition("copy").sortWithinPartitions("copy", "h").select("copy", "codes")
+        trained = written(part.mapInArrow(_trainer(start, past, shared, rate), schema))
+        wide = math.isqrt(n_copies)
+        some = trained.withColumn("g", F.pmod("copy", F.lit(wide))).groupBy("piece", "g").applyInArrow(lambda t: _averaged(t.drop_columns(["g"])), schema)
         rows = some.groupBy("piece").applyInArrow(_averaged, schema).collect()  # the network's fixed size
-        if not rows:
-            break
-        values = np.concatenate([np.array(r.v) for r in sorted(rows, key=lambda r: r.piece)])
-    return shaped(values)
+        if rows:
+            start, past = np.split(np.concatenate([np.array(x.v, np.float32) for x in sorted(rows, key=lambda x: x.piece)]), 2)
+    return shaped(start)
 
 
-def scored(docs: DataFrame, net: Net, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (summed) and mean_log_likelihood (null without tokens)."""
-    values = docs.sparkSession.sparkContext.broadcast(flat(net))  # of a fixed size
+def scored(codes: DataFrame, vocab: Vocabulary, net: Net) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (summed), mean_log_likelihood and mean_unigram (by the counts alone; both null without words)."""
+    shared = codes.sparkSession.sparkContext.broadcast((vocab.shipped(), flat(net)))  # of a fixed size
 
-    @F.arrow_udf("struct<n: long, s: double>")
+    @F.arrow_udf("struct<s: double, u: double>")
     def scores(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        net = shaped(values.value)
-        for texts in parts:
-            n, s = [], []
-            for some in _by_size([pa.record_batch({"t": texts})]):
-                n.append(np.array([len(x) for x in some]))
-                s.append(pseudo_likelihoods(net, some))
-            n, s = (np.concatenate(x) if x else np.zeros(0) for x in (n, s))
-            yield pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(s.astype(float))], ["n", "s"])
-
-    rows: Column = scores(text_of(f"`{text}`"))
-    rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), rows.alias("x"))
-    return rows.select("doc_id", F.col("x.n").alias("n_tokens"), F.round("x.s", 4).alias("log_likelihood"), F.round(F.col("x.s") / F.nullif(F.col("x.n"), F.lit(0)), 6).alias("mean_log_likelihood"))
+        v, net = shared.value[0], shaped(shared.value[1])
+        for cells in parts:
+            found, held, n = [], [], 0
+            for cell in cells:
+                held.append(_codes(cell))
+                n += len(held[-1])
+                if n >= 200_000:
+                    found.append(pseudo_likelihoods(net, v, held))
+                    held, n = [], 0
+            found.append(pseudo_likelihoods(net, v, held))
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["s", "u"])
+
+    rows = written(codes.select("doc_id", "n", "inside", "rare", scores("codes").alias("x"), F.monotonically_increasing_id().alias("row")))
+    rare = rows.select("row", F.explode("rare").alias("h")).join(vocab.counts.select("h", F.col("n").alias("seen")), "h", "left")
+    rare = rare.groupBy("row").agg(F.sum(F.log(F.coalesce("seen", F.lit(0)) + 0.5)).alias("of_rare"))
+    rows = rows.drop("rare").join(rare, "row", "left").withColumn("inside", F.col("inside") + F.coalesce("of_rare", F.lit(0.0)))
+    total, each = F.col("x.s") + F.col("inside"), F.nullif(F.col("n"), F.lit(0))
+    return rows.select(
+        "doc_id", F.col("n").cast("long").alias("n_tokens"), F.round(total, 4).alias("log_likelihood"),
+        F.round(total / each, 6).alias("mean_log_likelihood"), F.round((F.col("x.u") + F.col("inside")) / each, 6).alias("mean_unigram"),
+    )
+
+
+def scores(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The scores of docs by a network of their own."""
+    vocab = vocabulary(docs, text=text)
+    codes = coded(docs, vocab, id_column=id_column, text=text)
+    return scored(codes, vocab, fit(codes, vocab, **how))

@@ -18,8 +18,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return likelihood.scored(docs, likelihood.fit(docs))
+    return likelihood.scores(table(spark, sf_dir, "documents"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,49 +10,93 @@ from loomery.llm.queries import op10_toxicity
 from tests.llm.conftest import odd_rows, prose
 
 
-def test_pseudo_likelihood_is_the_sum_over_tokens():
-    net = likelihood.fresh(3)
-    net["b1"][:5] = 1.0
-    texts = [likelihood.codes(t) for t in ("a b c d e f", "", "x", prose(1, 5000))]
-    got = likelihood.pseudo_likelihoods(net, texts)
-    for t, total in zip(texts[:3], got, strict=False):
-        want = 0.0
-        for i, code in enumerate(t):
+def small_vocabulary(spark, texts):
+    return likelihood.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string")).shipped()
+
+
+def test_pseudo_likelihood_is_the_sum_over_words(spark):
+    texts = ["a b c d e f", "", "x", prose(1, 5000)]
+    vocab, net = small_vocabulary(spark, texts), likelihood.fresh(3)
+    r = np.random.default_rng(4)
+    net["w1"], net["w2"] = (r.normal(0, 0.3, net[k].shape).astype(np.float32) for k in ("w1", "w2"))
+    coded = [likelihood._encoded(vocab, t)[0] for t in texts]
+    got, plain = likelihood.pseudo_likelihoods(net, vocab, coded)
+    for t, total, alone in zip(coded[:3], got, plain, strict=False):
+        want = want_alone = 0.0
+        for i, c in enumerate(vocab.classes(t)):
             x = net["bias"].copy()
             for k in (1, 2):
-                x += net["left"][t[i - k] if i >= k else likelihood.CODES] + net["right"][t[i + k] if i + k < len(t) else likelihood.CODES]
-            h = np.tanh(x)
-            one, two = h @ net["w1"] + net["b1"], h @ net["w2"] + net["b2"][code // 64]
-            want += one[code // 64] - np.log(np.exp(one).sum()) + two[code % 64] - np.log(np.exp(two).sum())
-        assert abs(want - total) < 1e-3
-    whole = likelihood.pseudo_likelihoods(net, texts[3:])
-    assert np.isclose(whole[0], got[3], rtol=1e-6)
-
-
-def test_gradients():
-    net, at = likelihood.fresh(5), likelihood.codes("a b c d e a b c")
+                x += net["left"][t[i - k] if i >= k else likelihood.NOWHERE] + net["right"][t[i + k] if i + k < len(t) else likelihood.NOWHERE]
+            h, band, ending = np.tanh(x), c // likelihood.ENDINGS, c % likelihood.ENDINGS
+            one, two = h @ net["w1"] + vocab.log_band, h @ net["w2"] + vocab.log_ending[band]
+            want += one[band] - np.log(np.exp(one).sum()) + two[ending] - np.log(np.exp(two).sum())
+            want_alone += vocab.log_band[band] + vocab.log_ending[band, ending]
+        assert abs(want - total) < 1e-3 and abs(want_alone - alone) < 1e-9
+    assert np.isclose(likelihood.pseudo_likelihoods(net, vocab, coded[3:])[0][0], got[3], rtol=1e-6)
+
+
+def test_gradients(spark):
+    text = "a b c d e a b c"
+    vocab, net = small_vocabulary(spark, [text]), likelihood.fresh(5)
+    net["w1"] += 0.1
+    at = likelihood._encoded(vocab, text)[0]
     (around, owner, target), eps = next(likelihood.streams([at])), 1e-2
-    loss = lambda n: -float(likelihood.pseudo_likelihoods(n, [at])[0]) / len(at)
-    for name, place in (("w1", (3, 7)), ("b2", (int(at[0]) // 64, 5)), ("left", (int(at[1]), 2)), ("bias", (4,))):
+    loss = lambda n: -float(likelihood.pseudo_likelihoods(n, vocab, [at])[0][0]) / len(at)
+    net["w2"] = np.random.default_rng(1).normal(0, 0.5, net["w2"].shape).astype(np.float32)
+    c = int(vocab.classes(at)[0])
+    for name, place in (("w1", (3, c // 64)), ("w2", (2, c % 64)), ("left", (int(at[1]), 2)), ("bias", (4,))):
         moved = {k: v.copy() for k, v in net.items()}
         moved[name][place] += eps
         slope = (loss(moved) - loss(net)) / eps
         trained, memory = {k: v.copy() for k, v in net.items()}, {k: np.zeros_like(v) for k, v in net.items()}
-        likelihood.step(trained, memory, around, owner, target, 0.0)
-        assert np.isclose(np.sqrt(memory[name][place]), abs(slope), rtol=0.1, atol=2e-4)
+        likelihood.step(trained, memory, vocab, around, owner, target, 0.0)
+        assert np.isclose(np.sqrt(memory[name][place]), abs(slope), rtol=0.1, atol=5e-4)
+
+
+def test_words_and_counts(spark):
+    """Hashes are Spark's, long texts are read in slices, and the probabilities of all words add up to 1 but for the unseen."""
+    text = " ".join(prose(i, 3000) for i in range(3)) + " \u00e9\u00e0 \t x"
+    h, e = likelihood.words_of(text)
+    want = spark.createDataFrame([(w,) for w in text.encode().decode().split()], "w string").selectExpr("w", "xxhash64(w) AS h").collect()
+    assert [x - (1 << 64) if x >> 63 else x for x in h.tolist()] == [r.h for r in want] and len(e) == len(h)
+    kept, likelihood.SLICE = likelihood.SLICE, 100
+    try:
+        again = likelihood.words_of(text)
+    finally:
+        likelihood.SLICE = kept
+    assert (again[0] == h).all() and (again[1] == e).all()
+    docs = spark.createDataFrame([(text,)], "text string")
+    for size in (10, 100_000):
+        vocab = likelihood.vocabulary(docs, size=size)
+        total = 0.0
+        counts = {r.h & (2**64 - 1): (r.n, r.ending) for r in vocab.counts.collect()}
+        known = dict(zip(vocab.hashes.tolist(), zip(vocab.word_class, vocab.log_in_class, strict=True), strict=True))
+        for x, (n, ending) in counts.items():
+            c, inside = known.get(x, ((likelihood.BANDS - 1) * likelihood.ENDINGS + ending, None))
+            inside = np.log((n + 0.5) / vocab.tail_total[ending]) if inside is None else inside
+            total += np.exp(vocab.log_band[c // likelihood.ENDINGS] + vocab.log_ending[c // likelihood.ENDINGS, c % likelihood.ENDINGS] + inside)
+        assert 0.75 < total <= 1 + 1e-9
 
 
 def test_training_learns_order(spark, odd, none):
-    words = [f"w{i}" for i in range(30)]
-    docs = spark.createDataFrame([(i, " ".join(words[(i + k) % 30] for k in range(200))) for i in range(60)], "doc_id long, text string")
-    net = likelihood.fit(docs, rounds=2)
-    straight, mixed = " ".join(words * 5), " ".join(np.random.default_rng(0).permutation(words * 5))
-    a, b = likelihood.pseudo_likelihoods(net, [likelihood.codes(straight), likelihood.codes(mixed)])
-    assert a > b + 100
-    rows = likelihood.scored(odd, net).collect()
+    """Held-out documents are likelier in context than by their words alone, shuffled ones are not, and dealing rows otherwise changes nothing."""
+    words = [f"w{i}{chr(97 + i % 26)}{chr(97 + i % 7)}" for i in range(30)]
+    docs = [(i, " ".join(words[(i + k) % 30] for k in range(200))) for i in range(240)]
+    train, rest = spark.createDataFrame(docs[:180], "doc_id long, text string"), spark.createDataFrame(docs[180:], "doc_id long, text string")
+    vocab = likelihood.vocabulary(train)
+    net = likelihood.fit(likelihood.coded(train, vocab), vocab, copy=2000)
+    mean = lambda d: d.agg({"mean_log_likelihood": "avg", "mean_unigram": "avg"}).first()
+    held = mean(likelihood.scored(likelihood.coded(rest, vocab), vocab, net))
+    assert held["avg(mean_log_likelihood)"] > held["avg(mean_unigram)"] + 0.5
+    mixed = spark.createDataFrame([(i, " ".join(np.random.default_rng(i).permutation(t.split()))) for i, t in docs[180:]], "doc_id long, text string")
+    other = mean(likelihood.scored(likelihood.coded(mixed, vocab), vocab, net))
+    assert other["avg(mean_log_likelihood)"] < held["avg(mean_log_likelihood)"] - 0.5
+    a, b = (sorted(map(tuple, likelihood.scores(train.repartition(n), copy=2000).collect())) for n in (1, 7))
+    assert a == b
+    rows = likelihood.scores(odd).collect()
     assert len(rows) == len(odd_rows())
     assert all((r.n_tokens == 0) == (r.mean_log_likelihood is None) for r in rows)
-    assert likelihood.scored(none, likelihood.fit(none)).count() == 0
+    assert likelihood.scores(none).count() == 0
 
 
 def test_toxicity_without_labels(spark, odd, none):
