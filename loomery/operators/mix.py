@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.operators.order import hex_bucket, id_bucket, running_total, shuffle_key
+from loomery.operators.order import even_bucket, hex_bucket, running_total, shuffle_key
 
 
 def n_tokens(text: str = "text") -> Column:
@@ -44,17 +44,15 @@ def share_report(docs: DataFrame, targets: Mapping[str, float], key: str = "lang
 
 def numbered(docs: DataFrame, groups: list[str], name: str = "seq") -> DataFrame:
     """docs with their place in their group, from 0, by doc_id."""
-    return running_total(docs, F.lit(1), ["doc_id"], id_bucket("doc_id"), groups, name)
+    return running_total(docs, F.lit(1), ["doc_id"], even_bucket(docs, "doc_id"), groups, name)
 
 
 def round_robin(docs: DataFrame, part: str = "source") -> DataFrame:
-    """docs with position: one row of each part in turn, parts by name, those that run dry drop out."""
-    docs = numbered(docs, [part])
-    sizes = docs.groupBy(part).agg(F.count("*").alias("size"))
-    all_sizes = sizes.agg(F.collect_list(F.struct(F.col(part).alias("part"), "size")).alias("sizes"))  # one entry for each part
-    docs = docs.crossJoin(F.broadcast(all_sizes))
-    ahead = F.expr(f"aggregate(sizes, 0L, (a, x) -> a + least(x.size, seq + CASE WHEN x.part < {part} THEN 1 ELSE 0 END))")
-    return docs.withColumn("position", ahead).drop("sizes")
+    """docs with position: one row of each part in turn, parts by name, those that run dry drop out.
+
+    That is the order by place in the part, then part; a bucket holds 16 places of all parts.
+    """
+    return running_total(numbered(docs, [part]), F.lit(1).cast("long"), ["seq", part], F.floor(F.col("seq") / 16), name="position")
 
 
 def repeated(docs: DataFrame, epochs: Mapping[str, int], key: str = "lang") -> DataFrame:
@@ -71,7 +69,7 @@ def continued(docs: DataFrame, taken: DataFrame, part: str = "source") -> DataFr
 
 def char_prefix(docs: DataFrame, target: Column | int, groups: list[str], value: str | Column = "n_chars") -> DataFrame:
     """Of each group, the rows by doc_id until their values first reach the target, with `before`."""
-    docs = running_total(docs, value, ["doc_id"], id_bucket("doc_id"), groups, "before")
+    docs = running_total(docs, value, ["doc_id"], even_bucket(docs, "doc_id"), groups, "before")
     return docs.where(F.col("before") < target)
 
 

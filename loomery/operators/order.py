@@ -18,14 +18,24 @@ def running_total(df: DataFrame, value: str | Column, order: Sequence[str | Colu
 
     bucket must not fall as the order rises. The sum of each (group, bucket) comes first,
     so that only rows of one bucket are ever sorted together, and only one row for each
-    bucket is sorted within a group.
+    bucket is sorted within a group; numbered buckets are summed in runs of 1,000 of them first.
     """
     value = F.col(value) if isinstance(value, str) else value
     df = df.withColumn("_bucket", bucket).withColumn("_value", value)
     keys = [*groups, "_bucket"]
     sums = df.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
-    earlier = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    total = lambda column, over: F.coalesce(F.sum(column).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if sums.schema["_bucket"].dataType.typeName() == "long":
+        sums = sums.withColumn("_run", F.floor(F.col("_bucket") / 1000))
+        runs = sums.groupBy(*groups, "_run").agg(F.sum("_sum").alias("_of_run"))
+        runs = runs.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)], F.col("_run").alias("_r"), total("_of_run", Window.partitionBy(*groups).orderBy("_run")).alias("_runs"))
+        same = F.col("_run").eqNullSafe(F.col("_r"))
+        for k, g in enumerate(groups):
+            same &= F.col(g).eqNullSafe(F.col(f"_g{k}"))
+        sums = sums.withColumn("_start", total("_sum", Window.partitionBy(*groups, "_run").orderBy("_bucket"))).join(runs, same)
+        sums = sums.select(*keys, (F.col("_start") + F.col("_runs")).alias("_start"))
+    else:
+        sums = sums.withColumn("_start", total("_sum", Window.partitionBy(*groups).orderBy("_bucket"))).drop("_sum")
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0)))
     match = F.lit(True)
@@ -43,3 +53,9 @@ def hex_bucket(key: str | Column, digits: int = 3) -> Column:
 def id_bucket(key: str, width: int = 1000) -> Column:
     """The bucket of a whole number."""
     return F.floor(F.col(key) / width)
+
+
+def even_bucket(df: DataFrame, key: str, rows: int = 1000) -> Column:
+    """Buckets of a whole number that hold about so many rows of df each, if its values lie evenly, however far apart they are."""
+    low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    return id_bucket(key, max(1, (high - low + 1) * rows // n) if n else rows)

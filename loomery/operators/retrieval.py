@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions.text import ascii_words
+from loomery.session import stored
 
 
 def weighted(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The index: (key, term, w) with rows of length 1, and (term, idf) with idf = ln((1 + N) / (1 + df)) + 1."""
-    tf = docs.select(key, F.explode(ascii_words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = stored(docs.select(key, F.explode(ascii_words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))  # read three times
     n = docs.where(F.col(text).rlike(r"\S")).agg(F.count("*").alias("N"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.operators.shards import cut_shards
+from loomery.operators.shards import cut_shards, cut_stream
 
 
 def write_shards(docs: DataFrame, path: str, size: int) -> None:
@@ -14,6 +14,19 @@ def write_shards(docs: DataFrame, path: str, size: int) -> None:
     docs.select("doc_id", "text").join(cut, "doc_id").write.mode("ignore").partitionBy("lane", "shard").parquet(path)
 
 
+def write_stream(docs: DataFrame, path: str, size: int, max_tokens: int | None = None) -> DataFrame:
+    """doc_id, n, start and text under path/shards/shard=*, cut as one stream, and path/index: shard, n_docs, tokens, start. A finished output is left as it is.
+
+    Shards, and within them documents, are in the order of the stream. Gives the index.
+    """
+    cut = cut_stream(docs, size, max_tokens)
+    texts = docs.select("doc_id", "text").join(cut, "doc_id").repartitionByRange("shard").sortWithinPartitions("shard", "start")
+    texts.write.mode("ignore").partitionBy("shard").parquet(f"{path}/shards")
+    index = cut.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n").alias("tokens"), F.min("start").alias("start"))
+    index.write.mode("ignore").parquet(f"{path}/index")
+    return docs.sparkSession.read.parquet(f"{path}/index")
+
+
 def manifest(docs: DataFrame, size: int) -> DataFrame:
     """lane, shard, n_docs and tokens of each shard."""
     return cut_shards(docs, size).groupBy("lane", "shard").agg(F.count("*").alias("n_docs"), F.sum("n").alias("tokens"))

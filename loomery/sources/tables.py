@@ -24,6 +24,17 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return listed.select("path", F.col("length").alias("size")).where(wanted)
 
 
+def source_files(spark: SparkSession, root: str, recorded: DataFrame | None = None) -> DataFrame:
+    """The readable files under a folder, each once, by path; with a record (path, size), only the recorded ones, all of which must be there."""
+    found = files(spark, root)
+    if recorded is not None:
+        short = short_files(recorded, found).select("path").limit(5).collect()
+        if short:
+            raise FileNotFoundError(f"missing or of another size: {', '.join(r.path for r in short)}")
+        found = found.join(recorded.select("path").distinct(), "path", "left_semi")
+    return found.dropDuplicates(["path"]).orderBy("path")
+
+
 def source(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A Parquet or JSON source by its ending, with the columns asked for."""
     ending = next((kind for end, kind in READERS.items() if path.endswith(end)), None)
