@@ -55,6 +55,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does to documents, from the ledger's bits."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -66,12 +71,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | {"quality_ablation": quality_ablation}
 
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
+QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
+s AS (SELECT r, i FROM g JOIN (SELECT r, g FROM g GROUP BY r, g HAVING count(*) > 1) USING (r, g)),
+n AS (SELECT r, count(DISTINCT i + j) AS n FROM s, generate_series(0, 7) AS o(j) GROUP BY r),
+m AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words, len(l) AS n_lines,
+    length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper,
+    len(list_filter(generate_series(2, len(w)), lambda i: w[i] = w[i - 1])) AS n_doubled
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d) AS d LEFT JOIN n USING (r)),
+f AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
+  + 8 * (word_chars < 2 * n_words OR word_chars > 25 * n_words)::INT + 16 * (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)::INT
+  + 32 * (10 * n_upper > 4 * word_chars)::INT + 64 * (10 * n_doubled > 5 * n_words)::INT AS BIGINT) AS failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, failed = 0 AS kept,
+  CAST(n_lines AS BIGINT) AS n_lines, CAST(n_upper AS BIGINT) AS n_upper, CAST(n_doubled AS BIGINT) AS n_doubled, failed
+FROM f"""
+#: Each version of the policy with its rules' bits, written out; masks are their sums.
+ABLATION = f"""WITH q AS ({QUALITY}), c AS (SELECT failed, count(*) AS n FROM q GROUP BY failed),
+p(policy, rule, bit, mask) AS (VALUES ('base', 'few_words', 1, 3), ('base', 'repeated_windows', 2, 3),
+  ('v1', 'few_words', 1, 15), ('v1', 'repeated_windows', 2, 15), ('v1', 'symbols', 4, 15), ('v1', 'word_length', 8, 15),
+  ('v2', 'few_words', 1, 127), ('v2', 'repeated_windows', 2, 127), ('v2', 'symbols', 4, 127), ('v2', 'word_length', 8, 127),
+  ('v2', 'repeated_lines', 16, 127), ('v2', 'upper_case', 32, 127), ('v2', 'doubled_words', 64, 127))
+SELECT policy, rule, CAST(coalesce(sum(n) FILTER (failed & bit <> 0), 0) AS BIGINT) AS n_failed, CAST(coalesce(sum(n) FILTER (failed & mask = bit), 0) AS BIGINT) AS n_failed_alone,
+  CAST(coalesce(sum(n) FILTER (failed & mask = 0), 0) AS BIGINT) AS n_kept, CAST(coalesce(sum(n) FILTER (failed & (mask - bit) = 0), 0) AS BIGINT) AS n_kept_without
+FROM c, p GROUP BY policy, rule"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_substring_dedup": rf"""
@@ -107,22 +143,6 @@ SELECT m.conv_id, m.turn, 'tool', 0, 0, 0, CASE WHEN lv.turn IS NULL THEN 'orpha
 FROM m LEFT JOIN lv ON lv.conv_id = m.conv_id AND lv.turn = m.turn - 1 WHERE role = 'assistant'
 UNION ALL
 SELECT conv_id, turn, role, 0, 0, 0, 'plain', 0, CAST(to_json({'content': text, 'role': role}) AS VARCHAR) FROM m WHERE role NOT IN ('user', 'assistant')""",
-        "op8_quality_rules": rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
-g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
-s AS (SELECT r, i FROM g JOIN (SELECT r, g FROM g GROUP BY r, g HAVING count(*) > 1) USING (r, g)),
-n AS (SELECT r, count(DISTINCT i + j) AS n FROM s, generate_series(0, 7) AS o(j) GROUP BY r),
-m AS (
-  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
-    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words, len(l) AS n_lines,
-    length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper,
-    len(list_filter(generate_series(2, len(w)), lambda i: w[i] = w[i - 1])) AS n_doubled
-  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d) AS d LEFT JOIN n USING (r)),
-f AS (SELECT *, CAST({" + ".join(f"CASE WHEN {sql} THEN {1 << k} ELSE 0 END" for k, sql in enumerate(quality.RULES.values()))} AS BIGINT) AS failed FROM m)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
-  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, (failed & {quality.mask(quality.CURRENT)}) = 0 AS kept,
-  CAST(n_lines AS BIGINT) AS n_lines, CAST(n_upper AS BIGINT) AS n_upper, CAST(n_doubled AS BIGINT) AS n_doubled, failed
-FROM f""",
+        "op8_quality_rules": QUALITY,
+        "quality_ablation": ABLATION,
     }
