@@ -29,6 +29,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -74,17 +75,21 @@ class Vocabulary:
         return np.where(codes < OWN, self.own_class[np.minimum(codes, OWN - 1)], np.minimum(codes - OWN, CLASSES - 1))
 
 
+_digest = partial(xxhash.xxh64_intdigest, seed=42)
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
 def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The hash (as Spark's xxhash64, unsigned) and the ending of each word of a text: a class of its last two bytes."""
     data = (text or "").encode()
     hashes, endings, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while start < len(data):
-        cut = re.compile(rb"[\x20\x09-\x0d]").search(data, min(start + SLICE, len(data)))
+        cut = _BLANK.search(data, start + SLICE) if start + SLICE < len(data) else None
         end = cut.start() if cut else len(data)
         found = data[start:end].split()
         start = end + 1
         if found:
-            hashes.append(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in found), np.uint64, len(found)))
+            hashes.append(np.fromiter(map(_digest, found), np.uint64, len(found)))
             flat = np.frombuffer(b"\0\0" + b"\0\0".join(found), np.uint8).astype(np.int64)
             ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 2)
             endings.append((flat[ends - 2] * 1_000_003 + flat[ends - 1] * 8_191 >> 3) % ENDINGS)
@@ -92,18 +97,36 @@ def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, endings = (np.concatenate(x) for x in zip(*held, strict=True))
+        found, first, n = np.unique(hashes, return_index=True, return_counts=True)
+        return pa.record_batch({"h": pa.array(found.view(np.int64)), "ending": pa.array(endings[first].astype(np.int32)), "n": pa.array(n)})
+
+    held, n_words = [], 0
     for batch in batches:
         for text in batch.column(0):
-            hashes, endings = words_of(text.as_py())
-            found, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            yield pa.record_batch({"h": pa.array(found.view(np.int64)), "ending": pa.array(endings[first].astype(np.int32)), "n": pa.array(n)})
+            held.append(words_of(text.as_py()))
+            n_words += len(held[-1][0])
+            if n_words >= 1_000_000:
+                yield summed(held)
+                held, n_words = [], 0
+    if held:
+        yield summed(held)
 
 
 def vocabulary(docs: DataFrame, *, text: str = "text", size: int = VOCABULARY) -> Vocabulary:
     """The counts of all words of docs, and what is made of them."""
     found = docs.select(text_of(f"`{text}`").alias("text")).mapInArrow(_counted, "h long, ending int, n long")
     counts = written(found.groupBy("h", "ending").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.desc("n"), "h").limit(size).toPandas()  # bounded
+    # The frequent words lie above a bound from the distribution of counts, so that hardly more than they are sorted.
+    level, least = F.floor(8 * F.log2("n")).cast("int"), 0
+    above = 0
+    for at, words in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # a few hundred levels
+        above += words
+        if above >= size:
+            least = at
+            break
+    top = counts.where(level >= least).orderBy(F.desc("n"), "h").limit(size).toPandas()  # bounded
     n_all, d_all = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect():
         n_all[r.ending], d_all[r.ending] = r.n, r.d
@@ -186,26 +209,27 @@ def streams(texts: list[np.ndarray], batch: int = BATCH) -> Iterator[tuple[np.nd
         yield ids[i - SPAN : j + SPAN], owner[i:j], ids[i:j]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def _log_chance(x: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    own = x[at, chosen].astype(float)
+    return own - np.log(np.exp(x, out=x).sum(1))
 
 
 def forward(net: Net, vocab: Vocabulary, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the codes between the ends of `around`: band, ending, the hidden layer and the log-chances of all bands and endings."""
+    """For the codes between the ends of `around`: band, ending, the hidden layer and what the softmax is taken of, for bands and endings."""
     n, c = len(target), vocab.classes(target)
     band, ending = c // ENDINGS, c % ENDINGS
     left, right = net["left"][around], net["right"][around]
     x = net["bias"] + sum(left[SPAN - k : SPAN - k + n] for k in range(1, SPAN + 1)) + sum(right[SPAN + k : SPAN + k + n] for k in range(1, SPAN + 1))
     h = np.tanh(x)
-    return band, ending, h, _log_softmax(h @ net["w1"] + vocab.log_band.astype(np.float32)), _log_softmax(h @ net["w2"] + vocab.log_ending.astype(np.float32)[band])
-
-
-def _summed_by(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    return ids[starts], np.add.reduceat(rows[order], starts, axis=0)
+    return band, ending, h, h @ net["w1"] + vocab.log_band.astype(np.float32), h @ net["w2"] + vocab.log_ending.astype(np.float32)[band]
 
 
 def step(net: Net, memory: Net, vocab: Vocabulary, around: np.ndarray, owner: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
@@ -214,10 +238,8 @@ def step(net: Net, memory: Net, vocab: Vocabulary, around: np.ndarray, owner: np
     n = int(real.sum())
     if not n:
         return
-    band, ending, h, p1, p2 = forward(net, vocab, around, target)
-    at = np.arange(len(target))
-    np.exp(p1, out=p1)
-    np.exp(p2, out=p2)
+    band, ending, h, x1, x2 = forward(net, vocab, around, target)
+    at, p1, p2 = np.arange(len(target)), _softmax(x1), _softmax(x2)
     p1[at, band] -= 1
     p2[at, ending] -= 1
     for p in (p1, p2):
@@ -227,11 +249,14 @@ def step(net: Net, memory: Net, vocab: Vocabulary, around: np.ndarray, owner: np
     for k, d in {"w1": h.T @ p1, "w2": h.T @ p2, "bias": g.sum(0)}.items():
         memory[k] += d * d
         net[k] -= rate * d / np.sqrt(memory[k] + 1e-10)
+    order = np.argsort(around, kind="stable")
+    starts = np.flatnonzero(np.diff(around[order], prepend=-1))
+    ids = around[order[starts]]
     for k, sign in (("left", -1), ("right", 1)):
         spread = np.zeros((len(around), WIDTH), np.float32)
         for s in range(1, SPAN + 1):
             spread[SPAN + sign * s : SPAN + sign * s + len(target)] += g
-        ids, d = _summed_by(around, spread)
+        d = np.add.reduceat(spread[order], starts, axis=0)
         memory[k][ids] += d * d
         net[k][ids] -= rate * d / np.sqrt(memory[k][ids] + 1e-10)
 
@@ -241,9 +266,9 @@ def pseudo_likelihoods(net: Net, vocab: Vocabulary, texts: list[np.ndarray]) ->
     total, plain = np.zeros(len(texts)), np.zeros(len(texts))
     for around, owner, target in streams(texts):
         real = owner >= 0
-        band, ending, _, p1, p2 = forward(net, vocab, around, target)
+        band, ending, _, x1, x2 = forward(net, vocab, around, target)
         at = np.arange(len(target))
-        total += np.bincount(owner[real], (p1[at, band].astype(float) + p2[at, ending])[real], len(texts))
+        total += np.bincount(owner[real], (_log_chance(x1, at, band) + _log_chance(x2, at, ending))[real], len(texts))
         plain += np.bincount(owner[real], (vocab.log_band[band] + vocab.log_ending[band, ending])[real], len(texts))
     return total, plain
 
