@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import chat, fingerprints, likelihood, mixing, packing, pii, quality, simhash, substrings, toxicity
+from loomery.llm import chat, codes, fingerprints, likelihood, mixing, packing, pii, quality, ranking, simhash, substrings, toxicity, vectors
 from loomery.llm.common import table
 
 
@@ -70,6 +70,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"), "label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | {"quality_ablation": quality_ablation}
 
@@ -108,6 +121,50 @@ SELECT policy, rule, CAST(coalesce(sum(n) FILTER (failed & bit <> 0), 0) AS BIGI
 FROM c, p GROUP BY policy, rule"""
 
 
+GOOD = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+EMBEDDING_DEDUP = f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+g AS MATERIALIZED (SELECT * FROM v WHERE label IS NOT NULL AND {GOOD.replace("embedding", "x")} AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM g AS a JOIN g AS b ON a.label = b.label AND a.r <> b.r AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.93),
+c AS (SELECT r, r AS o FROM g UNION SELECT c.r, l.b FROM c JOIN l ON c.o = l.a),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a),
+m AS (SELECT c.r, min(v.vec_id) AS m FROM c JOIN v ON v.r = c.o GROUP BY c.r)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, CASE WHEN m.r IS NULL THEN vec_id ELSE m.m END AS component_id,
+  vec_id IS NOT DISTINCT FROM CASE WHEN m.r IS NULL THEN vec_id ELSE m.m END AS kept
+FROM v LEFT JOIN n USING (r) LEFT JOIN m USING (r)"""
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+RANKED = f"""
+WITH q AS (SELECT item_id, i, unnest({TERMS}) AS term FROM (SELECT *, row_number() OVER () AS i FROM benchmark)),
+d AS (SELECT r, doc_id, {TERMS} AS terms FROM (SELECT *, row_number() OVER () AS r FROM documents)),
+s AS (SELECT count(*) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d WHERE len(terms) > 0),
+p AS (SELECT r, doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) SEMI JOIN q USING (term) GROUP BY r, doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(s.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+x AS (SELECT r, doc_id, term, w.w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * p.n * s.n) // s.l)))) AS part FROM p JOIN w USING (term), s),
+y AS (SELECT i, item_id, r, doc_id, CAST(sum(part) AS BIGINT) AS score FROM q JOIN x USING (term) GROUP BY i, item_id, r, doc_id HAVING sum(part) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST, r) AS INTEGER) AS rank, doc_id, score FROM y
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST, r) <= 20"""
+
+
+def _vector_codes() -> str:
+    """Four rounds written out: a0 to a4 are the assignments, b0 to b4 the codebooks."""
+    steps = []
+    for k in range(5):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, part, min({{'d': list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS m
+  FROM p JOIN b{k} AS b USING (part) GROUP BY r, part)""")
+        if k < 4:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT part, e, coalesce(n.v, b.v) AS v FROM b{k} AS b LEFT JOIN (
+  SELECT part, e, list(c ORDER BY i) AS v FROM (SELECT part, e, i, CAST(floor(CAST(sum(c) AS DOUBLE) / count(*)) AS BIGINT) AS c
+    FROM (SELECT part, m.e AS e, unnest(p.v) AS c, generate_subscripts(p.v, 1) AS i FROM a{k} JOIN p USING (r, part)) GROUP BY part, e, i) GROUP BY part, e) AS n USING (part, e))""")
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE {GOOD}),
+p AS MATERIALIZED (SELECT r, vec_id, part, x[part * (len(x) // 4) + 1:(part + 1) * (len(x) // 4)] AS v FROM k, range(4) AS t(part)),
+b0 AS MATERIALIZED (SELECT part, e, v FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id, v) - 1 AS e, v FROM p) WHERE e < 256),
+{', '.join(steps)},
+c AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a4 GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, e, i)) AS h FROM (SELECT part, e, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM b4))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256, label FROM k JOIN c USING (r), h"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_substring_dedup": rf"""
@@ -144,5 +201,8 @@ FROM m LEFT JOIN lv ON lv.conv_id = m.conv_id AND lv.turn = m.turn - 1 WHERE rol
 UNION ALL
 SELECT conv_id, turn, role, 0, 0, 0, 'plain', 0, CAST(to_json({'content': text, 'role': role}) AS VARCHAR) FROM m WHERE role NOT IN ('user', 'assistant')""",
         "op8_quality_rules": QUALITY,
+        "op11_embedding_dedup": EMBEDDING_DEDUP,
+        "op12_ranked_search": RANKED,
+        "op13_vector_codes": _vector_codes(),
         "quality_ablation": ABLATION,
     }
