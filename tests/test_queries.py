@@ -4,11 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from loomery.plans import chats, corpus, evaluation, further, sources
+from loomery.plans import chats, corpus, evaluation, further, sources, streams
 
 TABLES = "documents labels benchmark conversations pages events".split()
-QUERIES = corpus.QUERIES | chats.QUERIES | evaluation.QUERIES | further.QUERIES | sources.QUERIES
-ORACLE = corpus.ORACLE | chats.ORACLE | evaluation.ORACLE | further.ORACLE | sources.ORACLE
+QUERIES = corpus.QUERIES | chats.QUERIES | evaluation.QUERIES | further.QUERIES | sources.QUERIES | streams.QUERIES
+ORACLE = corpus.ORACLE | chats.ORACLE | evaluation.ORACLE | further.ORACLE | sources.ORACLE | streams.ORACLE
 
 
 @pytest.fixture(scope="module")
