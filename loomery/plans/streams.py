@@ -1,10 +1,14 @@
-"""Queries over exact mixes, each with its SQL."""
+"""Queries over exact mixes and tokens of more than a byte, with their SQL."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomery.operators import mixed
+from loomery.functions import tokens
+from loomery.operators import chats, masks, mixed
 from loomery.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -56,3 +60,64 @@ SELECT lang, CAST(mark AS BIGINT) AS mark, n_docs, CAST(sum(tokens) OVER (PARTIT
 def mixed_shares(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each source served by each mark of the exact mix."""
     return mixed.served_shares(mixed_stream(spark, d), EVERY)
+
+
+#: A public vocabulary; its folder is a parameter. Bytes a token and tokens a piece in the check of masks, tokens a piece else.
+VOCABULARY = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
+WIDTH, PIECE, WINDOW = 3, 40, 1024
+
+
+@query("""SELECT doc_id, sha256(text) AS decoded_sha256, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents""")
+def bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of each text after encoding and decoding, and the bytes of its tokens: all of it."""
+    vocabulary = tokens.read_vocabulary(VOCABULARY)
+    rows = table(spark, d, "documents").select("doc_id", tokens.encoded(F.col("text"), vocabulary).alias("ids"))
+    n_bytes = F.aggregate(tokens.lengths(F.col("ids"), vocabulary), F.lit(0).cast("long"), lambda n, x: n + x)
+    return rows.select("doc_id", F.sha2(tokens.decoded(F.col("ids"), vocabulary), 256).alias("decoded_sha256"), n_bytes.alias("n_bytes"))
+
+
+@query()
+def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
+    """Each text's number of tokens, and the tokens by a digest, with a public vocabulary."""
+    ids = tokens.encoded(F.col("text"), tokens.read_vocabulary(VOCABULARY))
+    rows = table(spark, d, "documents").select("doc_id", "source", ids.alias("ids"))
+    return rows.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+
+
+#: Tokens of WIDTH bytes. p has each mark's place in bytes, w goes from mark to mark: those that begin in a token of the one before are passed over.
+MASKS = f"""
+WITH RECURSIVE t AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'USER: ' ELSE 'ASSISTANT: ' END || text, chr(10) ORDER BY turn) AS t FROM conversations WHERE role <> 'system' GROUP BY conv_id),
+b AS (SELECT conv_id, hex(encode(t)) AS x, strlen(t) AS n FROM t),
+q AS (SELECT conv_id, piece, n, x[2 * {WIDTH * PIECE} * piece + 1:2 * {WIDTH * PIECE} * (piece + 1)] AS x, least({WIDTH * PIECE}, n - {WIDTH * PIECE} * piece) AS bytes
+  FROM b, LATERAL (SELECT unnest(generate_series(0, greatest(0, (n - 1) // {WIDTH * PIECE}))) AS piece)),
+m AS MATERIALIZED (SELECT conv_id, piece, at_ // 2 // {WIDTH} AS first, (at_ // 2 + size - 1) // {WIDTH} + 1 AS after, learnt, row_number() OVER (PARTITION BY conv_id, piece ORDER BY at_) AS k FROM (
+  SELECT conv_id, piece, i AS at_, CASE WHEN x[i + 1:i + 20] = '{b"ASSISTANT:".hex().upper()}' THEN 10 ELSE 5 END AS size, x[i + 1:i + 20] = '{b"ASSISTANT:".hex().upper()}' AS learnt
+  FROM q, LATERAL (SELECT unnest(generate_series(0, 2 * bytes - 2, 2)) AS i) WHERE x[i + 1:i + 20] = '{b"ASSISTANT:".hex().upper()}' OR x[i + 1:i + 10] = '{b"USER:".hex().upper()}')),
+w AS (SELECT conv_id, piece, k, true AS used, first, after, learnt FROM m WHERE k = 1 UNION ALL
+  SELECT m.conv_id, m.piece, m.k, m.first >= w.after, m.first, CASE WHEN m.first >= w.after THEN m.after ELSE w.after END, CASE WHEN m.first >= w.after THEN m.learnt ELSE w.learnt END FROM w JOIN m ON m.conv_id = w.conv_id AND m.piece = w.piece AND m.k = w.k + 1),
+u AS (SELECT conv_id, piece, first, after, learnt, lead(first) OVER (PARTITION BY conv_id, piece ORDER BY k) AS next FROM w WHERE used),
+l AS (SELECT conv_id, piece, arg_max(learnt, first) AS last, min(first) AS head, sum(CASE WHEN learnt AND next IS NOT NULL THEN next - after ELSE 0 END) AS inner_, max(CASE WHEN next IS NULL AND learnt THEN after END) AS open_ FROM u GROUP BY conv_id, piece),
+s AS (SELECT q.conv_id, q.piece, (bytes + {WIDTH - 1}) // {WIDTH} AS n_tokens, l.head, l.inner_, l.open_, coalesce(last_value(l.last IGNORE NULLS) OVER (PARTITION BY q.conv_id ORDER BY q.piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS state
+  FROM q LEFT JOIN l USING (conv_id, piece))
+SELECT conv_id, CAST(piece AS INTEGER) AS piece, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(CASE WHEN state THEN coalesce(head, n_tokens) ELSE 0 END + coalesce(inner_, 0) + coalesce(n_tokens - open_, 0) AS BIGINT) AS n_learnt FROM s"""
+
+
+@query(MASKS)
+def token_loss_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens learnt from in each piece of a conversation, by role marks, for tokens of three bytes."""
+    rows = chats.user_assistant(table(spark, d, "conversations")).withColumn("n", F.octet_length("rendered"))
+    rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / (WIDTH * PIECE)).cast("int") - 1))))
+    rows = rows.withColumn("bytes", F.expr(f"substr(encode(rendered, 'UTF-8'), {WIDTH * PIECE} * piece + 1, {WIDTH * PIECE})")).drop("rendered")
+    size = F.octet_length("bytes")
+    sizes = F.transform(F.sequence(F.lit(0), F.ceil(size / WIDTH).cast("int") - 1), lambda i: F.least(F.lit(WIDTH), size - i * WIDTH))
+    return masks.loss_masks(rows, "conv_id", "piece", F.col("bytes"), F.when(size > 0, sizes)).select("conv_id", "piece", "n_tokens", "n_learnt")
+
+
+@query()
+def bpe_loss_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens learnt from in each piece of a conversation, by role marks, with a public vocabulary."""
+    vocabulary = tokens.read_vocabulary(VOCABULARY)
+    rows = chats.user_assistant(table(spark, d, "conversations"))
+    rows = masks.cut(rows.select("conv_id", tokens.encoded(F.col("rendered"), vocabulary).alias("ids")), "ids", WINDOW)
+    # The bytes of a piece may begin or end within a letter.
+    return masks.loss_masks(rows, "conv_id", "piece", tokens.joined_bytes(F.col("ids"), vocabulary), tokens.lengths(F.col("ids"), vocabulary)).select("conv_id", "piece", "n_tokens", "n_learnt")
