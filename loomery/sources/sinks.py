@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.operators.shards import cut_shards, cut_stream
+from loomery.session import stored
+from loomery.sources.commits import committed
 
 
 def write_shards(docs: DataFrame, path: str, size: int) -> None:
-    """doc_id and text under path/lane=*/shard=*; an existing folder is left as it is."""
-    cut = cut_shards(docs, size).select("doc_id", "lane", "shard")
-    docs.select("doc_id", "text").join(cut, "doc_id").write.mode("ignore").partitionBy("lane", "shard").parquet(path)
+    """doc_id and text under path/lane=*/shard=*; a finished output is left as it is."""
+
+    def build() -> dict:
+        cut = cut_shards(docs, size).select("doc_id", "lane", "shard")
+        docs.select("doc_id", "text").join(cut, "doc_id").write.partitionBy("lane", "shard").parquet(path)
+        return {"size": size}
+
+    committed(docs.sparkSession, path, build)
 
 
 def write_stream(docs: DataFrame, path: str, size: int, max_tokens: int | None = None) -> DataFrame:
@@ -19,12 +26,18 @@ def write_stream(docs: DataFrame, path: str, size: int, max_tokens: int | None =
 
     Shards, and within them documents, are in the order of the stream. Gives the index.
     """
-    cut = cut_stream(docs, size, max_tokens)
-    texts = docs.select("doc_id", "text").join(cut, "doc_id").repartitionByRange("shard").sortWithinPartitions("shard", "start")
-    texts.write.mode("ignore").partitionBy("shard").parquet(f"{path}/shards")
-    index = cut.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n").alias("tokens"), F.min("start").alias("start"))
-    index.write.mode("ignore").parquet(f"{path}/index")
-    return docs.sparkSession.read.parquet(f"{path}/index")
+    spark = docs.sparkSession
+
+    def build() -> dict:
+        cut = stored(cut_stream(docs, size, max_tokens))  # read twice, so that texts and index agree
+        texts = docs.select("doc_id", "text").join(cut, "doc_id").repartitionByRange("shard").sortWithinPartitions("shard", "start")
+        texts.write.partitionBy("shard").parquet(f"{path}/shards")
+        index = cut.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n").alias("tokens"), F.min("start").alias("start"))
+        index.write.parquet(f"{path}/index")
+        return {"size": size, "max_tokens": max_tokens}
+
+    committed(spark, path, build)
+    return spark.read.parquet(f"{path}/index")
 
 
 def manifest(docs: DataFrame, size: int) -> DataFrame:
