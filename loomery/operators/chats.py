@@ -98,6 +98,21 @@ def best_threads(nodes: DataFrame) -> DataFrame:
     return kept.where("deepest >= 1").select("root", "depth", "message_id", "role")
 
 
+def ranked_paths(nodes: DataFrame) -> DataFrame:
+    """root, depth, message_id: from each message without a parent to its best child, whatever the roles: the lowest rank, else the first.
+
+    Each step joins all paths to their next message at once. Messages that no root leads to, as those of a cycle, aren't there.
+    """
+    best = F.min(F.struct(F.isnull("rank").alias("unranked"), "rank", "seq", "message_id"))
+    edges = stored(nodes.where("parent_id IS NOT NULL").groupBy("parent_id").agg(best.alias("b")).select(F.col("parent_id").alias("message_id"), F.col("b.message_id").alias("next")))
+    path = front = nodes.where("parent_id IS NULL").select(F.col("message_id").alias("root"), F.lit(0).alias("depth"), "message_id")
+    for depth in count(1):
+        front = stored(front.join(edges, "message_id").select("root", F.lit(depth).alias("depth"), F.col("next").alias("message_id")))
+        if front.isEmpty():
+            return path
+        path = path.unionByName(front)
+
+
 def pair_ids(prompt: Column, response: Column, length: int) -> tuple[Column, Column]:
     """Of a preference pair: tokens of the response, cut to length - 1, and of the prompt, cut on the left to fit."""
     n_response = F.least(F.octet_length(F.concat(response, F.lit(CLOSE + "\n"))), F.lit(length - 1))

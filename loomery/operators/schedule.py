@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.operators.order import id_bucket, running_total
+
 
 def anneal_fraction(step: Column, start: int, ramp: int, fraction: float) -> Column:
     """Nothing before the start, then a rise to the fraction over `ramp` steps."""
@@ -17,10 +19,10 @@ def anneal_fraction(step: Column, start: int, ramp: int, fraction: float) -> Col
 def anneal_blend(steps: DataFrame, *, batch: int, start: int, ramp: int, fraction: float) -> DataFrame:
     """For each step: windows from the anneal and the main stream, and where each stream stands before it."""
     steps = steps.withColumn("fraction", anneal_fraction(F.col("step"), start, ramp, fraction))
-    steps = steps.withColumn("anneal", F.bround(F.col("fraction") * batch).cast("long")).withColumn("main", F.lit(batch) - F.col("anneal"))
-    before = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # one row for each step
-    at = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_at")
-    return steps.select("step", F.round("fraction", 9).alias("fraction"), "anneal", "main", at("anneal"), at("main"))
+    steps = steps.withColumn("anneal", F.bround(F.col("fraction") * batch).cast("long")).withColumn("main", F.lit(batch).cast("long") - F.col("anneal"))
+    for stream in ("anneal", "main"):
+        steps = running_total(steps, stream, ["step"], id_bucket("step"), name=f"{stream}_at")
+    return steps.select("step", F.round("fraction", 9).alias("fraction"), "anneal", "main", "anneal_at", "main_at")
 
 
 def replay_blend(steps: DataFrame, *, batch: int, fraction: float) -> DataFrame:
@@ -47,6 +49,28 @@ def warm_cosine(step: Column, *, total: int, warmup: int, peak: float) -> Column
     return F.when(step < warmup, peak * (step + 1) / warmup).otherwise(peak * (0.1 + 0.45 * (1 + F.cos(math.pi * t))))
 
 
+def step_counts(total_tokens: Column, tokens_per_step: Column, decay: float, milestone_tokens: Column) -> list[Column]:
+    """Of a run: all its steps (one at least), the step at which the decay starts, and the steps between two milestones (0: none)."""
+    steps = F.greatest(F.lit(1).cast("long"), F.floor(total_tokens / tokens_per_step))
+    return [steps.alias("total_steps"), F.floor(steps * (1.0 - decay)).alias("decay_start"), F.floor(milestone_tokens / tokens_per_step).alias("milestone_steps")]
+
+
+#: Compressed bytes for each token, and the margin.
+BYTES_PER_TOKEN, MARGIN = 3.5, 1.3
+
+
+def need_bytes(weight: Column, total_tokens: Column | float, bytes_per_token: Column, whole: Column, margin: float = MARGIN) -> Column:
+    """Bytes of files to fetch for a source, null for all of them: by its weight, the tokens of the build and its bytes per token, if they are known."""
+    need = weight.cast("double") * total_tokens * F.coalesce(bytes_per_token.cast("double"), F.lit(BYTES_PER_TOKEN)) * margin
+    return F.when(~F.coalesce(whole, F.lit(False)), need)
+
+
+def generations(conversations: DataFrame, models: Sequence[str], samples: int) -> DataFrame:
+    """Each conversation with each model and sample; sample 0 is the greedy one."""
+    rows = conversations.withColumn("model", F.explode(F.array(*map(F.lit, models)))).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples))))
+    return rows.withColumn("greedy", F.col("sample") == 0)
+
+
 def dealt_shares(speeds: DataFrame, total: int) -> DataFrame:
     """rank, speed -> share: in proportion to speed, one at least, by the largest remainders."""
     everyone = Window.partitionBy()

@@ -95,6 +95,7 @@ class Usual:
         self.recent: deque[float] = deque()
         self.ranked: list[float] = []
         self.level = math.inf
+        self.taken = 0  # values taken as usual so far
 
     def level_for(self, value: float | None) -> float | None:
         """The level that a value is held against; none for the first ones, and for what is no finite number."""
@@ -105,6 +106,7 @@ class Usual:
             level = self.level = min(self.level, (self.ranked[(n - 1) // 2] + self.ranked[n // 2]) / 2)
         if level is None or value <= self.most * level:
             self.recent.append(value)
+            self.taken += 1
             insort(self.ranked, value)
             if n == self.window:
                 del self.ranked[bisect_left(self.ranked, self.recent.popleft())]

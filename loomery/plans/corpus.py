@@ -215,30 +215,50 @@ def rank_windows_unequal(spark: SparkSession, d: str) -> DataFrame:
     return _windows(spark, d).select("window_id", shards.rank_of(F.col("window_id"), SHARES).alias("rank"))
 
 
-@query("""WITH s AS (SELECT k AS step, CASE WHEN k < 30 THEN CAST(0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) * least(CAST(1 AS DOUBLE), (k - 30 + 1) / CAST(20 AS DOUBLE)) END AS f FROM range(100) t(k)),
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    """Every event is a step of a run."""
+    return table(spark, d, "events").select(F.col("event_id").alias("step"))
+
+
+@query("""WITH s AS (SELECT event_id AS step, CASE WHEN event_id < 300 THEN CAST(0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) * least(CAST(1 AS DOUBLE), (event_id - 300 + 1) / CAST(200 AS DOUBLE)) END AS f FROM events),
 a AS (SELECT step, f, CAST(round_even(f * 9, 0) AS BIGINT) AS anneal FROM s)
 SELECT step, round(f, 9) AS fraction, anneal, 9 - anneal AS main,
   CAST(coalesce(sum(anneal) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS anneal_at,
   CAST(coalesce(sum(9 - anneal) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS main_at FROM a""")
 def anneal_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return schedule.anneal_blend(schedule.steps(spark, range(100)), batch=9, start=30, ramp=20, fraction=0.5)
+    return schedule.anneal_blend(_steps(spark, d), batch=9, start=300, ramp=200, fraction=0.5)
 
 
 @query("""SELECT step, CAST(p AS INT) AS place, CASE WHEN p < 6 THEN 'chat' ELSE 'plain' END AS stream, CASE WHEN p < 6 THEN step * 6 + p ELSE step * 2 + p - 6 END AS window_id
-FROM (SELECT s AS step, p FROM range(50) a(s), range(8) b(p))""")
+FROM (SELECT event_id AS step, p FROM events, range(8) b(p))""")
 def replay_blend(spark: SparkSession, d: str) -> DataFrame:
-    return schedule.replay_blend(schedule.steps(spark, range(50)), batch=8, fraction=0.25)
+    return schedule.replay_blend(_steps(spark, d), batch=8, fraction=0.25)
 
 
-@query("""WITH s AS (SELECT k AS step, least(CAST(1 AS DOUBLE), (k - 80) / CAST(20 AS DOUBLE)) AS t, least(CAST(1 AS DOUBLE), (k - 10) / CAST(90 AS DOUBLE)) AS c FROM range(120) t(k)),
-b AS (SELECT *, CASE WHEN step < 10 THEN CAST(0.001 AS DOUBLE) * (step + 1) / 10 WHEN step < 80 THEN CAST(0.001 AS DOUBLE) END AS base FROM s)
+@query("""WITH s AS (SELECT event_id AS step, least(CAST(1 AS DOUBLE), (event_id - 800) / CAST(200 AS DOUBLE)) AS t, least(CAST(1 AS DOUBLE), (event_id - 100) / CAST(900 AS DOUBLE)) AS c FROM events),
+b AS (SELECT *, CASE WHEN step < 100 THEN CAST(0.001 AS DOUBLE) * (step + 1) / 100 WHEN step < 800 THEN CAST(0.001 AS DOUBLE) END AS base FROM s)
 SELECT step, round(coalesce(base, 0.0001 + 0.0009 * 0.5 * (1 + cos(pi() * t))), 12) AS cosine, round(coalesce(base, 0.0001 + 0.0009 * (1 - t)), 12) AS linear,
-  round(coalesce(base, 0.0001 + 0.0009 * (1 - sqrt(greatest(t, 0)))), 12) AS sqrt, round(CASE WHEN step < 10 THEN CAST(0.001 AS DOUBLE) * (step + 1) / 10 ELSE CAST(0.001 AS DOUBLE) * (0.1 + 0.45 * (1 + cos(pi() * c))) END, 12) AS classic FROM b""")
+  round(coalesce(base, 0.0001 + 0.0009 * (1 - sqrt(greatest(t, 0)))), 12) AS sqrt, round(CASE WHEN step < 100 THEN CAST(0.001 AS DOUBLE) * (step + 1) / 100 ELSE CAST(0.001 AS DOUBLE) * (0.1 + 0.45 * (1 + cos(pi() * c))) END, 12) AS classic FROM b""")
 def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
-    at, how = F.col("step"), {"total": 100, "warmup": 10, "decay": 0.2, "peak": 0.001, "least": 0.1}
+    at, how = F.col("step"), {"total": 1000, "warmup": 100, "decay": 0.2, "peak": 0.001, "least": 0.1}
     shapes = {"cosine": "cosine", "linear": "linear", "sqrt": "1-sqrt"}
     rates = [F.round(schedule.warm_stable_decay(at, shape=s, **how), 12).alias(k) for k, s in shapes.items()]
-    return schedule.steps(spark, range(120)).select("step", *rates, F.round(schedule.warm_cosine(at, total=100, warmup=10, peak=0.001), 12).alias("classic"))
+    return _steps(spark, d).select("step", *rates, F.round(schedule.warm_cosine(at, total=1000, warmup=100, peak=0.001), 12).alias("classic"))
+
+
+@query("""WITH s AS (SELECT source, sum(strlen(text) + 1) AS tokens, count(*) AS n_docs, max(doc_id) % 5 = 0 AS whole, CASE WHEN max(doc_id) % 3 = 0 THEN CAST(2 AS DOUBLE) END AS bytes_per_token FROM documents GROUP BY source),
+w AS (SELECT *, CAST(tokens AS DOUBLE) / sum(tokens) OVER () AS weight FROM s)
+SELECT source, round(CASE WHEN NOT whole THEN weight * 1e9 * coalesce(bytes_per_token, 3.5) * 1.3 END, 3) AS need_bytes, greatest(1, CAST(tokens // 4096 AS BIGINT)) AS total_steps,
+  CAST(floor(greatest(1, CAST(tokens // 4096 AS BIGINT)) * (1.0::DOUBLE - 0.15::DOUBLE)) AS BIGINT) AS decay_start, CAST(n_docs * 100 // 4096 AS BIGINT) AS milestone_steps FROM w""")
+def build_plan(spark: SparkSession, d: str) -> DataFrame:
+    """For each source: the bytes to fetch for its share of a build, and the steps of a run over it."""
+    docs = table(spark, d, "documents")
+    kinds = F.when(F.max("doc_id") % 3 == 0, F.lit(2.0)).alias("bytes_per_token")
+    per = docs.groupBy("source").agg(F.sum(mix.n_tokens()).alias("tokens"), F.count("*").alias("n_docs"), (F.max("doc_id") % 5 == 0).alias("whole"), kinds)
+    all_ = per.agg(F.sum("tokens").alias("all_tokens"))
+    rows = per.crossJoin(F.broadcast(all_))  # one row
+    need = schedule.need_bytes(F.col("tokens").cast("double") / F.col("all_tokens"), F.lit(1e9), F.col("bytes_per_token"), F.col("whole"))
+    return rows.select("source", F.round(need, 3).alias("need_bytes"), *schedule.step_counts(F.col("tokens"), F.lit(4096), 0.15, F.col("n_docs") * 100))
 
 
 @query("""WITH e AS (SELECT user_id % 8 AS rank, round(sum(abs(value)), 3) AS speed FROM events GROUP BY 1),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.functions import tokens
-from loomery.operators import chats, masks, mixed
+from loomery.operators import chats, masks, mixed, schedule
+from loomery.sources import adapters
 from loomery.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -121,3 +122,47 @@ def bpe_loss_mask(spark: SparkSession, d: str) -> DataFrame:
     rows = masks.cut(rows.select("conv_id", tokens.encoded(F.col("rendered"), vocabulary).alias("ids")), "ids", WINDOW)
     # The bytes of a piece may begin or end within a letter.
     return masks.loss_masks(rows, "conv_id", "piece", tokens.joined_bytes(F.col("ids"), vocabulary), tokens.lengths(F.col("ids"), vocabulary)).select("conv_id", "piece", "n_tokens", "n_learnt")
+
+
+MODELS = ["base", "tuned", "preferred"]
+
+
+@query(f"""SELECT conv_id, model, CAST(s AS INTEGER) AS sample, s = 0 AS greedy FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest({MODELS}) AS model), range(3) AS t(s)""")
+def generation_plan(spark: SparkSession, d: str) -> DataFrame:
+    """What is to be generated: each conversation with each model and sample."""
+    return schedule.generations(table(spark, d, "conversations").select("conv_id").distinct(), MODELS, 2)
+
+
+#: Messages of trees from conversations: a third of the turns answers an earlier one, and every seventh message is marked as deleted or blank.
+NODES = """n AS (SELECT conv_id || '-' || lpad(turn::VARCHAR, 6, '0') AS message_id, CASE WHEN turn = 0 THEN NULL ELSE conv_id || '-' || lpad((CASE WHEN turn % 3 = 0 THEN turn - 3 ELSE turn - 1 END)::VARCHAR, 6, '0') END AS parent_id,
+  CASE WHEN role = 'assistant' THEN role ELSE 'prompter' END AS role, CASE WHEN conv_id % 7 = 3 AND turn = 2 THEN ' ' ELSE text END AS text, CASE WHEN conv_id % 9 = 0 THEN 'de' ELSE 'en' END AS lang,
+  CASE WHEN turn % 4 = 1 THEN NULL ELSE CAST(ascii(md5(conv_id || ':' || turn)) AS DOUBLE) END AS rank, conv_id % 5 = 0 AND turn = 3 AS deleted FROM conversations)"""
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    name = lambda turn: F.concat(F.col("conv_id"), F.lit("-"), F.lpad(turn.cast("string"), 6, "0"))
+    turn, conv = F.col("turn"), F.col("conv_id")
+    return table(spark, d, "conversations").select(
+        name(turn).alias("message_id"), F.when(turn > 0, name(F.when(turn % 3 == 0, turn - 3).otherwise(turn - 1))).alias("parent_id"),
+        F.when(F.col("role") == "assistant", "assistant").otherwise("prompter").alias("role"), F.when((conv % 7 == 3) & (turn == 2), " ").otherwise(F.col("text")).alias("text"),
+        F.when(conv % 9 == 0, "de").otherwise("en").alias("lang"), F.when(turn % 4 == 1, None).otherwise(F.ascii(F.md5(F.concat_ws(":", "conv_id", "turn"))).cast("double")).alias("rank"), ((conv % 5 == 0) & (turn == 3)).alias("deleted"),
+    )
+
+
+@query(f"""WITH RECURSIVE {NODES},
+e AS (SELECT parent_id, arg_min(message_id, (rank IS NULL, coalesce(rank, 0), message_id)) AS message_id FROM n WHERE lang = 'en' AND parent_id IS NOT NULL GROUP BY parent_id),
+t AS (SELECT message_id AS root, 0 AS depth, message_id FROM n WHERE lang = 'en' AND parent_id IS NULL UNION ALL SELECT t.root, t.depth + 1, e.message_id FROM t JOIN e ON e.parent_id = t.message_id)
+SELECT root, string_agg(CASE WHEN role = 'prompter' THEN 'USER: ' ELSE 'ASSISTANT: ' END || text, chr(10) ORDER BY depth) AS text FROM t JOIN n USING (message_id) GROUP BY root""")
+def adapter_ranked_threads(spark: SparkSession, d: str) -> DataFrame:
+    """Best-ranked threads, as the older loader takes them."""
+    return adapters.ranked_threads(_nodes(spark, d))
+
+
+@query(f"""WITH RECURSIVE {NODES}, g AS (SELECT * FROM n WHERE lang = 'en' AND NOT deleted),
+e AS (SELECT parent_id, role, arg_min(message_id, (coalesce(rank, 1e9), message_id)) AS message_id FROM g WHERE parent_id IS NOT NULL GROUP BY parent_id, role),
+t AS (SELECT message_id AS root, 0 AS depth, message_id, role FROM g WHERE parent_id IS NULL AND role = 'prompter' UNION ALL SELECT t.root, t.depth + 1, e.message_id, e.role FROM t JOIN e ON e.parent_id = t.message_id AND e.role <> t.role),
+k AS (SELECT * FROM (SELECT *, max(depth) OVER (PARTITION BY root) AS m FROM t) WHERE m >= 1 AND (depth < m OR role = 'assistant'))
+SELECT string_agg(CASE WHEN k.role = 'prompter' THEN 'USER: ' ELSE 'ASSISTANT: ' END || text, chr(10) ORDER BY depth) AS text FROM k JOIN n USING (message_id) GROUP BY root HAVING bool_and(trim(text) <> '')""")
+def adapter_threads(spark: SparkSession, d: str) -> DataFrame:
+    """Best-ranked threads in which roles take turns, none of whose messages is deleted or blank."""
+    return adapters.threads(_nodes(spark, d))

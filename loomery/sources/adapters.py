@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions.text import strip
-from loomery.operators.chats import ASSISTANT, USER, best_threads, valid
+from loomery.operators.chats import ASSISTANT, USER, best_threads, ranked_paths, valid
 
 #: Fixed value: what stands between two documents of a joined text.
 SEPARATOR = "\n\n###\n\n"
@@ -58,7 +58,21 @@ def threads(rows: DataFrame, language: str = "en") -> DataFrame:
     return parts.select(F.array_join(F.transform("parts", lambda p: p.line), "\n").alias("text"))
 
 
-ADAPTERS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (plain, alternating, question_answer, messages, human_assistant, threads)}
+def ranked_threads(rows: DataFrame, language: str = "en") -> DataFrame:
+    """Trees of messages, as the older loader takes them: from each root to the best-ranked child, or the first, to the end.
+
+    Roles needn't take turns, an unanswered prompt at the end stays, blank messages stay, and it doesn't matter what is marked as deleted.
+    """
+    nodes = rows.where(F.col("lang") == language)
+    seq = F.col("seq") if "seq" in rows.columns else F.col("message_id")
+    path = ranked_paths(nodes.select("message_id", "parent_id", "rank", seq.alias("seq")))
+    line = F.concat(F.when(F.col("role") == "prompter", USER).otherwise(ASSISTANT), F.coalesce("text", F.lit("")))
+    said = path.join(nodes.select("message_id", line.alias("line")), "message_id")
+    parts = said.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("depth", "line"))).alias("parts"))
+    return parts.select("root", F.array_join(F.transform("parts", lambda p: p.line), "\n").alias("text"))
+
+
+ADAPTERS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (plain, alternating, question_answer, messages, human_assistant, threads, ranked_threads)}
 
 
 def joined(texts: Column) -> Column:

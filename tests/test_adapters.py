@@ -38,3 +38,10 @@ def test_head_and_join(spark):
     rows = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9)], "task string, seq int")
     assert sorted((r.task, r.seq) for r in adapters.head(rows, 2, ["task"], "seq").collect()) == [("a", 0), ("a", 1), ("b", 9)]
     assert spark.range(1).select(adapters.joined(F.array(F.lit("x"), F.lit("y")))).first()[0] == "x\n\n###\n\ny"
+
+
+def test_ranked_threads(spark):
+    """The older loader: ranks, else the first child; no roles, no trimming, deleted messages stay."""
+    nodes = [("a", None, "prompter", "q", "en", None, False), ("b", "a", "prompter", "again", "en", 1.0, True), ("c", "a", "assistant", "worse", "en", 2.0, None), ("d", "b", "assistant", "x", "en", None, None), ("e", "b", "assistant", "y", "en", None, None), ("f", "d", "prompter", None, "en", None, None), ("g", None, "assistant", "alone", "en", None, None), ("h", None, "prompter", "q", "de", None, False)]
+    rows = spark.createDataFrame(nodes, "message_id string, parent_id string, role string, text string, lang string, rank double, deleted boolean")
+    assert texts(adapters.ranked_threads(rows)) == ["ASSISTANT: alone", "USER: q\nUSER: again\nASSISTANT: x\nUSER: "]
