@@ -41,8 +41,11 @@ def read_vocabulary(path: str, *, split: bool = False) -> str:
     return json.dumps(model | {"normalizer": None, "post_processor": None, "decoder": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}, "truncation": None, "padding": None})
 
 
-def from_merges(merges: Sequence[tuple[int, int]], reserved: Sequence[str] = ()) -> str:
-    """A vocabulary of reserved tokens, then the 256 bytes, then one token for each merge (pairs of ids without the reserved ones, in order)."""
+def from_merges(merges: Sequence[tuple[int, int]], reserved: Sequence[str] = (), *, split: bool = False) -> str:
+    """A vocabulary of reserved tokens, then the 256 bytes, then one token for each merge (pairs of ids without the reserved ones, in order).
+
+    split: nothing is merged across words, and every digit is a token of its own.
+    """
     letters, first = byte_letters(), len(reserved)
     if set(reserved) & set(letters):
         raise ValueError("a reserved token is a byte's letter")
@@ -51,10 +54,11 @@ def from_merges(merges: Sequence[tuple[int, int]], reserved: Sequence[str] = ())
         said.append(said[a] + said[b])
     model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": {t: i for i, t in enumerate([*reserved, *said])}, "merges": [[said[a], said[b]] for a, b in merges]}
     level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
+    words = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, level | {"use_regex": True}]}
     added = [{"id": i, "content": t, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for i, t in enumerate(reserved)]
     if first and len({*reserved}) != first:
         raise ValueError("reserved tokens must differ")
-    return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": added, "normalizer": None, "pre_tokenizer": level, "post_processor": None, "decoder": level, "model": model})
+    return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": added, "normalizer": None, "pre_tokenizer": words if split else level, "post_processor": None, "decoder": level, "model": model})
 
 
 def write_merges(merges: Iterable[tuple[int, int]], path: str) -> None:

@@ -67,6 +67,23 @@ def test_public_vocabulary(spark):
     assert [len(r[0]) for r in one.select(tokens.decoded(one.ids, tokens.from_merges([]))).collect()] == [2, 0]
 
 
+def test_reserved_and_digits(spark):
+    """24 reserved ids come first; digits stay single; the string of a reserved token in a text is text; nothing is lost."""
+    digits = [(ord("1"), ord("2")), (ord("3"), ord("4")), (ord("a"), ord("b"))]
+    reserved = [f"<|reserved_{k}|>" for k in range(24)]
+    vocabulary = tokens.from_merges(digits, reserved, split=True)
+    texts = ["ab 12 3412ab", "<|reserved_3|>12", "é ab\n\n  1"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    rows = rows.select("k", tokens.encoded(rows.text, vocabulary).alias("ids"))
+    got = rows.select("*", tokens.decoded(rows.ids, vocabulary).alias("back")).orderBy("k").collect()
+    assert [r.back for r in got] == texts and min(i for r in got for i in r.ids) >= 24
+    ab = 24 + 256 + 2
+    assert got[0].ids == [ab, 24 + 32, *[24 + ord(c) for c in "12"], 24 + 32, *[24 + ord(c) for c in "3412"], ab]
+    # Merged whole, the same digits are merged.
+    whole = spark.createDataFrame([("ab 12",)], "text string")
+    assert whole.select(tokens.encoded(whole.text, tokens.from_merges(digits, reserved))).first()[0] == [ab, 24 + 32, ab - 2]
+
+
 def walk(pieces, sizes):
     """Token by token: the state after each byte, a mark's tokens being none of either."""
     out, state = [], False
