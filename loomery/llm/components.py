@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,22 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"no end after {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links (a, b) between n places are enough to connect what all of them connect."""
+    root, used = np.arange(n), np.zeros(len(a), bool)
+    while True:  # every tree takes one link to another tree, the smallest of its links
+        apart = np.flatnonzero(root[a] != root[b])
+        if not len(apart):
+            return used
+        first = np.full(n, len(a))
+        np.minimum.at(first, root[a[apart]], apart)
+        np.minimum.at(first, root[b[apart]], apart)
+        used[chosen := np.unique(first[first < len(a)])] = True
+        low, high = np.minimum(root[a[chosen]], root[b[chosen]]), np.maximum(root[a[chosen]], root[b[chosen]])
+        parent = np.arange(n)
+        np.minimum.at(parent, high, low)
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        root = parent[root]

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.common import shuffles, written
-from loomery.llm.components import components
+from loomery.llm.components import components, forest
 
 COSINE, BITS, SIGMAS, MISS, CROWD, CHUNK, SALTS, SEED = 0.93, 256, 5.0, 0.001, 512, 1024, 16, 17
 
@@ -127,25 +127,6 @@ def _coded(classes: DataFrame, turn: np.ndarray, item: int) -> DataFrame:
     return classes.mapInArrow(code, "print binary, team string, raw binary, m long, least long, cid long, code binary, factor double")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Which of the links (a, b) between n places are enough to connect what all of them connect."""
-    root, used = np.arange(n), np.zeros(len(a), bool)
-    while True:  # every tree takes one link to another tree, the smallest of its links
-        apart = np.flatnonzero(root[a] != root[b])
-        if not len(apart):
-            return used
-        first = np.full(n, len(a))
-        np.minimum.at(first, root[a[apart]], apart)
-        np.minimum.at(first, root[b[apart]], apart)
-        used[chosen := np.unique(first[first < len(a)])] = True
-        low, high = np.minimum(root[a[chosen]], root[b[chosen]]), np.maximum(root[a[chosen]], root[b[chosen]])
-        parent = np.arange(n)
-        np.minimum.at(parent, high, low)
-        while (parent != parent[parent]).any():
-            parent = parent[parent]
-        root = parent[root]
-
-
 def compared(block: dict[str, np.ndarray], raws: list[bytes], masks: np.ndarray, turn: np.ndarray, item: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Of one block: each row's new linked partners, a forest of the links as pairs of places, and how many pairs were computed anew."""
     x = unit(np.frombuffer(b"".join(raws), f"<f{item}").reshape(len(raws), -1).astype(float))
@@ -167,7 +148,7 @@ def compared(block: dict[str, np.ndarray], raws: list[bytes], masks: np.ndarray,
     m, n = block["m"], np.zeros(len(x), np.int64)
     np.add.at(n, a, m[b])
     np.add.at(n, b, m[a])
-    kept = _forest(a, b, len(x))
+    kept = forest(a, b, len(x))
     return n, a[kept], b[kept], computed
 
 
@@ -243,7 +224,7 @@ def near_duplicates(vectors: DataFrame, *, id_column: str = "vec_id", vector: st
     placed = written(placed.select("print", "least", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("root", "cid").alias("root")))
     # A component may hold a third of all vectors. Its smallest id is found by partial minima and joined under SALTS keys.
     lowest = placed.groupBy("root").agg(F.min("least").alias("lowest")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = placed.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS)).cast("int")).join(lowest, ["root", "salt"]).select("print", "n", "lowest")
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS)).cast("int")).join(lowest.hint("merge"), ["root", "salt"]).select("print", "n", "lowest")
     out = rows.join(placed, "print", "left")
     own = F.when(F.col("print").isNull(), F.col("vec_id")).otherwise(F.col("lowest"))
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.cast("long").alias("component_id"))
