@@ -66,39 +66,40 @@ class Book:
         bits = np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
         return bits[:, : len(self.entries)].astype(bool)
 
-    def best_of(self, x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest chosen entry of each row, the first of equals, and its squared distance; -1 and 0 if none is chosen."""
-        row, entry = np.nonzero(chosen)
-        apart = x[row] - self.entries[entry]
-        apart = np.einsum("ij,ij->i", apart, apart)
-        index, least = np.full(len(x), -1), np.zeros(len(x), np.int64)
-        if len(row):
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            least[row[first]] = np.minimum.reduceat(apart, first)
-            hit = np.flatnonzero(apart == least[row])[::-1]  # of equals, the first is written last
-            index[row[hit]] = entry[hit]
-        return index, least
+    def measured(self, x: np.ndarray, chosen: np.ndarray, index: np.ndarray, apart: np.ndarray) -> None:
+        """Holds the chosen entries against what is nearest to each row so far (index and apart, which are kept up to date; index is beyond all at first)."""
+        for k in np.flatnonzero(chosen.any(axis=0)):
+            rows = np.flatnonzero(chosen[:, k])
+            gap = x[rows] - self.entries[k]
+            gap = np.einsum("ij,ij->i", gap, gap)
+            nearer = (gap < apart[rows]) | ((gap == apart[rows]) & (k < index[rows]))
+            index[rows[nearer]], apart[rows[nearer]] = k, gap[nearer]
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The index of the nearest entry and the squared distance, for each row of x."""
-        index, apart = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        """The index of the nearest entry, the first of equals, and the squared distance, for each row of x."""
+        index, apart = np.full(len(x), len(self.entries)), np.full(len(x), np.iinfo(np.int64).max)
         for at in range(0, len(x), RUN):
-            index[at : at + RUN], apart[at : at + RUN] = self._run(x[at : at + RUN])
+            own = slice(at, at + RUN)
+            self._run(x[own], index[own], apart[own])
         return index, apart
 
-    def _run(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pilot = x[:: max(1, len(x) // PILOT)]
-        start = np.median(self.best_of(pilot, np.ones((len(pilot), len(self.entries)), bool))[1])
-        radius = np.full(len(x), int(np.ceil(np.sqrt(start))) or 1)
-        index, apart, open_ = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.arange(len(x))
+    def _run(self, x: np.ndarray, index: np.ndarray, apart: np.ndarray) -> None:
+        pilot = np.arange(0, len(x), max(1, len(x) // PILOT))
+        first, gap = index[pilot], apart[pilot]
+        self.measured(x[pilot], np.ones((len(pilot), len(self.entries)), bool), first, gap)
+        radius = np.full(len(x), int(np.ceil(np.sqrt(np.median(gap)))) or 1)
+        open_, seen = np.arange(len(x)), np.zeros((len(x), len(self.entries)), bool)
         while len(open_):
-            found, least = self.best_of(x[open_], self.within(x[open_], radius[open_]))
-            index[open_], apart[open_] = found, least
-            none, far = found < 0, (found >= 0) & (least > radius[open_] ** 2)
+            within = self.within(x[open_], radius[open_])
+            own, least = index[open_], apart[open_]
+            self.measured(x[open_], within & ~seen, own, least)
+            index[open_], apart[open_] = own, least
+            none = own == len(self.entries)
+            far = ~none & (least > radius[open_] ** 2)
             radius[open_[none]] *= 2
             radius[open_[far]] = np.ceil(np.sqrt(least[far].astype(float))).astype(np.int64) + 1
-            open_ = open_[none | far]
-        return index, apart
+            left = none | far
+            open_, seen = open_[left], within[left]
 
 
 def whole(vectors: DataFrame, *, id_column: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -171,7 +172,7 @@ def with_label_error(codes: DataFrame) -> DataFrame:
     total = codes.groupBy("label").agg(F.sum("error").alias("label_error"))
     total = total.select(F.col("label").alias("of"), "label_error", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
     rows = codes.withColumn("salt", F.pmod(F.xxhash64("vec_id", "code"), F.lit(SALTS)).cast("int"))
-    return rows.join(total, F.col("label").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("_s"))).drop("of", "salt", "_s")
+    return rows.join(total.hint("merge"), F.col("label").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("_s"))).drop("of", "salt", "_s")
 
 
 def digest(books: np.ndarray) -> str:
