@@ -23,7 +23,7 @@ def stride_order(docs: DataFrame, weights: Mapping[str, float], key: str = "lang
     """
     pairs = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
     docs = docs.where(F.col(key).isin(*weights)).withColumn("n", n_tokens()).withColumn("shuffled", shuffle_key(seed, "doc_id"))
-    docs = running_total(docs, "n", ["shuffled", "doc_id"], hex_bucket("shuffled"), [key], "before")
+    docs = running_total(docs, "n", ["shuffled", "doc_id"], hex_bucket(docs, "shuffled"), [key], "before")
     return docs.withColumn("stride", F.col("before").cast("double") / F.element_at(pairs, F.col(key))).drop("before")
 
 

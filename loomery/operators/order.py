@@ -45,9 +45,12 @@ def running_total(df: DataFrame, value: str | Column, order: Sequence[str | Colu
     return joined.select(*[df[c] for c in df.columns if not c.startswith("_")], (F.col("_start") + F.col("_within")).alias(name))
 
 
-def hex_bucket(key: str | Column, digits: int = 3) -> Column:
-    """The bucket of a shuffle key: its first hexadecimal digits."""
-    return F.substring(key, 1, digits)
+def hex_bucket(df: DataFrame, key: str, rows: int = 1000) -> Column:
+    """Numbered buckets of a shuffle key, by as many of its first hexadecimal digits as leave about so many rows of df to each."""
+    n, digits = df.count(), 1
+    while digits < 15 and 16**digits * rows < n:
+        digits += 1
+    return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
 
 
 def id_bucket(key: str, width: int = 1000) -> Column:

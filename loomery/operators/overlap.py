@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.functions.text import ngrams, words
+from loomery.session import stored
 
-N = 13
+#: Words of a run; distinct runs of a benchmark that every task may hold, of 8 bytes each (Spark's table of them takes some 32 MB).
+N, HELD = 13, 1 << 20
 
 
 def grams(rows: DataFrame, text: str, n: int = N) -> DataFrame:
@@ -22,18 +24,33 @@ def _hashes(rows: DataFrame, text: str, n: int) -> DataFrame:
     return rows.withColumn("h", F.explode(F.expr(hashes))).drop("_w")
 
 
-def overlapping(rows: DataFrame, key: str, benchmark: DataFrame, text: str = "text", n: int = N) -> DataFrame:
+def _sharing(rows: DataFrame, wanted: DataFrame, key: str, n: int, held: int) -> DataFrame:
+    """The keys of rows (key, _t) of which a run has a hash in wanted (h, distinct), at least; stored.
+
+    Up to `held` hashes are sent to all tasks, and the runs of the rows aren't shuffled. More
+    are counted first over the rows' own distinct hashes, so that a common run is shuffled once a task.
+    """
+    runs = _hashes(rows, "_t", n)
+    if wanted.count() <= held:
+        return stored(runs.join(F.broadcast(wanted), "h", "left_semi").select(key).distinct())
+    common = stored(runs.select("h").distinct().join(wanted, "h", "left_semi"))  # what both hold, no more than wanted
+    common = F.broadcast(common) if common.count() <= held else common
+    return stored(runs.join(common, "h", "left_semi").select(key).distinct())
+
+
+def overlapping(rows: DataFrame, key: str, benchmark: DataFrame, text: str = "text", n: int = N, held: int = HELD) -> DataFrame:
     """The keys of rows that share a run of n words with the benchmark.
 
-    Hashes of the runs are compared first; what is left, which is little, is compared word for word.
+    Hashes of the runs are compared first; what is left, which is little, is compared word for
+    word. A null text has no words; rows without a key are passed over.
     """
     rows = rows.select(key, F.col(text).alias("_t"))
     wanted = benchmark.select(F.col("text").alias("_t"))
-    hit = _hashes(rows, "_t", n).join(_hashes(wanted, "_t", n).select("h").distinct(), "h", "left_semi").select(key).distinct()
-    exact = grams(rows.join(hit, key, "left_semi"), "_t", n).join(grams(wanted, "_t", n).select("gram").distinct(), "gram", "left_semi")
-    return exact.select(key).distinct()
+    hit = _sharing(rows, stored(_hashes(wanted, "_t", n).select("h").distinct()), key, n, held)
+    left = grams(rows.join(hit, key, "left_semi"), "_t", n)
+    return left.join(grams(wanted, "_t", n).select("gram").distinct(), "gram", "left_semi").select(key).distinct()
 
 
-def clean(rows: DataFrame, key: str, benchmark: DataFrame, text: str = "text", n: int = N) -> DataFrame:
-    """The rows without such a run."""
-    return rows.join(overlapping(rows, key, benchmark, text, n), key, "left_anti")
+def clean(rows: DataFrame, key: str, benchmark: DataFrame, text: str = "text", n: int = N, held: int = HELD) -> DataFrame:
+    """The rows without such a run, and those without a key."""
+    return rows.join(stored(overlapping(rows, key, benchmark, text, n, held)), key, "left_anti")

@@ -48,19 +48,27 @@ def paired(outcomes: DataFrame, a: str = "correct", b: str = "correct_norm") ->
     return rows.select("task", "n", "delta", F.when(F.col("n") > 1, F.sqrt(F.col("v") / F.col("n"))).otherwise(0.0).alias("se"), "b_wins", "a_wins")
 
 
+#: Resamples that are drawn from one copy of an evaluation set.
+BLOCK = 32
+
+
 def bootstrap(outcomes: DataFrame, times: int, seed: int = 0, a: str = "correct", b: str = "correct_norm") -> DataFrame:
     """task, low, high: the 95 % interval of the mean difference over `times` resamples.
 
     Draws 4 k to 4 k + 3 of a resample are the four quarters of the md5 of seed, task, resample
-    and k, modulo the number of questions. The resamples are spread over the cluster, each with
-    the task's differences; a task is one evaluation set, whose size is bounded.
+    and k, modulo the number of questions. The resamples are spread over the cluster in blocks
+    of BLOCK, each of which has the task's differences once; a task is one evaluation set, whose size is bounded.
     """
     d = (F.col(b).cast("int") - F.col(a).cast("int")).alias("d")
     place = F.row_number().over(Window.partitionBy("task").orderBy("q")) - 1
     rows = outcomes.select("task", place.alias("place"), d)
     sets = rows.groupBy("task").agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list(F.struct("place", "d"))).alias("all"))
     sets = sets.select("task", "n", F.transform("all", lambda x: x.d).alias("d"))
-    draws = sets.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).repartition(F.col("task"), F.col("b"))
+    blocks = sets.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((times - 1) // BLOCK))))
+    # With a number of partitions: they are small, but long to compute, and AQE would join them by their bytes.
+    blocks = blocks.repartition(int(outcomes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "task", "block")
+    first = F.col("block") * BLOCK
+    draws = blocks.withColumn("b", F.explode(F.sequence(first, F.least(first + (BLOCK - 1), F.lit(times - 1)))))
     digits = f"md5(concat_ws(':', {seed}, task, b, k))"
     quarter = " + ".join(f"CASE WHEN 4 * k + {q} < n THEN d[int(conv(substr(h, {8 * q + 1}, 8), 16, 10) % n)] ELSE 0 END" for q in range(4))
     total = f"aggregate(transform(sequence(0, int((n - 1) div 4)), k -> named_struct('k', k, 'h', {digits})), 0L, (a, x) -> a + {quarter.replace('substr(h', 'substr(x.h').replace('4 * k', '4 * x.k')})"

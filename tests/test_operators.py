@@ -1,5 +1,6 @@
 """Operators on small inputs whose results are known by hand."""
 
+import hashlib
 import math
 import random
 import statistics
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.functions import text as tx
-from loomery.operators import chats, filters, guard, mix, overlap, records, sampling, schedule, scores, shards, telemetry
+from loomery.operators import chats, filters, guard, mix, order, overlap, records, sampling, schedule, scores, shards, telemetry
 from loomery.sources import sinks, tables
 
 
@@ -113,6 +114,44 @@ def test_overlap(spark):
     assert {r.id for r in overlap.clean(rows, "id", bench).collect()} == {2, 3, 4}
 
 
+def test_overlap_with_large_benchmarks(spark):
+    """The same keys, whether the hashes of the benchmark are held by all tasks or joined; empty tables have no overlap."""
+    parts = [" ".join(f"w{k}" for k in range(a, a + 20)) for a in range(0, 400, 7)]
+    bench = spark.createDataFrame([(x,) for x in parts[::3]], "text string")
+    said = [(i, x) for i, x in enumerate(parts * 2)] + [(None, parts[0]), (998, None), (999, " ".join(["w1"] * 50))]
+    rows = spark.createDataFrame(said, "id int, text string")
+    grams = lambda x: {tuple(x.split()[i : i + 13]) for i in range(len((x or "").split()) - 12)} if x else set()
+    wanted = set().union(*(grams(x) for x in parts[::3]))
+    expected = {i for i, x in said if i is not None and grams(x) & wanted}
+    for held in (0, 1 << 20):
+        assert {r.id for r in overlap.overlapping(rows, "id", bench, held=held).collect()} == expected
+        assert sorted(str(r.id) for r in overlap.clean(rows, "id", bench, held=held).collect()) == sorted(str(i) for i, _ in said if i not in expected)
+    assert overlap.overlapping(rows.where("false"), "id", bench).count() == overlap.overlapping(rows, "id", bench.where("false")).count() == 0
+
+
+def test_hex_buckets(spark):
+    keys = spark.range(500).select(order.shuffle_key(3, "id").alias("k"))
+    one, many = (keys.select("k", order.hex_bucket(keys, "k", rows).alias("b")).orderBy("k").collect() for rows in (1000, 1))
+    assert {r.b for r in one} <= set(range(16)) and {r.b for r in many} <= set(range(4096)) and len({r.b for r in many}) > 400
+    assert all([r.b for r in found] == sorted(r.b for r in found) for found in (one, many))
+
+
+def test_bootstrap(spark):
+    """Against draws by hand, with a number of resamples that isn't a whole number of blocks."""
+    a = {"s": [1, 0, 0, 1, 0, 0, 1], "t": [0, 0, 1]}
+    rows = spark.createDataFrame([(t, q, bool(1 - x), bool(x)) for t, xs in a.items() for q, x in enumerate(xs)], "task string, q int, correct boolean, correct_norm boolean")
+    times, got = 2 * scores.BLOCK + 5, {}
+    for t, xs in a.items():
+        n, means = len(xs), []
+        for b in range(times):
+            digits = [hashlib.md5(f"0:{t}:{b}:{k}".encode()).hexdigest() for k in range(-(-n // 4))]
+            drawn = [int(digits[i // 4][8 * (i % 4) : 8 * (i % 4) + 8], 16) % n for i in range(n)]
+            means.append(sum(2 * xs[i] - 1 for i in drawn) / n)
+        means.sort()
+        got[t] = (means[int(0.025 * (times - 1))], means[int(0.975 * (times - 1))])
+    assert {r.task: (r.low, r.high) for r in scores.bootstrap(rows, times).collect()} == got
+
+
 def test_choices(spark):
     rows = spark.createDataFrame([("t", 0, 0, -1.0, 2, 1), ("t", 0, 1, -3.0, 30, 1), ("t", 1, 0, -2.0, 4, 0), ("t", 1, 1, -2.0, 4, 0)], "task string, q int, idx int, logp double, n_bytes int, answer int")
     got = {r.q: (r.correct, r.correct_norm) for r in scores.choice_outcomes(rows).collect()}
