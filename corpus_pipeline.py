@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: those that share 0.8 of their runs of five words."""
+    """One document of each group of near copies stays: those that share 0.8 of their runs of five words, by fingerprints, prefixes and an exact check."""
     return overlaps.deduplicate(docs)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,16 @@ BLANKS = r"[\x20\x09-\x0D]+"
 MAP_BITS, _CHUNK_BITS = 27, 16
 
 
+def in_slices(values: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """An array of texts in slices of at most some `most` bytes, so that no worker holds what it makes of a whole batch; none for an empty one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(values):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield values.slice(first, last - first)
+        first = last
+
+
 def text_of(column: str | Column) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

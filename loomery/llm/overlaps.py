@@ -1,4 +1,4 @@
-"""Near copies by exact similarity, found by a prefix filter.
+"""Near copies by SimHash in pigeonhole blocks, held to their exact similarity, and by a prefix filter where fingerprints differ more.
 
 Two texts are near copies if the Jaccard similarity of their sets of SHINGLE lower-cased
 words is SHARE or more. Such sets have at least SHARE of the larger one in common, so, all
@@ -6,7 +6,9 @@ hashes being ranked in one order, the first n - ceil(SHARE n) + 1 hashes of eith
 common one: no pair is missed, whatever the order. Hashes that are frequent in a sample are
 ranked last, which only keeps the groups small.
 
-Texts alike in their words are one class and are folded first. Of the classes that share a
+Texts alike in their words are one class and are folded first. Classes whose fingerprints are
+alike or differ in a few bits are paired first, by the blocks and links of simhash; a fingerprint is
+that of the set's hashes. At SHARE, fingerprints differ in some ten bits, so most pairs need the prefixes. Of the classes that share a
 hash, each is compared with one of them; what this links is one component, and then only
 classes of different components are compared. That is done where they lie, in runs of one
 hash (those of more than CHUNK classes are cut into chunks, each pair of which is a run), and only pairs
@@ -36,7 +38,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import bit_map, in_bit_map, shuffles, text_of, written
+from loomery.llm import simhash
+from loomery.llm.common import bit_map, in_bit_map, in_slices, shuffles, text_of, written
 from loomery.llm.components import components, forest
 
 #: SHARE is 4 / 5. The sample is one of SAMPLE classes, of which at most FREQUENT hashes pass through the driver (2 MB).
@@ -78,8 +81,10 @@ def hashes(text: Column) -> Column:
     """All shingle hashes of a text, as signed longs."""
 
     @F.arrow_udf("array<long>")
-    def of(texts: pa.Array) -> pa.Array:
-        return _lists([shingles(x.as_py()) for x in texts])
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in in_slices(texts):
+                yield _lists([shingles(x.as_py()) for x in part])
 
     return of(text)
 
@@ -106,22 +111,23 @@ def least_apart(x: bytes, y: bytes) -> int:
 
 
 def prefixes(text: Column, frequent: np.ndarray, several: Broadcast, folded_ones: bool) -> Column:
-    """fp, size, the first hashes of a text by rank (those not frequent, in their own order, then the frequent ones by theirs), the sketch and its small form.
+    """fp, size, the first hashes of a text by rank (those not frequent, in their own order, then the frequent ones by theirs), the sketch, its small form and the fingerprint.
 
     Null for texts whose class is in the bit map of classes that may have several texts, or, with folded_ones, for those whose class isn't.
     """
 
-    @F.arrow_udf("struct<fp: long, size: int, prefix: array<long>, sketch: binary, small: binary>")
-    def of(texts: pa.Array) -> pa.Array:
+    by_hash = np.argsort(frequent)
+    known = frequent[by_hash]
+
+    def made(texts: pa.Array, bits: np.ndarray) -> pa.Array:
         fps = _word_classes(texts)
-        there = in_bit_map(fps, np.frombuffer(several.value, np.uint8)) == folded_ones
-        sizes, firsts, sketches = [], [], []
-        by_hash = np.argsort(frequent)
-        known = frequent[by_hash]
-        for x, wanted in zip(texts, there, strict=True):
+        there = in_bit_map(fps, bits) == folded_ones
+        sizes, firsts, sketches, prints = [], [], [], np.zeros(len(texts), np.uint64)
+        for k, (x, wanted) in enumerate(zip(texts, there, strict=True)):
             found = shingles(x.as_py()) if wanted else np.zeros(0, np.uint64)
             n = len(found)
             sketches.append(sketch(found) if wanted else None)
+            prints[k] = simhash.voted(found) if n else 0
             if len(known) and n:
                 at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                 rank = np.where(known[at] == found, by_hash[at] + 1, 0)
@@ -129,10 +135,17 @@ def prefixes(text: Column, frequent: np.ndarray, several: Broadcast, folded_ones
             sizes.append(n)
             firsts.append(found[: n - -(-n * SHARE[0] // SHARE[1]) + 1] if n else found)
         small = [folded(x, FOLDS[-1]) if x else None for x in sketches]
-        columns = [pa.array(fps.view(np.int64)), pa.array(sizes, pa.int32()), _lists(firsts), pa.array(sketches, pa.binary()), pa.array(small, pa.binary())]
-        return pa.StructArray.from_arrays(columns, ["fp", "size", "prefix", "sketch", "small"], mask=pa.array(~there))
+        columns = [pa.array(fps.view(np.int64)), pa.array(sizes, pa.int32()), _lists(firsts), pa.array(sketches, pa.binary()), pa.array(small, pa.binary()), pa.array(prints.view(np.int64))]
+        return pa.StructArray.from_arrays(columns, ["fp", "size", "prefix", "sketch", "small", "print"], mask=pa.array(~there))
 
-    return of(text)
+    @F.arrow_udf("struct<fp: long, size: int, prefix: array<long>, sketch: binary, small: binary, print: long>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bits = np.frombuffer(several.value, np.uint8)
+        for texts in batches:
+            for part in in_slices(texts):
+                yield made(part, bits)
+
+    return of.asNondeterministic()(text)  # else a filter on it makes Spark run it twice
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -294,6 +307,15 @@ def _marked(classes: DataFrame, twice: DataFrame) -> DataFrame:
     return classes.select("fp", "size", "prefix").mapInArrow(pick, "h long, fp long, size int, at int")
 
 
+def by_fingerprints(classes: DataFrame) -> DataFrame:
+    """From classes (fp, print): distinct pairs (a, b) that connect all whose fingerprints are alike, or linked by simhash."""
+    prints = written(classes.groupBy("print").agg(F.min("fp").alias("least")))
+    alike = classes.join(prints, "print").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    least = {k: prints.select(F.col("print").alias(k), F.col("least").alias(f"least_{k}")) for k in "ab"}
+    close = simhash.links(prints.select(F.col("print").alias("fp"))).join(least["a"], "a").join(least["b"], "b")
+    return alike.unionByName(close.select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))).distinct()
+
+
 def _may_be_in(keys: DataFrame) -> Callable[[Column], Column]:
     """A test of a column of longs: false only for what isn't in the keys (h)."""
     marked = keys.sparkSession.sparkContext.broadcast(bit_map(keys, "h"))
@@ -325,14 +347,14 @@ def class_roots(rows: DataFrame, slim: DataFrame | None = None) -> DataFrame:
     frequent = frequent_hashes(texts)
     alone, folded_ones = (texts.select(prefixes(F.col("text"), frequent, marked, x).alias("p")).where("p IS NOT NULL") for x in (False, True))
     classes = alone.select("p").unionByName(folded_ones.groupBy("p.fp").agg(F.max("p").alias("p")).select("p"))
-    classes = written(classes.select("p.fp", "p.size", "p.prefix", "p.sketch", "p.small"))
+    classes = written(classes.select("p.fp", "p.size", "p.prefix", "p.sketch", "p.small", "p.print"))
     twice = classes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     entries = written(_marked(classes, twice).select("h", F.struct("fp", "size", "at").alias("e")))
     shared = entries.groupBy("h").agg(F.count("*").alias("n"), F.min("e").alias("first")).where("n > 1").select("h", "first")
     entries = written(entries.join(shared, "h"))  # the hashes of two classes or more
 
     stars = entries.where("e.fp <> first.fp").where(_may("e", "first")).select(*_pairs("e", "first")).distinct()
-    stars = written(stars)
+    stars = written(stars.union(by_fingerprints(classes)).distinct())
     found = written(verified(stars, classes, rows, slim))
 
     # What is linked to one class is one component; only pairs of different components are left. All their common hashes are here.

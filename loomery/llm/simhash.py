@@ -38,6 +38,14 @@ BITS, DISTANCE, SHINGLE, SEED, CHUNK, SALTS = 64, 4, 4, 42, 1500, 16
 BLOCKS, CROWD = (6, 7, 8, 10), 4
 
 
+def voted(hashes: np.ndarray) -> int:
+    """The fingerprint of unsigned hashes: the bits set in over half of them; zero for none."""
+    votes = np.zeros(BITS, np.int64)
+    for part in np.array_split(hashes, len(hashes) // 65536 + 1):
+        votes += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
+
+
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint of one text, as an unsigned number.
 
@@ -55,10 +63,7 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
         digest = xxhash.xxh64_intdigest
         spans = zip((ends - lengths).tolist(), ends[shingle - 1 :].tolist(), strict=False)
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(found) - shingle + 1)
-    votes = np.zeros(BITS, np.int64)
-    for part in np.array_split(hashes, len(hashes) // 65536 + 1):
-        votes += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
+    return voted(hashes)
 
 
 def fingerprint(text: Column) -> Column:

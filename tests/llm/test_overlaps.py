@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from loomery.llm import overlaps
+from loomery.llm import overlaps, simhash
 from tests.llm.conftest import prose
 
 
@@ -105,3 +105,50 @@ def test_texts_not_quite_alike(spark, monkeypatch):
                 links += 1
                 label[max(find(i), find(j))] = min(find(i), find(j))
     assert kept == sorted({find(i) for i in range(len(rows))}) and 0 < links < 3000 and len(kept) > 3
+
+
+def test_fingerprints_pair_what_pigeonhole_blocks_link(spark, monkeypatch):
+    """The pairs connect exactly what fingerprints at most four bits apart connect; the stage asks for them, and makes each text's prefixes once."""
+    r = np.random.default_rng(6)
+    prints = [int(x) for x in r.integers(0, 2**63, 30)]
+    prints += [p ^ (1 << int(r.integers(0, 60))) ^ (1 << int(r.integers(0, 60))) for p in prints[:12]] + prints[:5]
+    classes = spark.createDataFrame([(100 + k, p) for k, p in enumerate(prints)], "fp long, print long")
+    pairs = [(x.a - 100, x.b - 100) for x in overlaps.by_fingerprints(classes).collect()]
+
+    def parts(links):
+        label = list(range(len(prints)))
+        for a, b in links:
+            label = [label[a] if v == label[b] else v for v in label]
+        return {frozenset(i for i, v in enumerate(label) if v == w) for w in label}
+
+    close = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= simhash.DISTANCE]
+    assert parts(pairs) == parts(close) and len(close) > 12
+    asked, real = [], overlaps.by_fingerprints
+    monkeypatch.setattr(overlaps, "by_fingerprints", lambda c: asked.append(c) or real(c))
+    base = prose(60, 400)
+    docs = spark.createDataFrame([(1, base), (2, base + " tail"), (3, prose(61, 90))], "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "unused").collect()) == [1, 3]
+    got = {x.fp: x["print"] for x in asked[0].collect()}
+    want = [simhash.voted(overlaps.shingles(t)) for t in (base, base + " tail", prose(61, 90))]
+    assert sorted(x % 2**64 for x in got.values()) == sorted(want)
+
+
+def test_prefixes_are_made_once(spark):
+    """A filter on the result doesn't make Spark run the function a second time."""
+    texts = spark.createDataFrame([(prose(70, 50),), (None,)], "text string")
+    marked = spark.sparkContext.broadcast(bytes(1 << 24))
+    rows = texts.select(overlaps.prefixes(texts.text, np.zeros(0, np.uint64), marked, False).alias("p")).where("p IS NOT NULL")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and rows.count() == 2
+
+
+def test_slices_of_texts():
+    import pyarrow as pa
+
+    from loomery.llm.common import in_slices
+
+    values = pa.array(["a" * 10, None, "b" * 95, "", "c" * 300, "d"])
+    for whole in (values, values.slice(1, 4), values.slice(0, 0)):
+        parts = list(in_slices(whole, 100))
+        assert [x for p in parts for x in p.to_pylist()] == whole.to_pylist()
+        assert all(len(p) == 1 or sum(len(x or "") for x in p.to_pylist()) <= 100 for p in parts)
