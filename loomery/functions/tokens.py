@@ -4,22 +4,29 @@ A vocabulary is a file of a public tokenizer, or merges in the order they were l
 once on the driver, checked for its size and sent to the tasks; each worker builds its encoder once.
 Texts are merged whole, by merge rank, without being split into words first, unless
 the file's own splitting is asked for. The work on a text grows with n log n of its length.
+
+An encoder holds some hundred bytes a token, so texts go to it few at a time. A text to be merged
+whole is cut where no merge can reach across: between two bytes that follow each other in no
+token. The tokens are the same. Only a text without such a place is encoded in one piece.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import cache
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A vocabulary is sent to all tasks; larger files than this are refused.
 MOST_BYTES = 64 << 20
+#: Bytes that are encoded at once, bytes of a piece of a text (about), and tokens whose lengths or bytes are looked up at once.
+AT_ONCE, PIECE, LOOKED_UP = 1 << 18, 1 << 13, 1 << 18
 
 
 def byte_letters() -> list[str]:
@@ -103,29 +110,126 @@ def token_lengths(vocabulary: str) -> np.ndarray:
     return np.array([len(b) for b in token_bytes(vocabulary)], np.int32)
 
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+@cache
+def _apart(vocabulary: str) -> np.ndarray | None:
+    """For each two bytes, whether a text may be cut between them; None where texts are split into words first."""
+    splitter = json.loads(vocabulary)["pre_tokenizer"]
+    if splitter.get("type") != "ByteLevel" or splitter.get("use_regex", True) or splitter.get("add_prefix_space", True):
+        return None
+    found = np.ones((256, 256), bool)
+    for token in token_bytes(vocabulary):
+        b = np.frombuffer(token, np.uint8)
+        found[b[:-1], b[1:]] = False
+    found[:, 0x80:0xC0] = False  # within a letter
+    return found
+
+
+def pieces(text: str, vocabulary: str) -> list[str]:
+    """A text cut into parts of PIECE bytes or a little more, wherever its tokens allow it; they are encoded as the whole is."""
+    said = text.encode()
+    apart = _apart(vocabulary) if len(said) > PIECE else None
+    if apart is None:
+        return [text]
+    out, first = [], 0
+    while len(said) - first > PIECE:
+        cut, at = -1, first + PIECE
+        while cut < 0 and at < len(said):  # looked for a stretch at a time: it is near as a rule
+            b = np.frombuffer(said, np.uint8, min(PIECE, len(said) - at) + 1, at - 1)
+            places = np.flatnonzero(apart[b[:-1], b[1:]])
+            cut, at = (at + int(places[0]) if len(places) else -1), at + PIECE
+        if cut < 0:
+            break
+        out.append(said[first:cut].decode())
+        first = cut
+    return [*out, said[first:].decode()]
+
+
+def _ids(texts: Iterable[str], vocabulary: str) -> Iterator[np.ndarray]:
+    """The ids of each text. Pieces are encoded AT_ONCE bytes at a time."""
+    waiting: list[str] = []
+    owners: list[int] = []
+    size, done = 0, []
+
+    def flush() -> Iterator[np.ndarray]:
+        found = encoder(vocabulary).encode_batch_fast(waiting, add_special_tokens=False)
+        for owner, f in zip(owners, found, strict=True):
+            if done and owner != done[0][0]:
+                yield np.concatenate([x for _, x in done])
+                done.clear()
+            done.append((owner, np.array(f.ids, np.int32)))
+        waiting.clear()
+        owners.clear()
+
+    for k, text in enumerate(texts):
+        for piece in pieces(text, vocabulary):
+            waiting.append(piece)
+            owners.append(k)
+            size += len(piece)
+            if size >= AT_ONCE:
+                yield from flush()
+                size = 0
+    yield from flush()
+    if done:
+        yield np.concatenate([x for _, x in done])
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *values]).astype(kind.to_pandas_dtype())))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *values])))
 
 
 def encoded(text: Column, vocabulary: str) -> Column:
     """The ids of a text's tokens, in order; none for a null text."""
 
     @F.arrow_udf("array<int>")
-    def of(texts: pa.Array) -> pa.Array:
-        found = encoder(vocabulary).encode_batch([x.as_py() or "" for x in texts], add_special_tokens=False)
-        return _lists([np.array(f.ids, np.int32) for f in found], pa.int32())
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            held, n = [], 0
+            for ids in _ids((x.as_py() or "" for x in texts), vocabulary):
+                held.append(ids)
+                n += len(ids)
+                if n >= LOOKED_UP:
+                    yield _lists(held)
+                    held, n = [], 0
+            yield _lists(held)
 
     return of(text)
 
 
+def _looked_up(lists: pa.Array, look: Callable[[pa.Array, np.ndarray], pa.Array]) -> pa.Array:
+    """What `look` makes of the ids of some rows and of where each row ends (from 0), LOOKED_UP ids at a time."""
+    ends = np.cumsum(np.r_[0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)]).astype(np.int64)
+    ids, parts, first = lists.flatten(), [], 0
+    while first < len(lists):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + LOOKED_UP, "right")) - 1)
+        parts.append(look(ids.slice(ends[first], ends[last] - ends[first]), ends[first : last + 1] - ends[first]))
+        first = last
+    return pa.concat_arrays(parts) if parts else look(ids, ends[:1])
+
+
+def _bytes_of(ids: pa.Array, ends: np.ndarray, vocabulary: str) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of all ids, one after the other, and where each row's begin and end in them."""
+    size = np.r_[0, np.cumsum(token_lengths(vocabulary)[ids.to_numpy()], dtype=np.int64)]
+    data = _known(vocabulary).take(ids).buffers()[2]
+    return data if data is not None else pa.py_buffer(b""), size[ends]
+
+
+@cache
+def _known(vocabulary: str) -> pa.Array:
+    return pa.array(token_bytes(vocabulary), pa.binary())
+
+
 def decoded(ids: Column, vocabulary: str) -> Column:
     """The text that ids stand for; bytes that are no UTF-8 become U+FFFD. A null array gives an empty text, an unknown id is an error."""
 
+    def look(rows: pa.Array, ends: np.ndarray) -> pa.Array:
+        data, places = _bytes_of(rows, ends, vocabulary)
+        said = memoryview(data)
+        return pa.array([str(said[a:b], "utf-8", "replace") for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)], pa.string())
+
     @F.arrow_udf("string")
     def of(lists: pa.Array) -> pa.Array:
-        known = token_bytes(vocabulary)
-        return pa.array([b"".join([known[i] for i in (x.as_py() or [])]).decode("utf-8", "replace") for x in lists], pa.string())
+        return _looked_up(lists, look)
 
     return of(ids)
 
@@ -133,10 +237,12 @@ def decoded(ids: Column, vocabulary: str) -> Column:
 def lengths(ids: Column, vocabulary: str) -> Column:
     """The bytes of each token."""
 
+    def look(rows: pa.Array, ends: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(token_lengths(vocabulary)[rows.to_numpy()]))
+
     @F.arrow_udf("array<int>")
     def of(lists: pa.Array) -> pa.Array:
-        known = token_lengths(vocabulary)
-        return _lists([known[np.array(x.as_py() or [], np.int64)] for x in lists], pa.int32())
+        return _looked_up(lists, look)
 
     return of(ids)
 
@@ -144,9 +250,12 @@ def lengths(ids: Column, vocabulary: str) -> Column:
 def joined_bytes(ids: Column, vocabulary: str) -> Column:
     """The bytes that ids stand for."""
 
+    def look(rows: pa.Array, ends: np.ndarray) -> pa.Array:
+        data, places = _bytes_of(rows, ends, vocabulary)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(places.astype(np.int32)), data])
+
     @F.arrow_udf("binary")
     def of(lists: pa.Array) -> pa.Array:
-        known = token_bytes(vocabulary)
-        return pa.array([b"".join([known[i] for i in (x.as_py() or [])]) for x in lists], pa.binary())
+        return _looked_up(lists, look)
 
     return of(ids)

@@ -148,3 +148,44 @@ def test_mask_with_merged_tokens(spark):
     sizes = [len(tokens.token_bytes(vocabulary)[i]) for i in got.ids]
     assert got["mask"] == walk([text.encode()], [sizes])[0] and 3 < got.n_learnt < 12
     assert np.sum(sizes) == len(text)
+
+
+def test_cut_texts_are_encoded_as_whole_ones(monkeypatch):
+    """Texts cut at every place that the tokens allow give the ids of the whole; few bytes are with the encoder at once; split texts aren't cut."""
+    monkeypatch.setattr(tokens, "PIECE", 8)
+    monkeypatch.setattr(tokens, "AT_ONCE", 64)
+    r = random.Random(11)
+    words = ["the", " cat", "é€😀", "\n\n", "  ", "naïve ", "12345", "USER:", "\x00", "ß", "日本語", "\u00a0", "don't", "a" * 30, "<|endoftext|>"]
+    texts = [t or "" for t in TEXTS] + ["".join(r.choice(words) for _ in range(r.randint(1, 300))) for _ in range(40)] + ["", ""]
+    public = tokens.read_vocabulary(VOCABULARY)
+    for vocabulary in (public, tokens.from_merges(some_merges())):
+        real, most = tokens.encoder(vocabulary), []
+        want = [real.encode(t, add_special_tokens=False).ids for t in texts]
+        monkeypatch.setattr(tokens, "encoder", lambda v, real=real, most=most: Watched(real, most))
+        assert [x.tolist() for x in tokens._ids(texts, vocabulary)] == want
+        monkeypatch.undo()
+        monkeypatch.setattr(tokens, "PIECE", 8)
+        monkeypatch.setattr(tokens, "AT_ONCE", 64)
+        assert all("".join(tokens.pieces(t, vocabulary)) == t for t in texts)
+        assert sum(map(len, most)) > 100 and max(sum(map(len, m[:-1])) for m in most) < 64
+    assert max(len(tokens.pieces(t, public)) for t in texts) > 50
+    assert tokens.pieces(texts[-5], tokens.read_vocabulary(VOCABULARY, split=True)) == [texts[-5]]
+
+
+class Watched:
+    def __init__(self, real, seen):
+        self.real, self.seen = real, seen
+
+    def encode_batch_fast(self, texts, **how):
+        self.seen.append(list(texts))
+        return self.real.encode_batch_fast(texts, **how)
+
+
+def test_batches_larger_than_what_is_looked_up_at_once(spark, monkeypatch):
+    vocabulary = tokens.read_vocabulary(VOCABULARY)
+    texts = [t or "" for t in TEXTS] * 40 + ["word é " * 60_000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string").coalesce(1)
+    rows = rows.select("k", "text", tokens.encoded(rows.text, vocabulary).alias("ids"))
+    rows = rows.select("*", tokens.decoded(rows.ids, vocabulary).alias("back"), tokens.joined_bytes(rows.ids, vocabulary).alias("b"), tokens.lengths(rows.ids, vocabulary).alias("sizes")).orderBy("k").collect()
+    assert [r.back for r in rows] == texts == [bytes(r.b).decode() for r in rows]
+    assert all(sum(r.sizes) == len(r.b) and len(r.sizes) == len(r.ids) for r in rows)
