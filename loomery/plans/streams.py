@@ -108,9 +108,10 @@ def token_loss_mask(spark: SparkSession, d: str) -> DataFrame:
     """Tokens learnt from in each piece of a conversation, by role marks, for tokens of three bytes."""
     rows = chats.user_assistant(table(spark, d, "conversations")).withColumn("n", F.octet_length("rendered"))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / (WIDTH * PIECE)).cast("int") - 1))))
-    rows = rows.withColumn("bytes", F.expr(f"substr(encode(rendered, 'UTF-8'), {WIDTH * PIECE} * piece + 1, {WIDTH * PIECE})")).drop("rendered")
+    rows = rows.select("conv_id", "piece", F.expr(f"substr(cast(rendered AS binary), {WIDTH * PIECE} * piece + 1, {WIDTH * PIECE})").alias("bytes"))
     size = F.octet_length("bytes")
-    sizes = F.transform(F.sequence(F.lit(0), F.ceil(size / WIDTH).cast("int") - 1), lambda i: F.least(F.lit(WIDTH), size - i * WIDTH))
+    before = F.ceil(size / WIDTH).cast("int") - 1
+    sizes = F.concat(F.array_repeat(F.lit(WIDTH), before), F.array(size - before * WIDTH))
     return masks.loss_masks(rows, "conv_id", "piece", F.col("bytes"), F.when(size > 0, sizes)).select("conv_id", "piece", "n_tokens", "n_learnt")
 
 

@@ -189,3 +189,17 @@ def test_batches_larger_than_what_is_looked_up_at_once(spark, monkeypatch):
     rows = rows.select("*", tokens.decoded(rows.ids, vocabulary).alias("back"), tokens.joined_bytes(rows.ids, vocabulary).alias("b"), tokens.lengths(rows.ids, vocabulary).alias("sizes")).orderBy("k").collect()
     assert [r.back for r in rows] == texts == [bytes(r.b).decode() for r in rows]
     assert all(sum(r.sizes) == len(r.b) and len(r.sizes) == len(r.ids) for r in rows)
+
+
+def test_pieces_are_masked_once_and_many_at_a_time(spark, monkeypatch):
+    """Pieces that lie side by side in a batch share no mark; a batch is masked in few calls, and not again for each use of the rows."""
+    monkeypatch.setattr(masks, "AT_ONCE", 3)
+    texts = [b"x USER: ab ASSIST", b"ANT: cd", b"", b"ASSISTANT:ef", b"USER", b": gh", b"ASSISTANT:", b"ij"]
+    sizes = [[1] * len(t) for t in texts]
+    rows = spark.createDataFrame([(1, k, bytearray(t), s) for k, (t, s) in enumerate(zip(texts, sizes, strict=True))], "stream long, piece int, bytes binary, sizes array<int>").coalesce(1)
+    found = masks.loss_masks(rows, "stream", "piece", rows.bytes, rows.sizes)
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(found.collect(), key=lambda g: g.piece)
+    assert [g["mask"] for g in got] == walk(texts, sizes) and [g.n_learnt for g in got] == [sum(m) for m in walk(texts, sizes)]
+    with pytest.raises(ValueError, match="add up"):
+        masks.mask(b"abc", np.array([0, 3]), np.array([1, 1]), np.array([0, 2]))
