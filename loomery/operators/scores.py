@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
 def standard_error(p: Column, n: Column) -> Column:
@@ -48,8 +54,57 @@ def paired(outcomes: DataFrame, a: str = "correct", b: str = "correct_norm") ->
     return rows.select("task", "n", "delta", F.when(F.col("n") > 1, F.sqrt(F.col("v") / F.col("n"))).otherwise(0.0).alias("se"), "b_wins", "a_wins")
 
 
-#: Resamples that are drawn from one copy of an evaluation set.
-BLOCK = 32
+#: Resamples that are drawn from one copy of an evaluation set, digests that are made at once, and questions of a part of a set.
+BLOCK, AT_ONCE, PART = 32, 1 << 13, 1 << 16
+#: Stands for a difference that isn't known.
+UNKNOWN = 2
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_STATE = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def digests(prefix: bytes, first: int, last: int) -> np.ndarray:
+    """The md5 of prefix and each number from first to before last, which have as many digits, as four big-endian quarters: an array of four rows."""
+    width = len(str(first))
+    if len(prefix) + width > 55:  # more than one block
+        found = b"".join(hashlib.md5(prefix + str(k).encode()).digest() for k in range(first, last))
+        return np.ascontiguousarray(np.frombuffer(found, ">u4").reshape(-1, 4).T.astype(np.uint32))
+    block = np.zeros((64, last - first), np.uint8)
+    block[: len(prefix)] = np.frombuffer(prefix, np.uint8)[:, None]
+    rest = np.arange(first, last)
+    for place in reversed(range(width)):
+        rest, digit = np.divmod(rest, 10)
+        block[len(prefix) + place] = digit + 48
+    block[len(prefix) + width] = 0x80
+    block[56:64] = np.frombuffer((8 * (len(prefix) + width)).to_bytes(8, "little"), np.uint8)[:, None]
+    words = [sum(block[4 * k + j].astype(np.uint32) << np.uint32(8 * j) for j in range(4)) for k in range(16)]
+    same = [int(w[0]) if not len(prefix) - 4 < 4 * k < len(prefix) + width else None for k, w in enumerate(words)]
+    a, b, c, d = (np.full(last - first, x, np.uint32) for x in _STATE)
+    for i in range(64):
+        turn = i // 16
+        f = (d ^ (b & (c ^ d)), c ^ (d & (b ^ c)), b ^ c ^ d, c ^ (b | ~d))[turn]
+        k = (i, 5 * i + 1, 3 * i + 5, 7 * i)[turn] % 16
+        f = f + a
+        f += np.uint32((_SINES[i] + (same[k] or 0)) & 0xFFFFFFFF)
+        if same[k] is None:
+            f += words[k]
+        left = _TURNS[turn][i % 4]
+        a, d, c, b = d, c, b, b + (f << np.uint32(left) | f >> np.uint32(32 - left))
+    return np.stack([x + np.uint32(y) for x, y in zip((a, b, c, d), _STATE, strict=True)]).byteswap()
+
+
+def drawn_mean(differences: np.ndarray, prefix: bytes) -> float | None:
+    """The mean of as many draws as there are differences (see `bootstrap`), without the UNKNOWN ones; None if all are."""
+    n, total, known = len(differences), 0, 0
+    quarters, first = -(-n // 4), 0
+    while first < quarters:
+        last = min(first + AT_ONCE, quarters, 10 ** len(str(first)))
+        places = digests(prefix, first, last).T.reshape(-1)[: n - 4 * first] % np.uint32(n)
+        drawn = differences[places]
+        drawn = drawn[drawn != UNKNOWN]
+        total, known = total + int(drawn.sum(dtype=np.int64)), known + len(drawn)
+        first = last
+    return total / known if known else None
 
 
 def bootstrap(outcomes: DataFrame, times: int, seed: int = 0, a: str = "correct", b: str = "correct_norm") -> DataFrame:
@@ -57,22 +112,29 @@ def bootstrap(outcomes: DataFrame, times: int, seed: int = 0, a: str = "correct"
 
     Draws 4 k to 4 k + 3 of a resample are the four quarters of the md5 of seed, task, resample
     and k, modulo the number of questions. The resamples are spread over the cluster in blocks
-    of BLOCK, each of which has the task's differences once; a task is one evaluation set, whose size is bounded.
+    of BLOCK, each of which has the task's differences once, a byte each; a task is one evaluation set, whose size is bounded.
+    A question without an outcome may be drawn and doesn't count in the mean.
     """
-    d = (F.col(b).cast("int") - F.col(a).cast("int")).alias("d")
+    d = F.coalesce(F.col(b).cast("int") - F.col(a).cast("int"), F.lit(UNKNOWN)).cast("tinyint").alias("d")
     place = F.row_number().over(Window.partitionBy("task").orderBy("q")) - 1
     rows = outcomes.select("task", place.alias("place"), d)
-    sets = rows.groupBy("task").agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list(F.struct("place", "d"))).alias("all"))
-    sets = sets.select("task", "n", F.transform("all", lambda x: x.d).alias("d"))
-    blocks = sets.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((times - 1) // BLOCK))))
+    parts = rows.groupBy("task", F.floor(F.col("place") / PART).alias("part")).agg(F.sort_array(F.collect_list(F.struct("place", "d"))).alias("all"))
+    parts = parts.select("task", F.col("task").cast("string").alias("name"), "part", F.transform("all", lambda x: x.d).alias("d"))
+    blocks = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((times - 1) // BLOCK))))
     # With a number of partitions: they are small, but long to compute, and AQE would join them by their bytes.
     blocks = blocks.repartition(int(outcomes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "task", "block")
-    first = F.col("block") * BLOCK
-    draws = blocks.withColumn("b", F.explode(F.sequence(first, F.least(first + (BLOCK - 1), F.lit(times - 1)))))
-    digits = f"md5(concat_ws(':', {seed}, task, b, k))"
-    quarter = " + ".join(f"CASE WHEN 4 * k + {q} < n THEN d[int(conv(substr(h, {8 * q + 1}, 8), 16, 10) % n)] ELSE 0 END" for q in range(4))
-    total = f"aggregate(transform(sequence(0, int((n - 1) div 4)), k -> named_struct('k', k, 'h', {digits})), 0L, (a, x) -> a + {quarter.replace('substr(h', 'substr(x.h').replace('4 * k', '4 * x.k')})"
-    means = draws.select("task", "b", (F.expr(total).cast("double") / F.col("n")).alias("mean"))
+
+    def draw(key: tuple, group: pa.Table) -> pa.Table:
+        order = np.argsort(group["part"].to_numpy())
+        differences = np.concatenate([group["d"][int(i)].values.to_numpy() for i in order])
+        said = "" if key[0].as_py() is None else f"{group['name'][0].as_py()}:"  # as concat_ws leaves it out
+        first = key[1].as_py() * BLOCK
+        b = range(first, min(first + BLOCK, times))
+        means = [drawn_mean(differences, f"{seed}:{said}{x}:".encode()) for x in b]
+        return pa.table({"task": pa.array([key[0].as_py()] * len(b), group["task"].type), "b": pa.array(b, pa.int32()), "mean": pa.array(means, pa.float64())})
+
+    kind = rows.schema["task"].dataType
+    means = blocks.groupBy("task", "block").applyInArrow(draw, StructType([StructField("task", kind), StructField("b", IntegerType()), StructField("mean", DoubleType())]))
     at = F.row_number().over(Window.partitionBy("task").orderBy("mean", "b")) - 1
     ranked = means.withColumn("at", at)
     pick = lambda f: F.max(F.when(F.col("at") == int(f * (times - 1)), F.col("mean")))

@@ -5,6 +5,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,28 @@ def test_bootstrap(spark):
     assert {r.task: (r.low, r.high) for r in scores.bootstrap(rows, times).collect()} == got
 
 
+def test_bootstrap_digests_by_numpy():
+    """Many digests at once, of all lengths of prefix and number, are md5's; and a mean over several runs of them is the one drawn one by one."""
+    for prefix in (b"", b"0:", b"0:t:17:", b"0:task \xc3\xa9:1999:", b"x" * 50, b"x" * 51, b"x" * 54, b"x" * 70):
+        for first, last in ((0, 10), (10, 13), (95, 100), (100, 101), (99_990, 100_000), (1_000_000, 1_000_003)):
+            got = scores.digests(prefix, first, last)
+            for k in range(first, last):
+                assert b"".join(int(x).to_bytes(4, "big") for x in got[:, k - first]) == hashlib.md5(prefix + str(k).encode()).digest()
+    d = np.random.default_rng(1).integers(-1, 2, 47_003).astype(np.int8)
+    quarters = b"".join(hashlib.md5(b"0:t:5:%d" % k).digest() for k in range(-(-len(d) // 4)))
+    drawn = np.frombuffer(quarters, ">u4")[: len(d)] % len(d)
+    assert scores.drawn_mean(d, b"0:t:5:") == d[drawn].sum() / len(d)
+    some = np.where(np.arange(len(d)) % 9 == 0, scores.UNKNOWN, d).astype(np.int8)
+    assert scores.drawn_mean(some, b"0:t:5:") == d[drawn[drawn % 9 != 0]].mean() and scores.drawn_mean(some[:1], b"") is None
+
+
+def test_bootstrap_of_a_set_in_parts(spark, monkeypatch):
+    rows = spark.createDataFrame([(t, q, (q * 7 + t) % 3 == 0, (q * 5) % 4 == 0) for t in range(2) for q in range(41)], "task long, q int, correct boolean, correct_norm boolean")
+    whole = sorted(scores.bootstrap(rows, 40).collect())
+    monkeypatch.setattr(scores, "PART", 8)
+    assert sorted(scores.bootstrap(rows, 40).collect()) == whole and len(whole) == 2
+
+
 def test_choices(spark):
     rows = spark.createDataFrame([("t", 0, 0, -1.0, 2, 1), ("t", 0, 1, -3.0, 30, 1), ("t", 1, 0, -2.0, 4, 0), ("t", 1, 1, -2.0, 4, 0)], "task string, q int, idx int, logp double, n_bytes int, answer int")
     got = {r.q: (r.correct, r.correct_norm) for r in scores.choice_outcomes(rows).collect()}
