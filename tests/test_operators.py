@@ -300,3 +300,14 @@ def test_padded_to_longest(spark):
     got = {r.id: r.a for r in records.padded_to_longest(rows, "a", -1, "batch").collect()}
     assert got == {1: list(range(12)), 2: [5] + [-1] * 11, 3: [7], 4: [-1]}
     assert {len(r.a) for r in records.padded_to_longest(rows, "a", -1, least=8).collect()} == {12}
+
+
+def test_few_texts_are_chunked_at_once(spark, monkeypatch):
+    """Parts leave the worker in several arrays, none of which holds more texts than CUT_AT_ONCE allows."""
+    monkeypatch.setattr(tx, "CUT_AT_ONCE", 2000)
+    texts = ["word " * k for k in range(0, 700, 7)] + [None, "", " \n"]
+    cut = tx.chunks(F.col("t"))
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1).select("k", cut.alias("c")).orderBy("k").collect()
+    for r, t in zip(rows, texts, strict=True):
+        said = (t or "").strip()
+        assert r.c == [x for x in (said[a:b].strip() for a, b in tx.cut_points(len(said), [], 1000, 120)) if x]
