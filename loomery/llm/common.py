@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,19 +67,24 @@ def bit_map(keys: DataFrame, column: str) -> bytes:
 
     To leave out, before a shuffle, what can't match: it lets through too much, the more the fuller it is, and never too little.
     """
+    size = 1 << (_CHUNK_BITS - 3)
+    out = bytearray(1 << (MAP_BITS - 3))
+    for row in bit_chunks(keys, column).toLocalIterator():
+        out[row.chunk * size : (row.chunk + 1) * size] = zlib.decompress(row.bits)
+    return bytes(out)
+
+
+def bit_chunks(keys: DataFrame, column: str) -> DataFrame:
+    """The parts of a bit map that have bits: chunk and bits, packed by zlib, as few bits take few bytes on their way through the driver."""
     low = F.col(column).bitwiseAND((1 << MAP_BITS) - 1)
     chunks = keys.select(F.shiftright(low, _CHUNK_BITS).alias("chunk"), low.bitwiseAND((1 << _CHUNK_BITS) - 1).cast("int").alias("bit")).distinct()
 
     def packed(rows: pa.Table) -> pa.Table:
         bits = np.zeros(1 << _CHUNK_BITS, bool)
         bits[rows["bit"].to_numpy()] = True
-        return pa.table({"chunk": rows["chunk"][:1], "bits": [np.packbits(bits).tobytes()]})
+        return pa.table({"chunk": rows["chunk"][:1], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
 
-    size = 1 << (_CHUNK_BITS - 3)
-    out = bytearray(1 << (MAP_BITS - 3))
-    for row in chunks.groupBy("chunk").applyInArrow(packed, "chunk long, bits binary").toLocalIterator():
-        out[row.chunk * size : (row.chunk + 1) * size] = row.bits
-    return bytes(out)
+    return chunks.groupBy("chunk").applyInArrow(packed, "chunk long, bits binary")
 
 
 def in_bit_map(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:

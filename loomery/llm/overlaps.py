@@ -162,14 +162,25 @@ def frequent_hashes(texts: DataFrame) -> np.ndarray:
     return np.array([r.h for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """pairs with the set of one side. A class with many pairs has its set under several salts."""
-    spread = pairs.groupBy(F.col(side).alias("fp")).agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
-    other = "b" if side == "a" else "a"
-    keyed = sets.join(spread, "fp").select(F.col("fp").alias(side), "salts", "set", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    many = spread.where("salts > 1").select(F.col("fp").alias(side), "salts")
-    salted = pairs.join(many, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    return salted.join(keyed.select(side, "salt", F.col("set").alias(f"set_{side}")), [side, "salt"]).drop("salt")
+def _crowded(pairs: DataFrame) -> set[str]:
+    """The sides of pairs (a, b) on which some class has more than SALTED pairs."""
+    ends = pairs.select(F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("fp")) for s in "ab"])).alias("e"))
+    return {r.side for r in ends.groupBy("e.side", "e.fp").count().where(F.col("count") > SALTED).select("side").distinct().collect()}  # two at most
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, crowded: set[str]) -> DataFrame:
+    """pairs with the sets of both sides. On a crowded side, a class with many pairs has its set under several salts."""
+    out = pairs
+    for side, other in ("b", "a"), ("a", "b"):
+        named = sets.select(F.col("fp").alias(side), F.col("set").alias(f"set_{side}"))
+        if side not in crowded:
+            out = out.join(named, side)
+            continue
+        many = pairs.groupBy(side).agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts")).where("salts > 1")
+        keyed = named.join(many, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        salted = out.join(many, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        out = salted.join(keyed, [side, "salt"]).drop("salt")
+    return out
 
 
 def _allowed(x: Column, y: Column, m: Column, n: Column) -> Column:
@@ -184,14 +195,15 @@ def _allowed(x: Column, y: Column, m: Column, n: Column) -> Column:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, slim: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b), those whose sets are SHARE alike."""
-    sketches = classes.select("fp", F.struct("size", "sketch").alias("set"))
-    likely = _with_sets(_with_sets(pairs, sketches, "b"), sketches, "a")
+    """Of distinct stored pairs (a, b), those whose sets are SHARE alike."""
+    crowded = _crowded(pairs)
+    likely = _with_sets(pairs, classes.select("fp", F.struct("size", "sketch").alias("set")), crowded)
     likely = written(likely.where(_allowed(F.col("set_a.sketch"), F.col("set_b.sketch"), F.col("set_a.size"), F.col("set_b.size"))).select("a", "b"))
-    sets = _sets(likely, rows, slim)
-    full = _with_sets(_with_sets(likely, sets, "b"), sets, "a")
+    if likely.isEmpty():
+        return likely
+    full = _with_sets(likely, _sets(likely, rows, slim), crowded)
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return full.where(common * SHARE[1] >= (F.size("set_a") + F.size("set_b") - common) * SHARE[0]).select("a", "b")
+    return written(full.where(common * SHARE[1] >= (F.size("set_a") + F.size("set_b") - common) * SHARE[0]).select("a", "b"))
 
 
 def _alike(x: str, y: str) -> Column:
@@ -289,9 +301,8 @@ def _between(placed: DataFrame, classes: DataFrame, some: bool) -> DataFrame:
     return runs.mapInArrow(lambda batches: _in_runs(batches, some), "a long, b long").distinct()
 
 
-def _marked(classes: DataFrame, twice: DataFrame) -> DataFrame:
-    """From classes (fp, size, prefix): h, fp, size and at (the place in the prefix) of the hashes that may be in `twice`."""
-    marked = classes.sparkSession.sparkContext.broadcast(bit_map(twice, "h"))
+def _marked(classes: DataFrame, marked: Broadcast) -> DataFrame:
+    """From classes (fp, size, prefix): h, fp, size and at (the place in the prefix) of the hashes that may be in the bit map."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(marked.value, np.uint8)
@@ -316,9 +327,8 @@ def by_fingerprints(classes: DataFrame) -> DataFrame:
     return alike.unionByName(close.select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))).distinct()
 
 
-def _may_be_in(keys: DataFrame) -> Callable[[Column], Column]:
-    """A test of a column of longs: false only for what isn't in the keys (h)."""
-    marked = keys.sparkSession.sparkContext.broadcast(bit_map(keys, "h"))
+def _may_be_in(marked: Broadcast) -> Callable[[Column], Column]:
+    """A test of a column of longs: false only for what isn't in the bit map."""
 
     @F.arrow_udf("boolean")
     def of(h: pa.Array) -> pa.Array:
@@ -331,9 +341,11 @@ def _sets(pairs: DataFrame, rows: DataFrame, slim: DataFrame) -> DataFrame:
     """fp and set of the classes in pairs; each is made from the row of least key."""
     of = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     chosen = written(slim.join(of, "fp").groupBy("fp").agg(F.min("key").alias("key")))
-    marked = _may_be_in(chosen.select(F.xxhash64("key").alias("h")))
-    whole = rows.select("key", "text").where(marked(F.xxhash64("key"))).join(chosen, "key").select("key", "fp", "text").dropDuplicates(["key", "fp"])
-    return written(whole.select("fp", hashes(F.col("text")).alias("set")))
+    marked = rows.sparkSession.sparkContext.broadcast(bit_map(chosen.select(F.xxhash64("key").alias("h")), "h"))
+    whole = rows.select("key", "text").where(_may_be_in(marked)(F.xxhash64("key"))).join(chosen, "key").select("key", "fp", "text").dropDuplicates(["key", "fp"])
+    sets = written(whole.select("fp", hashes(F.col("text")).alias("set")))
+    marked.destroy()
+    return sets
 
 
 def class_roots(rows: DataFrame, slim: DataFrame | None = None) -> DataFrame:
@@ -348,25 +360,34 @@ def class_roots(rows: DataFrame, slim: DataFrame | None = None) -> DataFrame:
     alone, folded_ones = (texts.select(prefixes(F.col("text"), frequent, marked, x).alias("p")).where("p IS NOT NULL") for x in (False, True))
     classes = alone.select("p").unionByName(folded_ones.groupBy("p.fp").agg(F.max("p").alias("p")).select("p"))
     classes = written(classes.select("p.fp", "p.size", "p.prefix", "p.sketch", "p.small", "p.print"))
+    marked.destroy()  # the driver and the executors hold one bit map at a time
     twice = classes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    entries = written(_marked(classes, twice).select("h", F.struct("fp", "size", "at").alias("e")))
+    marked = spark.sparkContext.broadcast(bit_map(twice, "h"))
+    entries = written(_marked(classes, marked).select("h", F.struct("fp", "size", "at").alias("e")))
+    marked.destroy()
     shared = entries.groupBy("h").agg(F.count("*").alias("n"), F.min("e").alias("first")).where("n > 1").select("h", "first")
     entries = written(entries.join(shared, "h"))  # the hashes of two classes or more
 
     stars = entries.where("e.fp <> first.fp").where(_may("e", "first")).select(*_pairs("e", "first")).distinct()
     stars = written(stars.union(by_fingerprints(classes)).distinct())
-    found = written(verified(stars, classes, rows, slim))
+    found = verified(stars, classes, rows, slim)
 
     # What is linked to one class is one component; only pairs of different components are left. All their common hashes are here.
-    # First some pairs are verified, which joins most components that belong together, then all that are left.
+    # First some pairs are verified, which joins most components that belong together, then all that are left. A step with nothing to do is left out:
+    # what the driver plans and keeps for it costs the same, however few its rows.
+    grouped, placed = components(found), None
     for some in (True, False):
-        grouped = components(found)
-        placed = entries.select("h", "e").join(grouped, F.col("e.fp") == grouped.node, "left").select("h", "e", F.coalesce("root", F.col("e.fp")).alias("c"))
-        mixed = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
-        placed = written(placed.join(mixed, "h"))
+        if placed is None:
+            placed = entries.select("h", "e").join(grouped, F.col("e.fp") == grouped.node, "left").select("h", "e", F.coalesce("root", F.col("e.fp")).alias("c"))
+            mixed = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
+            placed = written(placed.join(mixed, "h"))
         rest = written(_between(placed, classes, some).join(stars, ["a", "b"], "left_anti"))
-        stars, found = stars.union(rest), written(found.union(verified(rest, classes, rows, slim)))
-    return components(found).select(F.col("node").alias("fp"), "root")
+        if rest.isEmpty():
+            continue
+        stars, found = stars.union(rest), verified(rest, classes, rows, slim)
+        if not found.isEmpty():
+            grouped, placed = components(grouped.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), None
+    return grouped.select(F.col("node").alias("fp"), "root")
 
 
 def deduplicate(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -387,7 +408,7 @@ def deduplicate(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text
     # Most rows stay, each the only one with its key. Only those that go, or aren't the only one, and what may be one of them, are shuffled.
     fate = slim.groupBy("key").agg(F.count("*").alias("n")).join(first.select("key", F.lit(True).alias("stays")).distinct(), "key", "left")
     fate = written(fate.where("n > 1 OR stays IS NULL").select("key", F.coalesce("stays", F.lit(False)).alias("stays")))
-    marked = _may_be_in(fate.select(F.xxhash64("key").alias("h")))
+    marked = _may_be_in(docs.sparkSession.sparkContext.broadcast(bit_map(fate.select(F.xxhash64("key").alias("h")), "h")))
     keyed = rows.select("doc", key).withColumn("in_doubt", marked(F.xxhash64("key")))
     doubtful = keyed.where("in_doubt").join(fate, "key", "left").where("coalesce(stays, true)")
     once = doubtful.groupBy("key").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))

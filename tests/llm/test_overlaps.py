@@ -152,3 +152,58 @@ def test_slices_of_texts():
         parts = list(in_slices(whole, 100))
         assert [x for p in parts for x in p.to_pylist()] == whole.to_pylist()
         assert all(len(p) == 1 or sum(len(x or "") for x in p.to_pylist()) <= 100 for p in parts)
+
+
+def test_steps_with_nothing_to_do_are_left_out(spark, monkeypatch):
+    """Near copies that the first pairs join cost one check and one round of components; no table is stored for steps without pairs."""
+    from loomery.llm import components
+
+    calls = []
+    for module, name in ((overlaps, "verified"), (overlaps, "components"), (overlaps, "_sets"), (components, "written")):
+        monkeypatch.setattr(module, name, lambda *a, name=name, f=getattr(module, name): calls.append(name) or f(*a))
+    base = prose(60, 400)
+    docs = spark.createDataFrame([(1, base), (2, base + " tail"), (3, prose(61, 90))], "doc_id long, text string")
+    assert sorted(x.doc_id for x in overlaps.deduplicate(docs).collect()) == [1, 3]
+    assert sorted(calls) == ["_sets", "components", "verified", "written"]
+
+
+def test_components_of_links_that_are_stars_need_no_round(spark, monkeypatch):
+    from loomery.llm import components
+
+    stored = []
+    monkeypatch.setattr(components, "written", lambda df, f=components.written: stored.append(1) or f(df))
+    r = random.Random(4)
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(40)] + [(7, 7), (200, 200)]
+    for rows, rounds in (([(1, 5), (9, 1), (2, 3)], 0), ([], 0), (links, None)):
+        stored.clear()
+        got = {x.node: x.root for x in components.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+        want = {v: v for a, b in rows if a != b for v in (a, b)}
+        for _ in want:
+            for a, b in rows:
+                if a != b:
+                    want[a] = want[b] = min(want[a], want[b])
+        assert got == want and (rounds is None or len(stored) == 1 + rounds)
+
+
+def test_a_class_with_many_pairs_is_salted(spark, monkeypatch):
+    """With salts on one side, on both or on none, each pair gets both sets."""
+    pairs = spark.createDataFrame([(1, k) for k in range(2, 12)] + [(k, 20) for k in range(1, 9)], "a long, b long")
+    sets = spark.createDataFrame([(k, [k, k + 1]) for k in range(1, 30)], "fp long, set array<long>")
+    want = sorted((x.a, x.b, [x.a, x.a + 1], [x.b, x.b + 1]) for x in pairs.collect())
+    for most, crowded in ((3, {"a", "b"}), (9, {"a"}), (99, set())):
+        monkeypatch.setattr(overlaps, "SALTED", most)
+        assert overlaps._crowded(pairs) == crowded
+        got = overlaps._with_sets(pairs, sets, crowded).select("a", "b", "set_a", "set_b").collect()
+        assert sorted(tuple(x) for x in got) == want
+
+
+def test_bits_pass_the_driver_packed(spark):
+    """A sparse bit map takes a small part of its size on its way, and comes out whole."""
+    from loomery.llm import common
+
+    r = np.random.default_rng(9)
+    keys = r.integers(-(2**63), 2**63, 5000)
+    table = spark.createDataFrame([(int(k),) for k in keys], "h long")
+    assert common.bit_chunks(table, "h").selectExpr("sum(length(bits))").first()[0] < 1 << 19
+    bits = np.frombuffer(common.bit_map(table, "h"), np.uint8)
+    assert common.in_bit_map(keys.view(np.uint64), bits).all() and int(np.bitwise_count(bits).sum()) == len(set((keys & (2**27 - 1)).tolist()))
