@@ -69,7 +69,7 @@ def bit_map(keys: DataFrame, column: str) -> bytes:
     """
     size = 1 << (_CHUNK_BITS - 3)
     out = bytearray(1 << (MAP_BITS - 3))
-    for row in bit_chunks(keys, column).toLocalIterator():
+    for row in bit_chunks(keys, column).collect():  # 16 MB at most, in one job instead of one a partition
         out[row.chunk * size : (row.chunk + 1) * size] = zlib.decompress(row.bits)
     return bytes(out)
 
