@@ -33,11 +33,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import text_of, written
+from loomery.llm.common import in_slices, text_of, written
 
 BANDS, ENDINGS, VOCABULARY, OWN = 32, 64, 65_536, 4_096
 WIDTH, SPAN, BATCH, ROUNDS, RATE, SEED, COPY = 16, 2, 4096, 3, 0.05, 7, 1_000_000
@@ -45,7 +46,8 @@ CLASSES = BANDS * ENDINGS
 NOWHERE = OWN + CLASSES  # the code of a place outside the document
 SHAPES = {"left": (NOWHERE + 1, WIDTH), "right": (NOWHERE + 1, WIDTH), "bias": (WIDTH,), "w1": (WIDTH, BANDS), "w2": (WIDTH, ENDINGS)}
 PIECE = 8192  # parameters to a row when copies are averaged
-SLICE = 1 << 20  # bytes of a text that are split into words at a time
+SLICE = 1 << 22  # bytes of texts that are split into words at a time
+HELD = 1 << 19  # counts that a task holds before it adds them up
 
 Net = dict[str, np.ndarray]
 
@@ -79,37 +81,74 @@ _digest = partial(xxhash.xxh64_intdigest, seed=42)
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """An array of texts in slices of some SLICE bytes, each with the place of its first text; a longer text comes in several, cut at blanks."""
+    first = 0
+    for part in in_slices(texts, SLICE):
+        data = part[0].as_py().encode() if len(part) == 1 and part[0].is_valid else b""
+        if len(data) <= SLICE:
+            yield first, part
+        else:
+            start = 0
+            while start < len(data):
+                cut = _BLANK.search(data, start + SLICE) if start + SLICE < len(data) else None
+                end = cut.start() if cut else len(data)
+                yield first, pa.array([data[start:end]], pa.string())
+                start = end + 1
+        first += len(part)
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of words of each text, the place of each word among the distinct ones, and the hashes and endings of those.
+
+    Words are hashed once for all their occurrences, which are many: hashing each of them is most of the work otherwise.
+    """
+    lists = pc.ascii_split_whitespace(texts)
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    found = lists.flatten().dictionary_encode()
+    at, distinct = found.indices.to_numpy(), found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    if b"" in distinct:  # stands for blanks at the ends of a text
+        real = at != np.flatnonzero(distinct == b"")[0]
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[real], minlength=len(n))
+        at = at[real]
+    hashes = np.fromiter(map(_digest, distinct), np.uint64, len(distinct))
+    flat = np.frombuffer(b"\0\0" + b"\0\0".join(distinct), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, distinct), np.int64, len(distinct)) + 2)
+    before, last = flat[ends - 2].astype(np.int64), flat[ends - 1].astype(np.int64)
+    return n, at, hashes, (before * 1_000_003 + last * 8_191 >> 3) % ENDINGS
+
+
 def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The hash (as Spark's xxhash64, unsigned) and the ending of each word of a text: a class of its last two bytes."""
-    data = (text or "").encode()
-    hashes, endings, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-    while start < len(data):
-        cut = _BLANK.search(data, start + SLICE) if start + SLICE < len(data) else None
-        end = cut.start() if cut else len(data)
-        found = data[start:end].split()
-        start = end + 1
-        if found:
-            hashes.append(np.fromiter(map(_digest, found), np.uint64, len(found)))
-            flat = np.frombuffer(b"\0\0" + b"\0\0".join(found), np.uint8).astype(np.int64)
-            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 2)
-            endings.append((flat[ends - 2] * 1_000_003 + flat[ends - 1] * 8_191 >> 3) % ENDINGS)
+    hashes, endings = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, part in _pieces(pa.array([text or ""])):
+        _, at, h, e = _split(part)
+        hashes.append(h[at])
+        endings.append(e[at])
     return np.concatenate(hashes), np.concatenate(endings)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        hashes, endings = (np.concatenate(x) for x in zip(*held, strict=True))
-        found, first, n = np.unique(hashes, return_index=True, return_counts=True)
-        return pa.record_batch({"h": pa.array(found.view(np.int64)), "ending": pa.array(endings[first].astype(np.int32)), "n": pa.array(n)})
-
-    held, n_words = [], 0
+    def summed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, endings, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
+        return pa.record_batch({
+            "h": pa.array(hashes[starts].view(np.int64)), "ending": pa.array(endings[order[starts]].astype(np.int32)),
+            "n": pa.array(np.add.reduceat(n[order], starts) if len(starts) else n),
+        })
+
+    held, n_held = [], 0
     for batch in batches:
-        for text in batch.column(0):
-            held.append(words_of(text.as_py()))
-            n_words += len(held[-1][0])
-            if n_words >= 1_000_000:
+        for _, part in _pieces(batch.column(0)):
+            _, at, hashes, endings = _split(part)
+            n = np.bincount(at, minlength=len(hashes))
+            held.append((hashes[n > 0], endings[n > 0], n[n > 0]))
+            n_held += len(hashes)
+            if n_held >= HELD:
                 yield summed(held)
-                held, n_words = [], 0
+                held, n_held = [], 0
     if held:
         yield summed(held)
 
@@ -150,15 +189,31 @@ def vocabulary(docs: DataFrame, *, text: str = "text", size: int = VOCABULARY) -
     )
 
 
+def _encoded_texts(vocab: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For an array of texts: each one's number of words; all codes, end to end, in two bytes each; each one's sum of the logs of its words
+    within their classes, but for the counts of rare words; each one's number of rare words; their hashes, end to end."""
+    n_words, inside, n_rare = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    codes, rare = [np.zeros(0, "<u2")], [np.zeros(0, np.uint64)]
+    for first, part in _pieces(texts):
+        n, at, hashes, endings = _split(part)
+        place = np.minimum(np.searchsorted(vocab.hashes, hashes), max(0, len(vocab.hashes) - 1))
+        known = vocab.hashes[place] == hashes if len(vocab.hashes) else np.zeros(len(hashes), bool)
+        place = place[known]
+        code, log = OWN + (BANDS - 1) * ENDINGS + endings, -np.log(vocab.tail_total[endings])
+        code[known], log[known] = vocab.code[place], vocab.log_in_class[place]
+        here, row, unknown = slice(first, first + len(n)), np.repeat(np.arange(len(n)), n), ~known[at]
+        n_words[here] += n
+        inside[here] += np.bincount(row, log[at], len(n))
+        n_rare[here] += np.bincount(row[unknown], minlength=len(n))
+        codes.append(code.astype("<u2")[at])
+        rare.append(hashes[at[unknown]])
+    return n_words, np.concatenate(codes), inside, n_rare, np.concatenate(rare)
+
+
 def _encoded(vocab: Vocabulary, text: str | None) -> tuple[np.ndarray, float, np.ndarray]:
-    """A text's codes; the sum of the logs of its words within their classes, but for the counts of rare words; the rare words' hashes."""
-    hashes, endings = words_of(text)
-    at = np.minimum(np.searchsorted(vocab.hashes, hashes), max(0, len(vocab.hashes) - 1))
-    known = vocab.hashes[at] == hashes if len(vocab.hashes) else np.zeros(len(hashes), bool)
-    codes = np.full(len(hashes), OWN + (BANDS - 1) * ENDINGS, np.int64) + endings
-    codes[known] = vocab.code[at[known]]
-    inside = vocab.log_in_class[at[known]].sum() - np.log(vocab.tail_total[endings[~known]]).sum()
-    return codes, float(inside), hashes[~known]
+    """The same of one text: its codes, the sum and the rare words' hashes."""
+    _, codes, inside, _, rare = _encoded_texts(vocab, pa.array([text or ""]))
+    return codes.astype(np.int64), float(inside[0]), rare
 
 
 def coded(docs: DataFrame, vocab: Vocabulary, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,12 +223,12 @@ def coded(docs: DataFrame, vocab: Vocabulary, *, id_column: str = "doc_id", text
     @F.arrow_udf("struct<n: int, codes: binary, inside: double, rare: array<long>>")
     def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = shared.value
+        ends = lambda n: np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
         for texts in parts:
-            rows = [_encoded(v, t.as_py()) for t in texts]
-            ends = np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in rows)]).view(np.int64)))
-            columns = [pa.array([len(r[0]) for r in rows], pa.int32()), pa.array([r[0].astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.float64()), rare]
-            yield pa.StructArray.from_arrays(columns, ["n", "codes", "inside", "rare"])
+            n, codes, inside, n_rare, rare = _encoded_texts(v, texts)
+            cells = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends(2 * n)), pa.py_buffer(codes)])
+            rare = pa.ListArray.from_arrays(pa.array(ends(n_rare)), pa.array(rare.view(np.int64)))
+            yield pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), cells, pa.array(inside), rare], ["n", "codes", "inside", "rare"])
 
     doc_id, t = F.col(f"`{id_column}`"), text_of(f"`{text}`")
     return written(docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, t).alias("h"), encode(t).alias("x")).select("doc_id", "h", "x.*"))
@@ -249,7 +304,7 @@ def step(net: Net, memory: Net, vocab: Vocabulary, around: np.ndarray, owner: np
     for k, d in {"w1": h.T @ p1, "w2": h.T @ p2, "bias": g.sum(0)}.items():
         memory[k] += d * d
         net[k] -= rate * d / np.sqrt(memory[k] + 1e-10)
-    order = np.argsort(around, kind="stable")
+    order = np.argsort(around.astype(np.uint16), kind="stable")  # by digits, for so small numbers
     starts = np.flatnonzero(np.diff(around[order], prepend=-1))
     ids = around[order[starts]]
     for k, sign in (("left", -1), ("right", 1)):

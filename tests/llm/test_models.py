@@ -1,8 +1,10 @@
 """The two models: pseudo-likelihoods against loops, toxicity on a held-out fold."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomery.llm import likelihood, toxicity
@@ -78,6 +80,35 @@ def test_words_and_counts(spark):
         assert 0.75 < total <= 1 + 1e-9
 
 
+def test_words_are_hashed_once(spark, monkeypatch):
+    """Counting and coding hash the distinct words of a slice, not each occurrence, and give what words one by one give, however texts are cut."""
+    texts = ["", None, " \t\n", " a  b\x1c\x0b\u00e9 ", prose(1, 4000) * 3, "x\x00 \x00 y", prose(2, 50)] + ["of the of the"] * 500
+    vocab = small_vocabulary(spark, texts[:6])
+    plain = [(t or "").encode().split() for t in texts]
+    hashes = [[likelihood._digest(w) for w in words] for words in plain]
+    calls, digest = [], likelihood._digest
+    monkeypatch.setattr(likelihood, "_digest", lambda w: calls.append(w) or digest(w))
+    array = pa.array(texts)
+    for size in (likelihood.SLICE, 100):
+        monkeypatch.setattr(likelihood, "SLICE", size)
+        calls.clear()
+        found = list(likelihood._counted(iter([pa.record_batch({"text": array})])))
+        if size > 100:
+            assert len(calls) <= len({w for words in plain for w in words}) + 1
+        got = dict(zip(found[0]["h"].to_numpy().view(np.uint64).tolist(), found[0]["n"].to_pylist(), strict=True))
+        assert len(found) == 1 and got == Counter(h for row in hashes for h in row)
+        n, codes, inside, n_rare, rare = likelihood._encoded_texts(vocab, array)
+        assert n.tolist() == [len(words) for words in plain] and n.sum() == len(codes)
+        known = dict(zip(vocab.hashes.tolist(), zip(vocab.code, vocab.log_in_class, strict=True), strict=True))
+        assert rare.tolist() == [h for row in hashes for h in row if h not in known] and n_rare.tolist() == [sum(h not in known for h in row) for row in hashes]
+        for row, words, end, total in zip(hashes, texts, np.cumsum(n), inside, strict=True):
+            endings = likelihood.words_of(words)[1]
+            last = likelihood.OWN + (likelihood.BANDS - 1) * likelihood.ENDINGS
+            assert codes[end - len(row) : end].tolist() == [known[h][0] if h in known else last + e for h, e in zip(row, endings, strict=True)]
+            want = sum(known[h][1] if h in known else -np.log(vocab.tail_total[e]) for h, e in zip(row, endings, strict=True))
+            assert np.isclose(total, want, rtol=1e-12, atol=1e-12)
+
+
 def test_training_learns_order(spark, odd, none):
     """Held-out documents are likelier in context than by their words alone, shuffled ones are not, and dealing rows otherwise changes nothing."""
     words = [f"w{i}{chr(97 + i % 26)}{chr(97 + i % 7)}" for i in range(30)]
