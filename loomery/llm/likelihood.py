@@ -281,10 +281,13 @@ def forward(net: Net, vocab: Vocabulary, around: np.ndarray, target: np.ndarray)
     """For the codes between the ends of `around`: band, ending, the hidden layer and what the softmax is taken of, for bands and endings."""
     n, c = len(target), vocab.classes(target)
     band, ending = c // ENDINGS, c % ENDINGS
-    left, right = net["left"][around], net["right"][around]
+    left, right = net["left"].take(around, 0), net["right"].take(around, 0)
     x = net["bias"] + sum(left[SPAN - k : SPAN - k + n] for k in range(1, SPAN + 1)) + sum(right[SPAN + k : SPAN + k + n] for k in range(1, SPAN + 1))
     h = np.tanh(x)
-    return band, ending, h, h @ net["w1"] + vocab.log_band.astype(np.float32), h @ net["w2"] + vocab.log_ending.astype(np.float32)[band]
+    x1, x2 = h @ net["w1"], h @ net["w2"]
+    x1 += vocab.log_band.astype(np.float32)
+    x2 += vocab.log_ending.astype(np.float32).take(band, 0)
+    return band, ending, h, x1, x2
 
 
 def step(net: Net, memory: Net, vocab: Vocabulary, around: np.ndarray, owner: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
@@ -311,9 +314,10 @@ def step(net: Net, memory: Net, vocab: Vocabulary, around: np.ndarray, owner: np
         spread = np.zeros((len(around), WIDTH), np.float32)
         for s in range(1, SPAN + 1):
             spread[SPAN + sign * s : SPAN + sign * s + len(target)] += g
-        d = np.add.reduceat(spread[order], starts, axis=0)
-        memory[k][ids] += d * d
-        net[k][ids] -= rate * d / np.sqrt(memory[k][ids] + 1e-10)
+        d = np.add.reduceat(spread.take(order, 0), starts, axis=0)
+        past = memory[k].take(ids, 0) + d * d
+        memory[k][ids] = past
+        net[k][ids] -= rate * d / np.sqrt(past + 1e-10)
 
 
 def pseudo_likelihoods(net: Net, vocab: Vocabulary, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
